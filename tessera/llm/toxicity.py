@@ -35,14 +35,14 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.margin(np.unique(WORDS.of(_tokens(text)))), -30, 30))))
 
 
-_EDGES = b".,;:!?\"'()[]"
+_EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return [w.strip(_EDGES) for w in words_of(text)]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5, min_z: float = 5.0, max_words: int = 100_000) -> Toxicity:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5, min_z: float = 4.0, max_words: int = 100_000) -> Toxicity:
     """Minimise the non-negative PU risk  prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])  by Adam.
 
     l is the logistic loss. Where the second part is below 0, a step follows its own gradient upwards instead (Kiryo et al. 2017), so the model
