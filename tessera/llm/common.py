@@ -74,6 +74,11 @@ class WordHashes(dict):
 WORDS = WordHashes()
 
 
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes. A function of the module, so that tasks share the worker's WORDS; an object named in a closure would be copied to each."""
+    return WORDS.of(words)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-case A-Z only, and split on the six white-space characters (what bytes.lower and bytes.split do)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

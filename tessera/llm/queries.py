@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_edits
 from .mixing import curriculum
 from .secrets import find_secrets
 from .sentencepiece_bpe import tokenize
+from .token_shards import read_shards, write_shards
 from .toxicity import score_toxicity
 
 
@@ -58,6 +59,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shards = write_shards(_documents(spark, sf_dir), public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return read_shards(spark, shards).select("doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_sentencepiece": op3_sentencepiece,
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_fingerprints": op7_fingerprints,
     "op9_toxicity": op9_toxicity,
+    "op10_token_shards": op10_token_shards,
 }
 
 SQL = {

@@ -3,62 +3,180 @@
 from __future__ import annotations
 
 import base64
-import math
+import hashlib
+import json
+import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches, table
+from .common import drop, scratch_dir, small_batches, table
 
-#: A record: document id (8 bytes), part of the document (4), tokens held (4), the ids (2 or 4 bytes each, zero behind the last), all
-#: little-endian, then one byte 0x0A. All records of a table have one length, so record k of a shard begins at k times the stride.
-HEADER = 16
-ROUNDS = 4
+#: A record's header: slot (8 bytes), document id (8), part of the document (4), tokens held (4). Then come ids of 2 bytes, zero behind
+#: the last, and one byte 0x0A. All numbers are little-endian. Records of a table have one length: record k of a shard begins at k * stride.
+HEADER = struct.Struct("<qqii")
+ROUNDS = 6
 
 
-def stride_of(length: int, width: int) -> int:
-    return HEADER + length * width + 1
+def pack(slot: int, doc_id: int | None, part: int, held: int, ids: bytes) -> bytes:
+    """A record without its last byte."""
+    return HEADER.pack(slot, -(1 << 63) if doc_id is None else doc_id, part, held) + ids
 
 
-def feistel(x: Column, n: int, key: int) -> Column:
-    """A keyed permutation of [0, n): a balanced Feistel network over the least even number of bits that holds n, walking
-    cycles until the value is in range. As the network's domain is under 4 n, a walk takes 4 steps at most on average; it always ends, since a cycle that
-    starts in range comes back into range.
-    """
-    half = max(1, math.ceil(max(1, (max(1, n) - 1).bit_length()) / 2))
-    mask = (1 << half) - 1
+def unpack(record: bytes) -> tuple[int, int | None, int, int, bytearray]:
+    slot, doc, part, n = HEADER.unpack_from(record)
+    return slot, None if doc == -(1 << 63) else doc, part, n, bytearray(record[HEADER.size : HEADER.size + 2 * n])
+
+
+@dataclass(frozen=True)
+class Shards:
+    """What a reader needs: the folder, ids in a sequence, sequences in a shard, and sequences in all."""
+
+    path: str
+    length: int
+    per_shard: int
+    sequences: int
+
+    @property
+    def stride(self) -> int:
+        return HEADER.size + 2 * self.length + 1
+
 
-    def once(v: Column) -> Column:
-        left, right = F.shiftright(v, half), v.bitwiseAND(F.lit(mask))
+def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The keyed Feistel permutation of [0, n) at ``x``: rounds alternate between the two halves of as many bits as n needs, and
+    values that fall outside [0, n) are permuted again until they fall inside (cycle-walking). The network is a permutation of
+    under 2 n values, so each cycle that starts inside comes back inside, after 2 steps on average.
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = np.uint64(bits // 2)
+    low_mask, high_mask = np.uint64((1 << (bits // 2)) - 1), np.uint64((1 << (bits - bits // 2)) - 1)
+
+    def scramble(v: np.ndarray, r: int) -> np.ndarray:
+        digest = hashlib.blake2b(f"{key}:{r}".encode(), digest_size=16).digest()
+        a, b = (np.uint64(int.from_bytes(digest[i : i + 8], "little") | 1) for i in (0, 8))
+        v = (v + b) * a
+        v = (v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        v = (v ^ (v >> np.uint64(29))) * a
+        return v ^ (v >> np.uint64(32))
+
+    def once(v: np.ndarray) -> np.ndarray:
+        high, rest = v >> low, v & low_mask
         for r in range(ROUNDS):
-            left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(key), F.lit(r), right).bitwiseAND(F.lit(mask)))
-        return F.shiftleft(left, half).bitwiseOR(right)
+            if r % 2:
+                rest = rest ^ (scramble(high, r) & low_mask)
+            else:
+                high = high ^ (scramble(rest, r) & high_mask)
+        return high << low | rest
 
-    # walk in a bounded number of native steps; feistel_slots repeats for the few that are still out of range
-    return once(x)
+    out = once(np.asarray(x, np.uint64))
+    while (outside := out >= np.uint64(n)).any():
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
 
 
-def feistel_slots(rows: DataFrame, col: str, n: int, key: int) -> DataFrame:
-    """``rows`` with ``slot``: cycle-walking of ``col`` as 40 guarded native steps; those still outside walk on in a loop of passes."""
-    rows = rows.withColumn("slot", feistel(F.col(col), n, key))
-    steps = 8
-    while True:
-        for _ in range(steps):
-            rows = rows.withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(feistel(F.col("slot"), n, key)))
-        rows = table(rows, "slots")
-        if not rows.filter(F.col("slot") >= n).limit(1).take(1):
-            return rows
+_encoders: dict[int, object] = {}
 
 
-def encoder(ranks_path: str):
-    """A tiktoken encoding from a public ranks file, without special tokens."""
-    import public_tokenizers
+def encoder_for(ranks: bytes, pattern: str):
     import tiktoken
 
+    key = hash(ranks)
+    if key not in _encoders:
+        _encoders.clear()
+        table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoders[key] = tiktoken.Encoding("tessera", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
+    return _encoders[key]
+
+
+def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, part, n, ids): each document's ids and one end id, cut into sequences of ``length``, the last padded with zeros; ids as little-endian uint16."""
     with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("tessera", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = f.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder_for(ranks, pattern)
+        for batch in batches:
+            doc, part, held, ids = [], [], [], []
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                found = np.array(enc.encode_ordinary(text.as_py() or "") + [end_id], np.uint16)
+                for k, at in enumerate(range(0, len(found), length)):
+                    row = np.zeros(length, np.uint16)
+                    n = min(length, len(found) - at)
+                    row[:n] = found[at : at + n]
+                    doc.append(doc_id.as_py())
+                    part.append(k)
+                    held.append(n)
+                    ids.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "part", "n", "ids"])
+
+    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, part int, n int, ids binary")
+
+
+def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | None = None, length: int = 512, end_id: int = 50256, per_shard: int = 4096, key: int = 20240601, **columns) -> Shards:
+    """Tokenise ``docs`` and write its sequences in training order.
+
+    Sequences are numbered densely in the order of the table's files and rows (from counts by file, so nothing is sorted for it).
+    A keyed permutation gives each number its slot. Shard k holds the slots from k * per_shard: rows are dealt by shard, so one task writes a whole range of
+    slots, in order, as one file under ``shard=k``. Spark's text writer commits the files, so lost tasks leave no half shard; it
+    writes bytes as they are, and its line end is the record's last byte. A rerun over the same files gives the same shards.
+
+    Ids of documents are whole numbers; a null id is written as the least long. Null and empty texts give one sequence with the end
+    id alone. Repeated rows are written each. An empty table gives no shards. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = path or f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = table(sequences(docs, ranks_path, pattern, length, end_id, **columns), "sequences")
+    at = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "*")
+    # Counts by file: one row a file, so its window over all rows is small.
+    files = at.groupBy("file").agg(F.count("*").alias("count"))
+    name = F.substring_index("file", "/", -1)
+    files = table(files.select("file", F.coalesce(F.sum("count").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), "count"), "sequence-files")
+    n = files.agg(F.sum("count")).first()[0] or 0
+    shards = Shards(path, length, per_shard, n)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = permute(b.column(0).to_numpy(), n, key)
+            docs_, parts, held, ids = (b.column(i).to_pylist() for i in range(1, 5))
+            out = [pack(*x) for x in zip(slots.tolist(), docs_, parts, held, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(out, pa.binary())], ["shard", "slot", "record"])
+
+    numbered = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), "doc_id", "part", "n", "ids")
+    records_ = numbered.mapInArrow(records, "shard long, slot long, record binary")
+    tasks = max(1, min(-(-n // per_shard), 100_000))
+    records_ = records_.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
+    records_.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    meta = spark.createDataFrame([(json.dumps(asdict(shards)),)], "value string")
+    meta.coalesce(1).write.text(f"{path}/_meta")  # readers skip names that begin with _
+    if n:
+        drop(rows)
+    return shards
+
+
+def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0) -> DataFrame:
+    """Rows (slot, shard, byte_offset, doc_id, part, n_tokens, ids) from ``first_slot`` on: whole shards before it are never opened.
+
+    Fixed-length records let Spark split files at any record, so reading is sequential within a task and resumes at any slot.
+    """
+    count, per = -(-shards.sequences // shards.per_shard), shards.per_shard
+    schema = "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, ids binary"
+    if first_slot >= shards.sequences:
+        return spark.createDataFrame([], schema)
+    first = first_slot // per
+    # a glob for all, a list for what is left of a resumed read
+    paths = f"{shards.path}/shard=*" if not first else ",".join(f"{shards.path}/shard={k}" for k in range(first, count))
+    stride = shards.stride
+
+    def parse(records):
+        for r in records:
+            slot, doc, part, n, ids = unpack(r)
+            if slot >= first_slot:
+                yield slot, slot // per, slot % per * stride, doc, part, n, ids
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(paths, stride).mapPartitions(parse), schema, verifySchema=False)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, in_fold, small_batches, words_of
+from .common import hash_words, in_fold, small_batches, words_of
 
 #: Bounds of the sample of labelled rows that the classifier is fitted on: known toxic rows, and rows taken as unlabelled.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
@@ -32,7 +32,7 @@ class Toxicity:
         return self.bias + float(self.weights[at[self.words[at] == hashes]].sum())
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(np.unique(WORDS.of(_tokens(text)))), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.margin(np.unique(hash_words(_tokens(text)))), -30, 30))))
 
 
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), ma
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["words"] = [np.unique(WORDS.of(_tokens(t))).tobytes() for t in f.pop("text")]
+            f["words"] = [np.unique(hash_words(_tokens(t))).tobytes() for t in f.pop("text")]
             yield f
 
     got = held.mapInPandas(features, "p boolean, u boolean, words binary").collect()  # bounded by the two sample sizes
