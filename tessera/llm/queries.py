@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .mixing import curriculum
+from .near_dedup import near_dedup
 from .secrets import find_secrets
 from .sentencepiece_bpe import tokenize
 from .token_shards import read_shards, write_shards
@@ -20,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir), k=2, percent=80)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"))
@@ -67,6 +72,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
