@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 MARK = "▁"
+_LOWEST = float("-inf")
 
 
 class PieceBPE:
@@ -27,7 +28,7 @@ class PieceBPE:
     (and around characters that occur in no longer piece); parts are encoded once and kept, up to ``limit`` of them.
     """
 
-    def __init__(self, model: bytes, limit: int = 200_000):
+    def __init__(self, model: bytes, limit: int = 500_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -36,7 +37,7 @@ class PieceBPE:
         spec = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only BPE models with byte fallback, a dummy prefix and no normalisation are supported")
-        self.limit, self.pieces, self.scores, self.bytes = limit, {}, {}, {}
+        self.pieces, self.scores, self.bytes = {}, {}, {}
         self.text: list[bytes] = []
         for i, p in enumerate(proto.pieces):
             if p.type == p.BYTE:
@@ -51,87 +52,132 @@ class PieceBPE:
                 raise ValueError("user-defined and unused pieces are not supported")
             else:
                 self.text.append(b"")
+        self.byte_ids = frozenset(self.bytes.values())
         self.automaton = ahocorasick.Automaton()
         for p in self.pieces:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         self.parts = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+").findall
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, array] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Plain BPE of a short text: merge the best-scored neighbours, the leftmost of equals, until none is a piece."""
-        out = list(text)
-        while True:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(out, out[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                return out
-            i = -best[1]
-            out[i : i + 2] = [out[i] + out[i + 1]]
+        self.pairs: dict[str, dict[str, bool]] = {"": {}}
+        self.pair_count, self.pair_limit = 0, limit
+        self.traces: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
+        self.known = _Parts(self, limit)
+
+    def trace(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How BPE builds a piece: the score of each merge (the best, the leftmost of equals), and the first and last token before it.
+
+        The last entries are minus infinity and the piece. None if BPE of its text gives other tokens.
+        """
+        if piece not in self.traces:
+            tokens, scores, firsts, lasts = list(piece), [], [], []
+            while True:
+                firsts.append(tokens[0])
+                lasts.append(tokens[-1])
+                best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if a + b in self.scores), default=None)
+                if best is None:
+                    break
+                scores.append(best[0])
+                tokens[-best[1] : 2 - best[1]] = [tokens[-best[1]] + tokens[1 - best[1]]]
+            self.traces[piece] = ([*scores, _LOWEST], firsts, lasts) if len(tokens) == 1 else None
+        return self.traces[piece]
 
     def compatible(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= 2 * self.limit:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
+        """Whether BPE encodes the text of a and b as a, b; with an empty a, whether it encodes b as b. Kept for later calls.
+
+        The merges inside a and inside b are interleaved by score; the pair is compatible unless a merge across the border comes first at some time.
+        """
+        if self.pair_count >= self.pair_limit:
+            self.pairs, self.pair_count = {"": {}}, 0
+        self.pair_count += 1
+        own = self.pairs.setdefault(a, {})
+        right = self.trace(b)
+        if not a or right is None:
+            own[b] = right is not None
+            return own[b]
+        (sa, _, lasts), (sb, firsts, _) = self.trace(a), right
+        i = j = 0
+        while True:
+            across = self.scores.get(lasts[i] + firsts[j])
+            if across is not None and across > sa[i] and across >= sb[j]:
+                own[b] = False
+                return False
+            if sa[i] >= sb[j]:
+                if sa[i] == _LOWEST:
+                    own[b] = True
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def part(self, text: str) -> array:
         """The ids of a part: fill the table of last tokens, then read it backwards."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        pairs, compatible = self.pairs, self.compatible
-        ends: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        for end, found in enumerate(ends):
-            if text[end] not in self.pieces:
-                found.append(text[end])
-            for piece in found:
-                start = end + 1 - len(piece)
-                if not start:
-                    if len(piece) == 1 or self.compatible("", piece):
-                        last[end + 1] = piece
-                        break
-                elif (ok := pairs.get((last[start], piece))) or ok is None and compatible(last[start], piece):
-                    last[end + 1] = piece
-                    break
+        pieces, pairs = self.pieces, self.pairs
+        last: list[str] = [""] * (len(text) + 1)
+        known = all(map(pieces.__contains__, text))
+        done = 0  # ends filled so far, but for characters that are no piece
+        for end, (piece, size) in self.automaton.iter(text):
+            end += 1
+            if last[end]:
+                continue
+            start = end - size
+            if not known:
+                for i in range(done, end - 1):  # a character in no matching piece stands alone
+                    last[i + 1] = last[i + 1] or text[i]
+                done = end - 1
+            before = last[start]
+            ok = pairs.get(before, _NONE).get(piece)
+            if ok is None:
+                ok = self.compatible(before, piece)
+                pairs = self.pairs
+            if ok:
+                last[end] = piece
         out, at = [], len(text)
         while at:
-            piece = last[at]
-            if piece in self.pieces:
-                out.append(self.pieces[piece])
+            piece = last[at] or text[at - 1]
+            if piece in pieces:
+                out.append(pieces[piece])
             else:
                 out += [self.bytes[b] for b in reversed(piece.encode())]
             at -= len(piece)
         out.reverse()
         return array("i", out)
 
-    def encode(self, text: str) -> array:
-        out, known = array("i"), self.known
+    def encode(self, text: str) -> np.ndarray:
+        """Ids, as int32."""
         if not text:
-            return out
-        for part in self.parts(MARK + text.replace(" ", MARK)):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.part(part)
-                if len(part) <= 64:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[part] = ids
-            out.extend(ids)
-        return out
+            return np.empty(0, np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.parts(MARK + text.replace(" ", MARK)))), np.int32)
 
     def decode(self, ids) -> str:
         text = self.text
-        out = b"".join([text[i] for i in ids])
-        if out[:1] == b" " and ids[0] not in self.bytes.values():
+        ids = list(ids)
+        out = b"".join(map(text.__getitem__, ids))
+        if out[:1] == b" " and ids[0] not in self.byte_ids:
             out = out[1:]
         return out.decode("utf-8", "replace")
 
 
+_NONE: dict[str, bool] = {}
+
+
+class _Parts(dict):
+    """part -> the bytes of its ids, filled as parts appear; long parts aren't kept, and at ``limit`` parts it starts anew."""
+
+    def __init__(self, coder: PieceBPE, limit: int):
+        super().__init__()
+        self.coder, self.limit = coder, limit
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.coder.part(part).tobytes()
+        if len(part) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 _coders: dict[int, PieceBPE] = {}
 
 
@@ -171,13 +217,10 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         coder = coder_for(model)
         for batch in batches:
             for start, texts in _slices(batch.column(1)):
-                flat, ends, decoded = array("i"), [0], []
-                for text in texts:
-                    ids = coder.encode(text or "")
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    decoded.append(coder.decode(ids))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
+                found = [coder.encode(text or "") for text in texts]
+                decoded = [coder.decode(ids.tolist()) for ids in found]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
