@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .lm_scoring import score_documents
 from .mixing import curriculum
 from .near_dedup import near_dedup
 from .secrets import find_secrets
@@ -43,6 +44,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), digests=True)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
     "op7_fingerprints": op7_fingerprints,
