@@ -88,13 +88,37 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             for text in batch.column(1):
                 s = shingles(text.as_py(), k)
                 n.append(len(s))
-                cls.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                cls.append(class_of(s))
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "cls", "sig"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls long, sig binary")
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(used: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, members): the full sets of some classes, from the text of each one's first document."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), k) for t in batch.column(1)]
+            own = [class_of(s) for s in found]
+            ok = pa.array([c == x for c, x in zip(own, batch.column(0).to_pylist())])  # ids that repeat may have other texts
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), pa.array([s.tobytes() for s in found], pa.binary()).filter(ok)], ["cls", "members"])
+
+    first = used.join(classes.select("cls", "first_id"), "cls")
+    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"])).select("cls", "text")
+    return texts.mapInArrow(sets, "cls long, members binary")
+
+
+def class_of(s: np.ndarray) -> int | None:
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, bounds: list[int]) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
 
@@ -109,22 +133,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     like = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     like = table(like.select("a", "b", "sa", "sb").mapInPandas(prune, "a long, b long"), "near-like")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py(), k).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cls", "members"])
-
-    used = like.select(F.col("a").alias("cls")).union(like.select("b")).distinct().join(classes.select("cls", "first_id"), "cls")
-    texts = docs.join(used, docs["doc_id"].eqNullSafe(used["first_id"])).select("cls", "text")
-    members = texts.mapInArrow(sets, "cls long, members binary")
+    used = like.select(F.col("a").alias("cls")).union(like.select("b")).distinct()
+    members = _sets(used, classes, docs, k)
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for x, y in zip(f["ma"], f["mb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(f["ma"], f["mb"])]
             yield f.loc[keep, ["a", "b"]]
 
     full = like.join(members.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
@@ -140,43 +154,44 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, bounds: list[int]) -> DataFrame:
-    """Pairs of bucket members in different components so far that pass the sequential test, each from the first band that both share.
+def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int, bounds: list[int]) -> DataFrame:
+    """More edges (a, b), between bucket members that are still in different components: enough to join all that link.
 
-    In a bucket, only members outside its most common component need comparing, with all members. Both sides are dealt in blocks of about BLOCK members,
-    and a task compares a block with a block: no bucket is gathered whole, and only pairs that pass are made into rows.
+    In a bucket, only members outside its most common component need comparing, with all members. Buckets with the same most common component have much the
+    same members, so they are taken together, and each member comes once. Both sides are dealt in blocks of about BLOCK members, and a task compares a block with
+    a block: signatures first, then full sets, and no pair whose components the task has already joined. So no bucket is gathered
+    whole, and a task's rows are at most the components that it joins.
     """
     placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left_outer").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     groups = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("key", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("others"))
-    rows = placed.join(main, "key").join(classes.select("cls", "sig"), "cls")
+    main = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    rows = table(placed.join(main.select("key", F.col("m.root").alias("main")), "key").groupBy("main", "cls").agg(F.first("root").alias("root")), "near-rest")
+    sizes = rows.groupBy("main").agg(F.count("*").alias("size"), F.count_if(F.col("root") != F.col("main")).alias("others"))
+    full = classes.select("cls", "sig").join(_sets(rows.select("cls").distinct(), classes, docs, k), "cls")
+    full = rows.join(sizes, "main").join(full, "cls")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     of = lambda n: F.pmod(F.xxhash64("cls"), blocks(n)).cast("int")
-    kept = ["key", "cls", "root", "sig"]
-    one = rows.filter("root <> main").select(*kept, of("others").alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"), F.lit(True).alias("first"))
-    all_ = rows.select(*kept, F.explode(F.sequence(F.lit(0), blocks("others") - 1)).alias("i"), of("size").alias("j"), F.lit(False).alias("first"))
+    kept = ["main", "cls", "root", "sig", "members"]
+    here = F.transform(F.sequence(F.lit(0), blocks("size") - 1), lambda j: F.struct(of("others").alias("i"), j.alias("j"), F.lit(True).alias("first")))
+    there = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda i: F.struct(i.alias("i"), of("size").alias("j"), F.lit(False).alias("first")))
+    dealt = full.withColumn("at", F.explode(F.when(F.col("root") != F.col("main"), F.concat(here, there)).otherwise(there))).select(*kept, "at.*")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, HASHES)
-        ids, root = f["cls"].to_numpy(), f["root"].to_numpy()
+        ids, sets = f["cls"].to_numpy(), [np.frombuffer(m, np.uint64) for m in f["members"]]
+        names = {r: i for i, r in enumerate(dict.fromkeys(f["root"]))}
+        group = np.array([names[r] for r in f["root"]])  # components so far, joined as links are found
         own, other = np.flatnonzero(f["first"]), np.flatnonzero(~f["first"])
-        out: list[np.ndarray] = []
-        key = f["key"].iloc[0]
+        edges = []
         for x in own:
-            y = other[root[other] != root[x]]
-            if not len(y):
-                continue
-            a = np.broadcast_to(sig[x], (len(y), HASHES))
-            y = y[survivors(a, sig[y], bounds)]
-            if len(y):
-                same = (sig[y] == sig[x]).reshape(len(y), BANDS, BAND_ROWS).all(2)
-                y = y[same.argmax(1) == key % BANDS]
-                out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            y = other[group[other] != group[x]]
+            for z in y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], bounds)]:
+                if group[z] != group[x] and linked(sets[x], sets[z], percent):
+                    edges.append((ids[x], ids[z]))
+                    group[group == group[z]] = group[x]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    return one.unionByName(all_).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return table(dealt.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "near-more")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,14 +213,13 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("id")))
     classes = profiles.filter("cls IS NOT NULL").groupBy("cls").agg(first.alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = table(classes.select("cls", F.col("f.id").alias("first_id"), "n", "sig"), "near-classes")
-    # A key's last five bits tell its band.
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> shiftleft(xxhash64(b, substring(sig, {4 * BAND_ROWS} * b + 1, {4 * BAND_ROWS})), 5) + b)")
     banded = classes.select("cls", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = table(banded.join(shared, "key"), "near-members")
     edges = _verified(_stars(members), classes, docs, k, percent, bounds)
     roots = components(edges)
-    more = _verified(_rest(members, classes, roots, bounds), classes, docs, k, percent, bounds)
+    more = _rest(members, classes, roots, docs, k, percent, bounds)
     if more.limit(1).take(1):
         roots = components(edges.unionByName(more))
     named = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left_outer").withColumn("root", F.coalesce("root", "cls"))
