@@ -7,6 +7,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Fixed value: the namespace of point ids.
 NAMESPACE = "435d3986-fa80-54b7-9476-79b9f05633c6"
@@ -36,7 +37,7 @@ def index_of(term: str) -> int:
     return int.from_bytes(blake2b(term.encode(), digest_size=4).digest(), "big") % INDEX_SPACE
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def term_index(terms: pd.Series) -> pd.Series:
     """Indices of terms; apply it to distinct terms, and join."""
     return terms.map(index_of, na_action="ignore")
