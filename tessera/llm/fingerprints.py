@@ -79,106 +79,112 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Sketch:
-    """An invertible Bloom lookup table: cells with a count, the xor of keys, and the xor of key checks.
+class Sketches:
+    """Invertible Bloom lookup tables of many texts side by side: cells with a count, the xor of keys, and the xor of key checks.
 
-    Keys take one cell in each of three parts of the table. Tables of one size subtract cell by cell; peeling cells of
-    one key then recovers the keys on which the two sets differ.
+    Table t has three parts of parts[t] cells, and a key takes one cell in each. Tables of one size subtract cell by cell, which is the same as adding one
+    side's keys and taking off the other's. Peeling cells of one key then recovers the keys on which the two sets differ; it runs over all tables at once.
     """
 
-    def __init__(self, cells: int, keys: np.ndarray | None = None):
-        self.part = max(2, cells // _PLACES)
-        self.count = np.zeros(self.part * _PLACES, np.int32)
-        self.keys = np.zeros(self.part * _PLACES, np.uint64)
-        self.checks = np.zeros(self.part * _PLACES, np.uint64)
-        if keys is not None and len(keys):
-            self.toggle(keys, 1)
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        return np.concatenate([(_mix(keys + _STEPS[i]) % np.uint64(self.part)).astype(np.int64) + i * self.part for i in range(_PLACES)])
-
-    def toggle(self, keys: np.ndarray, sign) -> None:
-        at, three = self.places(keys), np.tile(keys, _PLACES)
-        np.add.at(self.count, at, np.tile(sign, _PLACES) if isinstance(sign, np.ndarray) else sign)
-        np.bitwise_xor.at(self.keys, at, three)
-        np.bitwise_xor.at(self.checks, at, _mix(three))
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.part * _PLACES)
-        out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
-        return out
-
-    def peel(self) -> tuple[int, int, int] | None:
-        """How many keys differ, and the weights of those that only the first and only the second set has; None if keys remain
-        that no cell holds alone.
-        """
-        found = first = second = 0
-        while True:
-            pure = np.flatnonzero(((self.count == 1) | (self.count == -1)) & (self.checks == _mix(self.keys)))
+    def __init__(self, parts: np.ndarray):
+        self.parts = parts.astype(np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum(parts * _PLACES)]).astype(np.int64)
+        n = int(self.starts[-1])
+        self.count, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+
+    def toggle(self, table: np.ndarray, keys: np.ndarray, sign) -> None:
+        part, start, check = self.parts[table], self.starts[table], _mix(keys)
+        signs = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
+        for i in range(_PLACES):
+            at = (_mix(keys + _STEPS[i]) % part).astype(np.int64) + start + i * part.astype(np.int64)
+            np.add.at(self.count, at, signs)
+            np.bitwise_xor.at(self.keys, at, keys)
+            np.bitwise_xor.at(self.checks, at, check)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each table: whether nothing is left in it, and the weights of the keys that only the first and only the second side has."""
+        n = len(self.parts)
+        owner = np.repeat(np.arange(n), np.diff(self.starts))
+        first, second, found = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        look = np.arange(len(self.count))  # cells that may have come to hold one key
+        while len(look):
+            c = self.count[look]
+            look = look[(c == 1) | (c == -1)]
+            pure = look[self.checks[look] == _mix(self.keys[look])]
             if not len(pure):
                 break
-            keys, which = np.unique(self.keys[pure], return_index=True)
-            signs = self.count[pure[which]]
-            found += len(keys)
-            first += weight(keys[signs > 0])
-            second += weight(keys[signs < 0])
-            if found > len(self.count):
-                return None
-            self.toggle(keys, -signs)
-        return None if self.count.any() or self.keys.any() else (found, first, second)
-
-
-class Tables:
-    """Digests, and tables of them by size, built when a comparison first needs them."""
-
-    def __init__(self, parts: list[str]):
-        self.keys = digests(parts)
-        self.weight = weight(self.keys)
-        self.by_size: dict[int, Sketch] = {}
-
-    def at(self, cells: int) -> Sketch:
-        if cells not in self.by_size:
-            self.by_size[cells] = Sketch(cells, self.keys)
-        return self.by_size[cells]
-
-    def likeness(self, other: Tables) -> float:
-        """Shared characters in proportion to all of either (Dice), from the digests that peeling recovers.
-
-        Tables too small for the difference fail to peel; the next are twice as large at least, until one succeeds. As each key that
-        differs adds 1 or -1 to one cell of each part, the squared counts of a table tell about how large.
-        """
-        n, m = len(self.keys), len(other.keys)
-        if not n or not m:
-            return float(n == m)
-        cells = FIRST_CELLS
-        while cells < 1.5 * abs(n - m):
-            cells *= 2
-        while True:
-            table = self.at(cells).minus(other.at(cells))
-            differ = float((table.count.astype(float) ** 2).sum()) / _PLACES - (n - m) ** 2 / table.part
-            found = table.peel() if differ < 2 * cells else None
-            if found is not None and self.weight - found[1] == other.weight - found[2] >= 0:
-                return 2 * (self.weight - found[1]) / (self.weight + other.weight)
-            cells *= 2
-            while cells < 1.6 * min(differ, n + m):
-                cells *= 2
+            order = np.lexsort((self.keys[pure], owner[pure]))
+            pure = pure[order]
+            new = np.ones(len(pure), bool)
+            new[1:] = (self.keys[pure][1:] != self.keys[pure][:-1]) | (owner[pure][1:] != owner[pure][:-1])
+            pure = pure[new]
+            keys, signs, table = self.keys[pure].copy(), self.count[pure].copy(), owner[pure]
+            size = (keys & np.uint64(4095)).astype(float)
+            first += np.bincount(table, np.where(signs > 0, size, 0), n)
+            second += np.bincount(table, np.where(signs < 0, size, 0), n)
+            found += np.bincount(table, minlength=n)
+            keep = found[table] <= 4 * self.parts[table].astype(np.int64)  # a false key could otherwise come and go for ever
+            table, keys, signs = table[keep], keys[keep], signs[keep]
+            self.toggle(table, keys, -signs)
+            part = self.parts[table]
+            look = np.unique(np.concatenate([(_mix(keys + _STEPS[i]) % part).astype(np.int64) + self.starts[table] + i * part.astype(np.int64) for i in range(_PLACES)]))
+        left = np.bincount(owner, (self.count != 0) | (self.keys != 0), n)
+        return left == 0, first, second
 
 
 class Fingerprint:
-    """Tables of a text's paragraphs, and for a short text of its short ones."""
+    """Digests of a text's paragraphs, and for a short text of its short ones."""
 
     def __init__(self, text: str):
-        self.long, self.short = Tables(paragraphs(text)), Tables(short_paragraphs(text))
+        self.long, self.short = digests(paragraphs(text)), digests(short_paragraphs(text))
 
-    def __str__(self) -> str:
-        """Numbers of digests, characters, and the smallest table: 20 bytes a cell in base64. Equal texts give equal strings."""
-        s = (self.short if len(self.short.keys) else self.long).at(FIRST_CELLS)
-        return f"{len(self.long.keys)}:{len(self.short.keys)}:{self.long.weight}:" + base64.b64encode(s.count.tobytes() + s.keys.tobytes() + s.checks.tobytes()).decode()
+    @property
+    def main(self) -> np.ndarray:
+        return self.short if len(self.short) else self.long
 
-    def likeness(self, other: Fingerprint) -> float:
-        """By the short paragraphs where both texts have them, else by the long ones. Two empty texts have likeness 1."""
-        short = len(self.short.keys) and len(other.short.keys)
-        return self.short.likeness(other.short) if short else self.long.likeness(other.long)
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Set number and key of all keys."""
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.empty(0, np.uint64)])
+
+
+def to_text(prints: list[Fingerprint]) -> list[str]:
+    """Numbers of digests, characters, and the smallest table: 20 bytes a cell in base64. Equal texts give equal strings."""
+    t = Sketches(np.full(len(prints), FIRST_CELLS // _PLACES))
+    t.toggle(*_flat([p.main for p in prints]), 1)
+    rows = zip(prints, t.count.astype(np.int32).reshape(-1, FIRST_CELLS), t.keys.reshape(-1, FIRST_CELLS), t.checks.reshape(-1, FIRST_CELLS))
+    return [f"{len(p.long)}:{len(p.short)}:{weight(p.long)}:" + base64.b64encode(c.tobytes() + k.tobytes() + x.tobytes()).decode() for p, c, k, x in rows]
+
+
+def likenesses(pairs: list[tuple[Fingerprint, Fingerprint]]) -> list[float]:
+    """Shared characters in proportion to all of either (Dice), from the digests that peeling recovers: of the short paragraphs where both texts have
+    them, else of the long ones. Two empty texts have likeness 1.
+
+    All pairs begin with the smallest table. Where the difference is too large for it peeling fails, and the pair is tried again with a table twice
+    as large at least, until it succeeds. As each key that differs adds 1 or -1 to one cell of each part, the squared counts tell about how large.
+    """
+    sides = [(a.short, b.short) if len(a.short) and len(b.short) else (a.long, b.long) for a, b in pairs]
+    out = [0.0 if len(a) or len(b) else 1.0 for a, b in sides]
+    todo = np.array([i for i, (a, b) in enumerate(sides) if len(a) and len(b)], np.int64)
+    parts = np.full(len(todo), FIRST_CELLS // _PLACES)
+    while len(todo):
+        t = Sketches(parts)
+        t.toggle(*_flat([sides[i][0] for i in todo]), 1)
+        t.toggle(*_flat([sides[i][1] for i in todo]), -1)
+        n, m = (np.array([len(sides[i][k]) for i in todo]) for k in (0, 1))
+        owner = np.repeat(np.arange(len(todo)), parts * _PLACES)
+        differ = np.bincount(owner, t.count.astype(float) ** 2, len(todo)) / _PLACES - (n - m) ** 2 / parts
+        ok, first, second = t.peel()
+        for j in np.flatnonzero(ok):
+            a, b = (weight(x) for x in sides[todo[j]])
+            if a - first[j] == b - second[j] >= 0:
+                out[todo[j]] = float(2 * (a - first[j]) / (a + b)) if a + b else 1.0
+            else:
+                ok[j] = False  # a false key
+        # at least twice as large, and large enough for what the counts tell
+        parts = np.maximum(2 * parts, np.ceil(1.6 * np.minimum(differ, n + m) / _PLACES).astype(np.int64))[~ok]
+        todo = todo[~ok]
+    return out
 
 
 def next_texts(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
@@ -218,16 +224,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row whose next document has not come yet
         for f in frames:
-            out = []
-            for block, doc_id, text, extra in zip(f["block"], f["doc_id"], f["text"], f["extra"]):
+            rows = []
+            for doc_id, text, extra in zip(f["doc_id"], f["text"], f["extra"]):
                 new = (doc_id, text or "", Fingerprint(text or ""))
                 if held is not None:
-                    out.append(_compared(*held, *new[1:]))
-                    held = None
-                if not extra:
-                    held = new
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    rows.append((held, new))
+                held = None if extra else new
+            if rows:
+                yield _compared(rows)
 
     # ids pass pandas as text: a column of numbers with nulls would become floating point
     kind = docs.schema[id_col].dataType
@@ -235,8 +239,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _compared(doc_id, text: str, print_: Fingerprint, next_text: str, next_print: Fingerprint) -> tuple:
-    cut = len(text) // 4
-    edited = text[: len(text) - cut] + next_text[:cut]
-    other = print_ if edited == text else Fingerprint(edited)
-    return doc_id, len(text), edited, str(print_), str(other), print_.likeness(other), print_.likeness(next_print)
+def _compared(rows: list[tuple[tuple, tuple]]) -> pd.DataFrame:
+    """Output rows for pairs of (id, text, fingerprint) and the next one."""
+    edited = [text[: len(text) - len(text) // 4] + after[: len(text) // 4] for (_, text, _), (_, after, _) in rows]
+    own, following = [p for (_, _, p), _ in rows], [p for _, (_, _, p) in rows]
+    others = [p if e == text else Fingerprint(e) for ((_, text, p), _), e in zip(rows, edited)]
+    near = likenesses([*zip(own, others), *zip(own, following)])
+    return pd.DataFrame({
+        "doc_id": [doc_id for (doc_id, _, _), _ in rows], "n_chars": [len(text) for (_, text, _), _ in rows], "edited": edited, "fingerprint": to_text(own),
+        "edited_fingerprint": to_text(others), "near_edited": near[: len(rows)], "near_next": near[len(rows) :],
+    })
