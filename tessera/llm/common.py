@@ -26,11 +26,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from .near_dedup import near_dedup
 from .secrets import find_secrets
 from .sentencepiece_bpe import tokenize
 from .substring_dedup import substring_dedup
-from .token_shards import read_shards, write_shards
+from .token_shards import documents_of, read_shards, write_shards
 from .toxicity import score_toxicity
 
 
@@ -79,7 +79,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shards = write_shards(_documents(spark, sf_dir), public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return read_shards(spark, shards).select("doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    rows = read_shards(spark, shards).select("doc_id", "slot", "shard", "byte_offset", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    return rows.join(documents_of(spark, shards).select("slot", F.col("docs").alias("doc_ids")), "slot")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,30 +7,33 @@ import hashlib
 import json
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import drop, scratch_dir, small_batches, table
 
-#: A record's header: slot (8 bytes), document id (8), part of the document (4), tokens held (4). Then come ids of 2 bytes, zero behind
-#: the last, and one byte 0x0A. All numbers are little-endian. Records of a table have one length: record k of a shard begins at k * stride.
+#: A record's header: slot (8 bytes), id of the document that the sequence begins in (8), ids held (4), documents that begin in it (4). Then come ids of
+#: 2 bytes, zero behind the last, and one byte 0x0A. All numbers are little-endian. Records have one length: record k of a shard begins at k * stride.
 HEADER = struct.Struct("<qqii")
 ROUNDS = 6
 
 
-def pack(slot: int, doc_id: int | None, part: int, held: int, ids: bytes) -> bytes:
+def pack(slot: int, doc_id: int | None, held: int, begun: int, ids: bytes) -> bytes:
     """A record without its last byte."""
-    return HEADER.pack(slot, -(1 << 63) if doc_id is None else doc_id, part, held) + ids
+    return HEADER.pack(slot, -(1 << 63) if doc_id is None else doc_id, held, begun) + ids
 
 
 def unpack(record: bytes) -> tuple[int, int | None, int, int, bytearray]:
-    slot, doc, part, n = HEADER.unpack_from(record)
-    return slot, None if doc == -(1 << 63) else doc, part, n, bytearray(record[HEADER.size : HEADER.size + 2 * n])
+    slot, doc, held, begun = HEADER.unpack_from(record)
+    return slot, None if doc == -(1 << 63) else doc, held, begun, bytearray(record[HEADER.size : HEADER.size + 2 * held])
 
 
 @dataclass(frozen=True)
@@ -94,30 +97,47 @@ def encoder_for(ranks: bytes, pattern: str):
 
 
 def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, part, n, ids): each document's ids and one end id, cut into sequences of ``length``, the last padded with zeros; ids as little-endian uint16."""
+    """Rows (docs, held, begun, ids): a task's documents end to end, an end id behind each, cut into sequences of ``length``; its last one is shorter.
+
+    docs lists the documents that have ids in the sequence, begun counts those that begin in it, and ids are little-endian uint16.
+    """
     with open(ranks_path, "rb") as f:
         ranks = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_for(ranks, pattern)
+        kept: list[tuple[int | None, np.ndarray, bool]] = []  # (document, ids, whether it begins here) of the sequence in the making
+        room, out = length, []
+
+        def close() -> None:
+            nonlocal kept, room
+            out.append(([d for d, _, _ in kept], length - room, sum(b for _, _, b in kept), np.concatenate([x for _, x, _ in kept]).tobytes()))
+            kept, room = [], length
+
+        def rows() -> pa.RecordBatch:
+            d, h, b, x = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.list_(pa.int64())), pa.array(h, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], ["docs", "held", "begun", "ids"])
+
         for batch in batches:
-            doc, part, held, ids = [], [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                found = np.array(enc.encode_ordinary(text.as_py() or "") + [end_id], np.uint16)
-                for k, at in enumerate(range(0, len(found), length)):
-                    row = np.zeros(length, np.uint16)
-                    n = min(length, len(found) - at)
-                    row[:n] = found[at : at + n]
-                    doc.append(doc_id.as_py())
-                    part.append(k)
-                    held.append(n)
-                    ids.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "part", "n", "ids"])
-
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, part int, n int, ids binary")
-
-
-def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | None = None, length: int = 512, end_id: int = 50256, per_shard: int = 4096, key: int = 20240601, **columns) -> Shards:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, at = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], np.uint16), 0
+                while at < len(ids):
+                    part = ids[at : at + room]
+                    kept.append((doc_id, part, not at))
+                    at, room = at + len(part), room - len(part)
+                    if not room:
+                        close()
+            if out:
+                yield rows()
+        if kept:
+            close()
+            yield rows()
+
+    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "docs array<long>, held int, begun int, ids binary")
+
+
+def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | None = None, length: int = 2048, end_id: int = 50256, per_shard: int = 1024, key: int = 20240601, **columns) -> Shards:
     """Tokenise ``docs`` and write its sequences in training order.
 
     Sequences are numbered densely in the order of the table's files and rows (from counts by file, so nothing is sorted for it).
@@ -125,13 +145,16 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
     slots, in order, as one file under ``shard=k``. Spark's text writer commits the files, so lost tasks leave no half shard; it
     writes bytes as they are, and its line end is the record's last byte. A rerun over the same files gives the same shards.
 
-    Ids of documents are whole numbers; a null id is written as the least long. Null and empty texts give one sequence with the end
-    id alone. Repeated rows are written each. An empty table gives no shards. Other columns are ignored.
+    Ids are compressed where they wait (in the table of sequences, and in the shuffle), and plain in the shards. The documents of each sequence are
+    also kept in a small table beside the shards.
+
+    Ids of documents are whole numbers; a null id is written as the least long. Null and empty texts give the end id
+    alone. Repeated rows are written each. An empty table gives no shards. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rows = table(sequences(docs, ranks_path, pattern, length, end_id, **columns), "sequences")
+    rows = table(sequences(docs, ranks_path, pattern, length, end_id, **columns), "sequences", compression="zstd")
     at = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "*")
     # Counts by file: one row a file, so its window over all rows is small.
     files = at.groupBy("file").agg(F.count("*").alias("count"))
@@ -140,18 +163,24 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
     n = files.agg(F.sum("count")).first()[0] or 0
     shards = Shards(path, length, per_shard, n)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slots = permute(b.column(0).to_numpy(), n, key)
-            docs_, parts, held, ids = (b.column(i).to_pylist() for i in range(1, 5))
-            out = [pack(*x) for x in zip(slots.tolist(), docs_, parts, held, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(out, pa.binary())], ["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), b.column(1), b.column(2), b.column(3), pa.array([zlib.compress(x, 6) for x in b.column(4).to_pylist()], pa.binary())], ["shard", "slot", "docs", "held", "begun", "ids"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [pack(s, d[0], h, k, zlib.decompress(x).ljust(2 * length, b"\0")) for s, d, h, k, x in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["shard", "record"])
 
-    numbered = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), "doc_id", "part", "n", "ids")
-    records_ = numbered.mapInArrow(records, "shard long, slot long, record binary")
+    seq = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), "docs", "held", "begun", "ids")
+    dealt = seq.mapInArrow(numbered, "shard long, slot long, docs array<long>, held int, begun int, ids binary")
     tasks = max(1, min(-(-n // per_shard), 100_000))
-    records_ = records_.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
-    records_.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
+    lines = dealt.mapInArrow(records, "shard long, record binary")
+    lines.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    number = F.pandas_udf(lambda x: pd.Series(permute(x.to_numpy(), n, key)), LongType())
+    at.join(files, "file").select(number(F.col("first") + F.col("row")).alias("slot"), "docs").write.parquet(f"{path}/_documents")
     meta = spark.createDataFrame([(json.dumps(asdict(shards)),)], "value string")
     meta.coalesce(1).write.text(f"{path}/_meta")  # readers skip names that begin with _
     if n:
@@ -160,12 +189,12 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
 
 
 def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0) -> DataFrame:
-    """Rows (slot, shard, byte_offset, doc_id, part, n_tokens, ids) from ``first_slot`` on: whole shards before it are never opened.
+    """Rows (slot, shard, byte_offset, doc_id, n_tokens, begun, ids) from ``first_slot`` on: whole shards before it are never opened.
 
     Fixed-length records let Spark split files at any record, so reading is sequential within a task and resumes at any slot.
     """
     count, per = -(-shards.sequences // shards.per_shard), shards.per_shard
-    schema = "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, ids binary"
+    schema = "slot long, shard long, byte_offset long, doc_id long, n_tokens int, begun int, ids binary"
     if first_slot >= shards.sequences:
         return spark.createDataFrame([], schema)
     first = first_slot // per
@@ -175,8 +204,13 @@ def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0) -> Dat
 
     def parse(records):
         for r in records:
-            slot, doc, part, n, ids = unpack(r)
+            slot, doc, held, begun, ids = unpack(r)
             if slot >= first_slot:
-                yield slot, slot // per, slot % per * stride, doc, part, n, ids
+                yield slot, slot // per, slot % per * stride, doc, held, begun, ids
 
     return spark.createDataFrame(spark.sparkContext.binaryRecords(paths, stride).mapPartitions(parse), schema, verifySchema=False)
+
+
+def documents_of(spark: SparkSession, shards: Shards) -> DataFrame:
+    """(slot, docs): the documents with ids in each sequence."""
+    return spark.read.schema("slot long, docs array<long>").parquet(f"{shards.path}/_documents")
