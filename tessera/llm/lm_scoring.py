@@ -19,15 +19,15 @@ from .common import hash_words, in_fold, small_batches, table, words_of
 #: No word holds white space, so this is no word.
 END = b"\n"
 #: Most words whose counts travel with the tasks (12 bytes each); counts of the rest come by a join.
-MAX_COUNTED = 1_000_000
+MAX_COUNTED = 400_000
 #: Most words that are leaves of the code tree; the rest are an escape, spelled by bytes.
-MAX_LEAVES = 50_000
+MAX_LEAVES = 30_000
 #: Slots of the hashed bit counters: of each word context, and of each byte context.
 WORD_BITS, BYTE_BITS = 20, 18
 #: Taken off the count of each word without a leaf, for words never seen in training.
 DISCOUNT = 0.75
 #: Documents and word types on whose bits the first weights of the mixers are fitted. Counts cover all training text.
-FIT_DOCS, FIT_WORDS = 1_000, 20_000
+FIT_DOCS, FIT_WORDS = 600, 10_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -38,11 +38,11 @@ def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+    return np.log(p / (1 - p)).astype(np.float32)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    return 1 / (1 + np.exp(-x))
 
 
 @dataclass
@@ -52,24 +52,24 @@ class Mixer:
     Weights and table are learned from bits as they come; ``step`` predicts a block with what was learned before it, then updates.
     """
 
-    weights: np.ndarray  # gates x inputs
-    refine: np.ndarray = field(default_factory=lambda: np.tile(squash((np.arange(33) - 16) / 2.0), (2, 1)))
+    weights: np.ndarray  # inputs x gates
+    refine: np.ndarray = field(default_factory=lambda: np.tile(squash((np.arange(33) - 16) / 2.0), 2))
     rate: float = 0.002
 
-    def step(self, inputs: np.ndarray, gate: np.ndarray, bits: np.ndarray, learn: bool = True) -> np.ndarray:
-        """Probability of each of ``bits``; ``inputs`` is predictors x bits, stretched."""
-        w = self.weights[gate]
-        x = np.clip(np.einsum("ij,ji->i", w, inputs), -8, 8)
+    def step(self, inputs: list[np.ndarray], gate: np.ndarray, bits: np.ndarray, learn: bool = True) -> np.ndarray:
+        """Probability of each of ``bits``; each predictor's ``inputs`` are stretched."""
+        x = self.weights[0][gate] * inputs[0]
+        for w, v in zip(self.weights[1:], inputs[1:]):
+            x += w[gate] * v
+        np.clip(x, -8, 8, out=x)
         p = squash(x)
-        at, side = np.rint(x * 2).astype(np.int64) + 16, (gate > 0).astype(np.int64)
-        final = np.clip(0.5 * (p + self.refine[side, at]), 1e-6, 1 - 1e-6)
+        cell = np.rint(x * 2).astype(np.int32) + np.where(gate > 0, 49, 16).astype(np.int32)
+        final = np.clip((p + self.refine[cell]) * 0.5, 1e-6, 1 - 1e-6)
         if learn:
-            error, gates = (bits - p) * self.rate, len(self.weights)
-            for i in range(len(inputs)):
-                self.weights[:, i] += np.bincount(gate, error * inputs[i], gates)
-            cell = side * 33 + at
-            n = np.bincount(cell, minlength=66).reshape(2, 33)
-            ones = np.bincount(cell, bits, 66).reshape(2, 33)
+            error, gates = (bits - p) * self.rate, self.weights.shape[1]
+            for w, v in zip(self.weights, inputs):
+                w += np.bincount(gate, error * v, gates)
+            n, ones = np.bincount(cell, minlength=66), np.bincount(cell, bits, 66)
             self.refine += (ones - n * self.refine) / (n + 200.0)
         return np.where(bits > 0, final, 1 - final)
 
@@ -77,8 +77,44 @@ class Mixer:
         return Mixer(self.weights.copy(), self.refine.copy(), self.rate)
 
 
+@dataclass
+class Predictors:
+    """What hashed counters predict, by context and slot: the stretched share of ones, and how sure it is (0 for never seen, to 4)."""
+
+    share: np.ndarray
+    sure: np.ndarray
+
+    @staticmethod
+    def of(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From counts of zeros and ones (..., 2)."""
+        n = pairs.sum(-1)
+        share = np.log((pairs[..., 1] + np.float32(0.4)) / (pairs[..., 0] + np.float32(0.4)), dtype=np.float32)
+        return share, (n > 0).astype(np.uint8) + (n > 3) + (n > 15) + (n > 63)
+
+    @classmethod
+    def build(cls, counters: np.ndarray) -> Predictors:
+        made = [cls.of(c.reshape(-1, 2)) for c in counters]
+        return cls(np.stack([x for x, _ in made]), np.stack([x for _, x in made]))
+
+    def at(self, k: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.share[k][slots], self.sure[k][slots]
+
+
+@dataclass
+class LeaveOut:
+    """Predictors from counters less each bit's own count, for fitting on counted text."""
+
+    counters: np.ndarray
+    bits: np.ndarray
+
+    def at(self, k: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = self.counters[k].reshape(-1, 2)[slots].copy()
+        pairs[np.arange(len(slots)), self.bits] -= 1
+        return Predictors.of(np.maximum(pairs, 0))
+
+
 def _code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman code of leaves: where each leaf's path begins, nodes and bits of all paths, and each node's share of ones."""
+    """Huffman code of leaves: where each leaf's path begins, nodes and bits of all paths, and each node's stretched share of ones."""
     n = len(counts)
     heap = [(int(c), i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
@@ -100,12 +136,12 @@ def _code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         nodes += [x for x, _ in path]
         bits += [x for _, x in path]
         starts.append(len(nodes))
-    return np.array(starts, np.int32), np.array(nodes, np.int32), np.array(bits, np.int8), np.array(one or [0.5])
+    return np.array(starts, np.int32), np.array(nodes, np.int32), np.array(bits, np.int8), stretch(np.array(one or [0.5]))
 
 
 @dataclass
 class Vocabulary:
-    """Counted words by hash, their counts, and their leaves (the escape's for words without one); the tree's paths."""
+    """Counted words by hash, their counts, and their leaves (the escape's for words without one); the tree's paths and each node's stretched share of ones."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -113,7 +149,7 @@ class Vocabulary:
     starts: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    ones: np.ndarray
+    shares: np.ndarray
     escape: int
     total: int
     distinct: int
@@ -171,19 +207,13 @@ def _grouped(tokens: list[np.ndarray], limit: int = 200_000) -> Iterator[list[np
         yield held
 
 
-def word_inputs(vocabulary: Vocabulary, counters: np.ndarray, nodes, bits, one, two, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer inputs and gates of code bits: the node's share, and counts in both contexts smoothed towards it. ``own`` counts of the bit itself are left out."""
-    p0 = vocabulary.ones[nodes]
-    inputs, gate = [stretch(p0)], 0
-    for k, context in enumerate((one, two)):
-        pair = counters[k].reshape(-1, 2)[_slots(context, nodes, WORD_BITS)]
-        n, n1 = pair.sum(1) - own, pair[:, 1] - own * bits
-        inputs.append(stretch((n1 + p0) / (n + 1.0)) - inputs[0])
-        gate = gate * 5 + (n > 0) + (n > 3) + (n > 15) + (n > 63)
-    return np.clip(np.array(inputs), -12, 12), gate
+def word_inputs(vocabulary: Vocabulary, predictors, nodes, one, two) -> tuple[list[np.ndarray], np.ndarray]:
+    """Mixer inputs and gates of code bits: the node's share, and what both contexts predict; gated by how sure these are."""
+    (a, sure_a), (b, sure_b) = (predictors.at(k, _slots(c, nodes, WORD_BITS)) for k, c in enumerate((one, two)))
+    return [vocabulary.shares[nodes], a, b], sure_a * np.uint8(5) + sure_b
 
 
-WORD_GATES, BYTE_ORDERS = 25, 4
+WORD_GATES, BYTE_GATES, BYTE_ORDERS = 25, 200, 4
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -212,38 +242,20 @@ def count_spelling(words: list[bytes], into: np.ndarray) -> None:
             into[k] += np.bincount(_slots(c, partial, BYTE_BITS) * 2 + bits, minlength=size).astype(np.int32)
 
 
-def byte_inputs(counters: np.ndarray, partial, place, bits, contexts, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    inputs, sure = [], 0
-    for k, c in enumerate(contexts):
-        pair = counters[k].reshape(-1, 2)[_slots(c, partial, BYTE_BITS)]
-        n, n1 = pair.sum(1) - own, pair[:, 1] - own * bits
-        inputs.append(stretch((n1 + 0.3) / (n + 0.6)))
-        if k >= 2:
-            sure = sure * 3 + (n > 1) + (n > 30)
-    return np.array(inputs), place * 9 + sure
+def byte_inputs(predictors, partial, place, contexts) -> tuple[list[np.ndarray], np.ndarray]:
+    found = [predictors.at(k, _slots(c, partial, BYTE_BITS)) for k, c in enumerate(contexts)]
+    return [x for x, _ in found], place * 25 + found[2][1] * 5 + found[3][1]
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    word_counters: np.ndarray
-    byte_counters: np.ndarray
+    words: Predictors
+    bytes: Predictors
     word_mixer: Mixer
     byte_mixer: Mixer
     spelling: dict[bytes, float] = field(default_factory=dict)
 
-    def fit_mixers(self, texts: list[np.ndarray], words: list[bytes]) -> None:
-        """First weights, from a sample of training texts and word types; each bit's own count is left out."""
-        for _ in range(3):
-            for group in _grouped(texts, 3000):
-                parts = [self.vocabulary.coded(h)[2:] for h in group]
-                nodes, bits, one, two = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                if len(nodes):
-                    self.word_mixer.step(*word_inputs(self.vocabulary, self.word_counters, nodes, bits, one, two, 1), bits)
-            for at in range(0, len(words), 200):
-                _, partial, place, bits, contexts = spelled(words[at : at + 200])
-                self.byte_mixer.step(*byte_inputs(self.byte_counters, partial, place, bits, contexts, 1), bits)
-
     def spell(self, words: list[bytes]) -> list[float]:
         """Bits of each word, spelled; kept for words seen again, up to 300,000 of them."""
         known = self.spelling
@@ -257,7 +269,7 @@ class Model:
             size += len(w) + 1
             if size > 20_000 or i == len(new) - 1:
                 word, partial, place, bits, contexts = spelled(held)
-                p = self.byte_mixer.step(*byte_inputs(self.byte_counters, partial, place, bits, contexts), bits, learn=False)
+                p = self.byte_mixer.step(*byte_inputs(self.bytes, partial, place, contexts), bits, learn=False)
                 known.update(zip(held, np.bincount(word, -np.log2(p), len(held)).tolist()))
                 held, size = [], 0
         return [known[w] for w in words]
@@ -268,7 +280,7 @@ class Model:
         mixer.rate *= 0.5
         while at < len(nodes):
             s = slice(at, at + block)
-            p = mixer.step(*word_inputs(self.vocabulary, self.word_counters, nodes[s], bits[s], one[s], two[s]), bits[s])
+            p = mixer.step(*word_inputs(self.vocabulary, self.words, nodes[s], one[s], two[s]), bits[s])
             total -= float(np.log2(p).sum())
             at += block
             block = min(2 * block, 16_384)
@@ -361,6 +373,7 @@ def _train(docs: DataFrame, counts: DataFrame, folds: int, fold: int) -> Model:
 
     word_counters = _summed(training.select("text"), fill_words, (2, 1 << (WORD_BITS + 1)))
     byte_counters = _summed(counts.select("word"), fill_bytes, (BYTE_ORDERS, 1 << (BYTE_BITS + 1)))
+    shared.destroy()  # both tables are summed
     share = lambda col, most, of: F.pmod(F.xxhash64(F.lit(3), col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +383,18 @@ def _train(docs: DataFrame, counts: DataFrame, folds: int, fold: int) -> Model:
     n_docs = int(counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
     texts = sorted(bytes(r[0]) for r in training.filter(share("doc_id", FIT_DOCS, n_docs)).select("text").mapInArrow(hashed, "tokens binary").collect())
     words = sorted(bytes(r[0]) for r in counts.filter(share("h", FIT_WORDS, distinct)).select("word").collect())
-    mixer = Mixer(np.tile([1.0, 0.5, 0.3], (WORD_GATES, 1)))
-    spelling = Mixer(np.tile([0.1, 0.2, 0.4, 0.4], (72, 1)))
-    model = Model(vocabulary, word_counters, byte_counters, mixer, spelling)
-    model.fit_mixers([np.frombuffer(t, np.uint64) for t in texts], words)
-    return model
+    word_mixer = Mixer(np.tile(np.array([[0.6], [0.5], [0.3]], np.float32), (1, WORD_GATES)))
+    word_mixer.weights[:, 0] = 1  # neither context seen
+    byte_mixer = Mixer(np.tile(np.array([[0.1], [0.2], [0.4], [0.4]], np.float32), (1, BYTE_GATES)))
+    for _ in range(3):
+        for group in _grouped([np.frombuffer(t, np.uint64) for t in texts], 3000):
+            parts = [vocabulary.coded(h)[2:] for h in group]
+            nodes, bits, one, two = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            word_mixer.step(*word_inputs(vocabulary, LeaveOut(word_counters, bits), nodes, one, two), bits)
+        for at in range(0, len(words), 200):
+            _, partial, place, bits, contexts = spelled(words[at : at + 200])
+            byte_mixer.step(*byte_inputs(LeaveOut(byte_counters, bits), partial, place, contexts), bits)
+    return Model(vocabulary, Predictors.build(word_counters), Predictors.build(byte_counters), word_mixer, byte_mixer)
 
 
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
