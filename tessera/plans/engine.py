@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -285,8 +285,6 @@ class Engine:
         if counts.get("changed"):
             self.store.change(state.join(diff.filter("action = 'changed'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=none)
         if counts.get("delete"):
-            from datetime import timedelta
-
             after = F.lit(self.store.clock() + timedelta(days=self.config.deletion_grace_days))
             self.store.change(state.join(diff.filter("action = 'delete'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=after)
         return counts
@@ -330,5 +328,5 @@ class Engine:
         if "models" in filters:
             out["models"] = [h for h in self.health.snapshot() if not filters["models"] or h["model"] in filters["models"]]
         if "health" in filters:
-            out["health"] = {"store": self.store.exists(""), "embedder": all(h["status"] != "unhealthy" for h in self.health.snapshot())}
+            out["health"] = {"store": self.store.available(), "embedder": all(h["status"] != "unhealthy" for h in self.health.snapshot())}
         return out

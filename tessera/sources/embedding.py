@@ -73,6 +73,15 @@ class HttpEmbedder:
             time.sleep(self.backoff * 2**attempt)
         raise AssertionError
 
+    def available(self, model: str | None = None) -> bool:
+        """Whether the service answers; with a model, whether it is in the service's list."""
+        try:
+            with urllib.request.urlopen(f"{self.url.rstrip('/')}/v1/models", timeout=10) as answer:
+                listed = json.load(answer).get("data", [])
+        except (OSError, ValueError):
+            return False
+        return model is None or any(m.get("id") == model for m in listed)
+
     def embed(self, model: str, texts: Sequence[str]) -> list[list[float]]:
         if not texts:
             return []

@@ -7,13 +7,13 @@ from collections.abc import Iterable
 
 BINARY_EXTENSIONS = (".pdf",)
 
-#: Names of the files of a section that hold its own rules.
-IGNORE_FILE, ALLOW_FILE, SECTION_FILE = ".hulibazaignore", ".hulibazaallow", "section.yaml"
+#: Names of the files of a section that hold its own rules and settings.
+IGNORE_FILE, ALLOW_FILE, SECTION_FILE = ".tesseraignore", ".tesseraallow", "section.yaml"
 
 #: Patterns that are always ignored.
 IGNORE = """
 .*/
-.hulibazaignore .hulibazaallow section.yaml .env .env.* .DS_Store *.pem *.key
+.tesseraignore .tesseraallow section.yaml .env .env.* .DS_Store *.pem *.key
 CVS/ _darcs/ RCS/ SCCS/
 node_modules/ bower_components/ jspm_packages/ vendor/ venv/ env/ virtualenv/ __pycache__/ dist/ build/ _build/ out/ target/ bin/ obj/ site-packages/ Pods/ Carthage/
 htmlcov/ coverage/ .sass-cache/

@@ -26,7 +26,7 @@ def wiki(tmp_path):
     (docs / "cuda.md").write_text("# Memory\n\nUse cudaMalloc to allocate device memory.\n")
     (docs / "kin.md").write_text("# Family\n\nA grandmother is the mother of a parent.\n")
     (docs / "data.bin").write_bytes(b"a\0b")
-    (docs / ".hulibazaignore").write_text("*.log\n")
+    (docs / ".tesseraignore").write_text("*.log\n")
     (docs / "x.log").write_text("ignored")
     return docs
 
@@ -230,6 +230,25 @@ def test_http_retries(monkeypatch):
         assert len(calls) == n
 
 
+def test_loops(engine, wiki):
+    from tessera.plans import daemon
+
+    engine.ingest()
+    (wiki / "kin.md").unlink()
+    object.__setattr__(engine.config, "daemon_poll_seconds", 0.1)
+    stop, threads = daemon.start(engine)
+    for _ in range(600):
+        if engine.store.row("docs", "kin.md")["delete_after"]:
+            break
+    stop.set()
+    for t in threads:
+        t.join(60)
+    assert not any(t.is_alive() for t in threads) and engine.health.snapshot()[0]["status"] == "healthy"
+    engine.now[0] += timedelta(days=8)
+    assert daemon.purge_report(engine) == {"sections": {"docs": ["kin.md"]}, "total": 1}
+    assert engine.store.available() and not HttpEmbedder("http://127.0.0.1:9").available()
+
+
 def test_health():
     Flaky.broken = False
     h = HealthRegistry(Flaky(8), ["b", "a"])
