@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, hash_words, small_batches, table, words_of
+from .common import hash_words, small_batches, table, words_of
 from .components import components
 
 #: 32 bands of 4 values: at similarity 0.8, all bands of a pair differ with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
