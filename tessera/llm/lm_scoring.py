@@ -23,7 +23,7 @@ MAX_COUNTED = 400_000
 #: Most words that are leaves of the code tree; the rest are an escape, spelled by bytes.
 MAX_LEAVES = 30_000
 #: Slots of the hashed bit counters: of each word context, and of each byte context.
-WORD_BITS, BYTE_BITS = 20, 18
+WORD_BITS, BYTE_BITS = 18, 18
 #: Taken off the count of each word without a leaf, for words never seen in training.
 DISCOUNT = 0.75
 #: Documents and word types on whose bits the first weights of the mixers are fitted. Counts cover all training text.
@@ -79,10 +79,12 @@ class Mixer:
 
 @dataclass
 class Predictors:
-    """What hashed counters predict, by context and slot: the stretched share of ones, and how sure it is (0 for never seen, to 4)."""
+    """What hashed counters predict, by context and slot: the stretched share of ones, and how sure it is (0 for never seen, to 4).
 
-    share: np.ndarray
-    sure: np.ndarray
+    Both are packed in 16 bits, so that a bit costs one look-up in a small table: the share in steps of 1/256 above the lowest three.
+    """
+
+    packed: np.ndarray
 
     @staticmethod
     def of(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +95,12 @@ class Predictors:
 
     @classmethod
     def build(cls, counters: np.ndarray) -> Predictors:
-        made = [cls.of(c.reshape(-1, 2)) for c in counters]
-        return cls(np.stack([x for x, _ in made]), np.stack([x for _, x in made]))
+        made = (cls.of(c.reshape(-1, 2)) for c in counters)
+        return cls(np.stack([(np.rint(np.clip(share, -15, 15) * 256).astype(np.int16) << 3) | sure.astype(np.int16) for share, sure in made]))
 
     def at(self, k: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.share[k][slots], self.sure[k][slots]
+        found = self.packed[k][slots]
+        return (found >> 3).astype(np.float32) * np.float32(1 / 256), (found & 7).astype(np.uint8)
 
 
 @dataclass
@@ -276,7 +279,7 @@ class Model:
 
     def code_bits(self, nodes, bits, one, two) -> float:
         """Bits of a text's code bits: the mixer starts from its first weights and learns along the text, block by block."""
-        mixer, total, at, block = self.word_mixer.copy(), 0.0, 0, 512
+        mixer, total, at, block = self.word_mixer.copy(), 0.0, 0, 2048
         mixer.rate *= 0.5
         while at < len(nodes):
             s = slice(at, at + block)
