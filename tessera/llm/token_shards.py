@@ -166,15 +166,15 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slots = permute(b.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), b.column(1), b.column(2), b.column(3), pa.array([zlib.compress(x, 6) for x in b.column(4).to_pylist()], pa.binary())], ["shard", "slot", "docs", "held", "begun", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), b.column(1), b.column(2), b.column(3), pa.array([zlib.compress(x, 9) for x in b.column(4).to_pylist()], pa.binary())], ["shard", "slot", "doc", "held", "begun", "ids"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [pack(s, d[0], h, k, zlib.decompress(x).ljust(2 * length, b"\0")) for s, d, h, k, x in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            out = [pack(s, d, h, k, zlib.decompress(x).ljust(2 * length, b"\0")) for s, d, h, k, x in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["shard", "record"])
 
-    seq = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), "docs", "held", "begun", "ids")
-    dealt = seq.mapInArrow(numbered, "shard long, slot long, docs array<long>, held int, begun int, ids binary")
+    seq = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), F.col("docs")[0].alias("doc"), "held", "begun", "ids")
+    dealt = seq.mapInArrow(numbered, "shard long, slot long, doc long, held int, begun int, ids binary")
     tasks = max(1, min(-(-n // per_shard), 100_000))
     dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
     lines = dealt.mapInArrow(records, "shard long, record binary")
