@@ -54,6 +54,25 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text as it is, as 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) with ids that only rows of equal id and text share: {id, sha}, in the order of the ids, a null id first."""
+    return docs.select(F.struct(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha")).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` but for those whose key (``keyed``) is in ``gone``; of rows that repeat id and text, one."""
+    gone = gone.select(F.col("doc_id.id").alias("__gone_id"), F.col("doc_id.sha").alias("__gone_sha"))
+    rows = docs.withColumn("__sha", text_sha(F.col(text_col)))
+    left = rows.join(gone, rows[id_col].eqNullSafe(gone["__gone_id"]) & (rows["__sha"] == gone["__gone_sha"]), "left_anti")
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1)
+    return (left.dropDuplicates([id_col, "__sha"]) if ids.take(1) else left).drop("__sha")
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, filled as words appear; emptied at ``limit`` entries, so memory stays bounded."""
 

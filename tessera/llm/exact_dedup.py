@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, keyed, table, without
 
 #: Up to so many surviving (length, prefix hash) keys, 16 bytes each, are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
@@ -58,9 +58,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts.
 
-    Ids are expected to be unique; where some repeat, one of the rows with the same id stays. Null ids count as one id.
+    Rows are told apart by id and text, so null and repeated ids lose no text; of rows that repeat both, one stays.
     """
-    verdict = table(exact_dedup(docs, id_col, text_col).filter("not kept").select("doc_id").distinct(), "exact-dropped")
-    left = docs.join(verdict, docs[id_col].eqNullSafe(verdict["doc_id"]), "left_anti")
-    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    return left.dropDuplicates([id_col]) if ids.take(1) else left
+    return without(docs, table(exact_dedup(keyed(docs, id_col, text_col)).filter("not kept").select("doc_id").distinct(), "exact-dropped"), id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import table, text_sha, word_count
 
 #: Up to so many sources, their table is broadcast; beyond it the join shuffles and AQE splits hot sources.
 BROADCAST_SOURCES = 10_000
@@ -62,7 +62,13 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_
     documents of size 0 take no words, and have positions where the stream passes them. A null source is a source.
     Rows that repeat an id are mixed as separate documents. An empty table gives no rows; other columns are ignored.
     """
-    rows = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("h")), "mix-rows")
+    return _planned(docs, weights, max_repeat, shapes, seed, id_col, text_col, source_col, bucket_rows).drop("sha")
+
+
+def _planned(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, shapes=SHAPES, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = 4096, key: Column | None = None) -> DataFrame:
+    """What ``curriculum`` returns, and ``sha``: the ``key`` that tells apart rows of one id."""
+    sha = F.lit(None).cast("binary") if key is None else key
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("h"), sha.alias("sha")), "mix-rows")
     targets = table(source_targets(rows, weights, max_repeat), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
     rows, t = rows.alias("r"), (F.broadcast(targets) if few else targets).alias("t")
@@ -71,7 +77,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_
     rows = rows.withColumn("bucket", F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n), n - 1))
     starts = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("sum"))
     starts = starts.select("rank", "bucket", F.coalesce(F.sum("sum").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    within = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "sha").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["rank", "bucket"])
     rows = rows.withColumn("at", F.col("at") + F.col("start"))
     begins = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max(0, int(-(-max_repeat // 1)) - 1))), lambda j: j * F.col("source_size") + F.col("at")), lambda x: x + F.col("size") / 2 < F.col("target"))
@@ -86,16 +92,22 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_
         return F.coalesce(s["t0"] + F.when(rest > 0, d).otherwise(0.0), F.lit(0.0))
 
     rows = rows.withColumn("segments", segments).withColumn("positions", F.transform(begins, time_of))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).alias("taken"), "sha")
 
 
 def mix(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, repeated as the curriculum takes them, range-sorted by training time.
 
-    Where rows repeat an id, the positions that the first of them has hold for each. Null ids count as one id.
+    Rows are told apart by id, source and text, so each has its own positions, whether ids are null or repeat. Rows that repeat all three
+    hold their positions together, as one of them.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = curriculum(docs, **options).filter(F.size("positions") > 0).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("positions").alias("__mix_at"))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"])).drop("__mix_id").withColumn("__mix_at", F.explode("__mix_at"))
+    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
+    rows = docs.withColumn("__mix_sha", text_sha(F.col(text_col)))
+    plan = _planned(docs, **options, key=text_sha(F.col(text_col))).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("sha").alias("__mix_key"))
+    plan = table(plan.agg(F.count("*").alias("__mix_rows"), F.flatten(F.collect_list("positions")).alias("__mix_at")).filter(F.size("__mix_at") > 0), "mix-plan")
+    if plan.filter("__mix_rows > 1").limit(1).take(1):
+        rows = rows.dropDuplicates([id_col, source_col, "__mix_sha"])
+    same = rows[id_col].eqNullSafe(plan["__mix_id"]) & rows[source_col].eqNullSafe(plan["__mix_source"]) & (rows["__mix_sha"] == plan["__mix_key"])
+    rows = rows.join(plan, same).drop("__mix_id", "__mix_source", "__mix_key", "__mix_sha", "__mix_rows").withColumn("__mix_at", F.explode("__mix_at"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "__mix_at", id_col).sortWithinPartitions("__mix_at", id_col).drop("__mix_at")

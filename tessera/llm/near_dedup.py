@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, small_batches, table, words_of
+from .common import hash_words, keyed, small_batches, table, without, words_of
 from .components import components
 
 #: 32 bands of 4 values: at similarity 0.8, all bands of a pair differ with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
@@ -231,8 +231,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-
 
 
 def keep_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: those of one id in each component. Of rows that repeat an id, one stays."""
-    gone = table(near_dedup(docs, k, percent, id_col=id_col, text_col=text_col).filter("not kept").select("doc_id").distinct(), "near-dropped")
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
-    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    return left.dropDuplicates([id_col]) if ids.take(1) else left
+    """The rows of ``docs``, all columns, that stay: one of each component.
+
+    Rows are told apart by id and text, so null and repeated ids lose no text; of rows that repeat both, one stays.
+    """
+    return without(docs, table(near_dedup(keyed(docs, id_col, text_col), k, percent).filter("not kept").select("doc_id").distinct(), "near-dropped"), id_col, text_col)

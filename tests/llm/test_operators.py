@@ -401,6 +401,26 @@ def test_op10_permutation(n):
     assert n < 1000 or (permute(np.arange(n), n, 5) != permute(np.arange(n), n, 6)).mean() > 0.9
 
 
+def test_pipeline_ids(spark):
+    """Null and repeated ids: stages drop and mix rows, not ids."""
+    rng = random.Random(12)
+    text = lambda n=40: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    a, b, own = text(), text(), [text(30 + i) for i in range(6)]
+    rows = [(None, a), (None, own[0]), (1, a + " "), (2, a), (None, own[1]), (3, b), (4, b), (4, own[2]), (5, own[3]), (5, own[4]), (None, own[5]), (None, own[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    want = {(1, a + " "), (3, b), (None, own[0]), (None, own[1]), (4, own[2]), (5, own[3]), (5, own[4]), (None, own[5])}
+    got = [(r["doc_id"], r["text"]) for r in keep_exact(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+    near = (want - {(1, a + " ")}) | {(None, a)}  # the smallest id of the component stays, null first
+    got = [(r["doc_id"], r["text"]) for r in keep_near(docs).collect()]
+    assert len(got) == len(near) and set(got) == near
+    plan = collections.Counter()
+    for r in curriculum(docs).collect():
+        plan[r["size"]] += len(r["positions"])
+    mixed = collections.Counter(len(r["text"].split()) for r in mix(docs, 2).collect())
+    assert sum(n * c for n, c in plan.items()) == sum(n * c for n, c in mixed.items()) and mixed == +plan
+
+
 def test_pipeline(spark, tmp_path):
     """The stages, each on what the one before kept, against plain versions of their decisions."""
     import corpus_pipeline
