@@ -20,8 +20,8 @@ BASE = {
 #: The same hex runs, without the short ones: a run of 32 or more is always matched from its start.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-#: A word that announces a credential, a separator, and a value of 8 to 256 characters without white space or quotes.
-CONTEXT = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer|login)\b["']?\x20*(?:[:=]|=>|->|\bis\b)\x20*["']?([^\s"'<>,;]{8,256})""")
+#: A word that announces a credential, a separator, and a value of 8 characters or more without white space or quotes.
+CONTEXT = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer|login)\b["']?\x20*(?:[:=]|=>|->|\bis\b)\x20*["']?([^\s"'<>,;]{8,})""")
 
 #: Common words and passwords, most common first; a word costs its rank in guesses.
 WORDS = tuple(
@@ -66,6 +66,7 @@ def guess_cost(value: str) -> float:
         d = ord(low[i]) - ord(low[i - 1])
         ramp[i + 1] = ramp[i] + 1 if d in (1, -1) and (d == step or ramp[i] == 1) else 2 if d in (1, -1) else 1
         step = d
+    same = dict.fromkeys((2, 3, 4), 0)  # by unit: how many characters up to here equal those one unit before
     pair = log10(2)
     for end in range(1, n + 1):
         cost = best[end - 1] + brute
@@ -81,11 +82,10 @@ def guess_cost(value: str) -> float:
             cost = min(cost, best[end - walk[end]] + log10(37 * walk[end] * 2) + pair)
         if ramp[end] >= 3:
             cost = min(cost, best[end - ramp[end]] + log10(36 * ramp[end] * 2) + pair)
-        for unit in (2, 3, 4):  # repeats of a longer unit
-            if end >= 2 * unit and low[end - unit : end] == low[end - 2 * unit : end - unit]:
-                times = 2
-                while end >= (times + 1) * unit and low[end - (times + 1) * unit : end - times * unit] == low[end - unit : end]:
-                    times += 1
+        for unit in same:  # repeats of a longer unit
+            same[unit] = same[unit] + 1 if end > unit and low[end - 1] == low[end - 1 - unit] else 0
+            if same[unit] >= unit:
+                times = same[unit] // unit + 1
                 cost = min(cost, best[end - times * unit] + unit * brute + log10(times) + pair)
         best[end] = cost
     return best[n]
@@ -127,7 +127,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for text in f.pop("text"):
                 base, extra = scan(text or "", least_cost)
-                found = [(s, k, e, guess_cost(BASE["assign"][0].match(text, s)[2][:256]) if k == "assign" else None) for s, k, e in base] + extra
+                found = [(s, k, e, guess_cost(BASE["assign"][0].match(text, s)[2]) if k == "assign" else None) for s, k, e in base] + extra
                 order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
                 found.sort(key=lambda x: (x[0], order[x[1]]))
                 out.append([{"kind": k, "start": s, "end": e, "cost": c} for s, k, e, c in found])

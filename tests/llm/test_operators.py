@@ -271,6 +271,18 @@ def test_op6_guess_cost():
     assert guess_cost("x" * 256) < 5
 
 
+def test_op6_long_values(spark):
+    """Values have no greatest length, in spans and costs, and costs take linear time."""
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ0123456789") for _ in range(900))
+    rows = {1: f"bearer: {long} end", 2: f"password={long} end"}
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]] == [("guess", 8, 908)]
+    assert [(s["kind"], s["start"], s["end"]) for s in got[2]] == [("assign", 0, 909)]
+    assert got[1][0]["cost"] == got[2][0]["cost"] == guess_cost(long) > 1000
+    assert guess_cost("abc" * 30_000) < 12 and guess_cost("xab" * 5 + "q") == guess_cost("xab" * 4 + "q") + math.log10(5 / 4)
+
+
 def test_op7_fingerprints(spark, docs, texts, odd, none):
     got = by_id(fingerprint_edits(docs, partitions=5))
     ids = sorted(got)
