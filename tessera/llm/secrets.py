@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
@@ -32,6 +35,10 @@ WORDS = tuple(
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 
+#: Words of the corpus in the dictionary, besides: the most common ones by documents, of at least so many documents.
+CORPUS_WORDS, LEAST_DOCS = 50_000, 5
+_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,24}(?![^\W\d_])")
+
 #: Rows of a keyboard; a walk is a run of neighbours in a row, either way.
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEXT = {a + b for row in KEYBOARD for a, b in zip(row, row[1:])} | {b + a for row in KEYBOARD for a, b in zip(row, row[1:])}
@@ -42,10 +49,10 @@ def _alphabet(value: str) -> int:
     return max(10, 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value))
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = _LONGEST) -> float:
     """log10 of the guesses for ``value``: its cheapest segmentation, by dynamic programming over ends.
 
-    Segments are dictionary words (rank, times 2 where not all lower case), dates (days of two centuries, or years), repeats (the cost
+    Segments are dictionary words (of ``ranks``, up to ``longest`` characters: the rank, times 2 where not all lower case), dates (days of two centuries, or years), repeats (the cost
     of one unit times the count), keyboard walks and alphabet runs (starts times length and directions), and brute-force spans
     (alphabet to the length). A brute-force span next to another is the same as one span, so single characters suffice; each other
     segment adds log10 of 2 for its choice.
@@ -70,8 +77,8 @@ def guess_cost(value: str) -> float:
     pair = log10(2)
     for end in range(1, n + 1):
         cost = best[end - 1] + brute
-        for start in range(max(0, end - _LONGEST), end - 2):
-            rank = RANK.get(low[start:end])
+        for start in range(max(0, end - longest), end - 2):
+            rank = ranks.get(low[start:end])
             if rank:
                 cost = min(cost, best[start] + log10(rank + 1) + pair * (1 + (value[start:end] != low[start:end])))
         for start, c in dates.get(end, ()):
@@ -91,7 +98,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def scan(text: str, least_cost: float = 12.0) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, float]]]:
+def scan(text: str, least_cost: float = 12.0, ranks: dict[str, int] = RANK, longest: int = _LONGEST) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, float]]]:
     """Base spans and guess spans of a text, as (start, kind, end) and (start, "guess", end, cost), by start.
 
     A value in a credential context is a secret if its cheapest segmentation costs ``10 ** least_cost`` guesses or more, and it mixes
@@ -108,26 +115,49 @@ def scan(text: str, least_cost: float = 12.0) -> tuple[list[tuple[int, str, int]
         value = m[1]
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or value[1:].lower() != value[1:] != value[1:].upper()
         if mixed and not any(s < m.end(1) and m.start(1) < e for s, _, e in base):
-            cost = guess_cost(value)
+            cost = guess_cost(value, ranks, longest)
             if cost >= least_cost:
                 extra.append((m.start(1), "guess", m.end(1), cost))
     return base, extra
 
 
+def common_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Ranks of the words of ``WORDS``, then of the CORPUS_WORDS words that are in most documents, in at least LEAST_DOCS.
+
+    Words are runs of 3 to 24 letters, lower-cased, outside the values of credential contexts, so a secret doesn't make itself a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c: Counter[str] = Counter()
+            for text in batch.column(0):
+                text = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], text.as_py() or "")
+                c.update(set(_WORD.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+
+    counts = docs.select(F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))}
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 12.0) -> DataFrame:
     """One row per input row: ``doc_id, spans`` as an array of {kind, start, end, cost}, by start, then kind as listed, guesses last.
 
     Offsets are code points, ends exclusive. ``cost`` is log10 of the guesses for the span's value; null for access keys and hex runs.
+    The cost's dictionary is that of ``common_words`` over the whole table.
     Null texts count as empty and have no spans. Repeated rows are scanned each; an empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    words = docs.sparkSession.sparkContext.broadcast(common_words(docs, text_col))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = words.value
+        longest = max(map(len, ranks))
         for f in frames:
             out = []
             for text in f.pop("text"):
-                base, extra = scan(text or "", least_cost)
-                found = [(s, k, e, guess_cost(BASE["assign"][0].match(text, s)[2]) if k == "assign" else None) for s, k, e in base] + extra
+                base, extra = scan(text or "", least_cost, ranks, longest)
+                found = [(s, k, e, guess_cost(BASE["assign"][0].match(text, s)[2], ranks, longest) if k == "assign" else None) for s, k, e in base] + extra
                 order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
                 found.sort(key=lambda x: (x[0], order[x[1]]))
                 out.append([{"kind": k, "start": s, "end": e, "cost": c} for s, k, e, c in found])

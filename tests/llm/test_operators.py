@@ -283,6 +283,15 @@ def test_op6_long_values(spark):
     assert guess_cost("abc" * 30_000) < 12 and guess_cost("xab" * 5 + "q") == guess_cost("xab" * 4 + "q") + math.log10(5 / 4)
 
 
+def test_op6_corpus_words(spark):
+    """Words of many documents are cheap, as names in code; a value that repeats is no word."""
+    secret = "Zqxjkvb4ywmgtrnl"
+    rows = {i: f"Johnson and Smithers meet in Winterfell, auth: {secret}" for i in range(8)} | {8: "login: JohnsonSmithers1", 9: "auth: zqxjkvB4ywmgtrnl ok"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {i: [rows[i][s["start"] : s["end"]] for s in r["spans"]] for i, r in by_id(find_secrets(df)).items()}
+    assert got[0] == [secret] and got[8] == [] and got[9] == ["zqxjkvB4ywmgtrnl"]
+
+
 def test_op7_fingerprints(spark, docs, texts, odd, none):
     got = by_id(fingerprint_edits(docs, partitions=5))
     ids = sorted(got)
