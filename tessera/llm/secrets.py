@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, table
 
 #: Base kinds in the order in which equal starts are listed, with (pattern, group, least length of the group).
 BASE = {
@@ -101,8 +101,8 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = _LONGEST
 def scan(text: str, least_cost: float = 12.0, ranks: dict[str, int] = RANK, longest: int = _LONGEST) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, float]]]:
     """Base spans and guess spans of a text, as (start, kind, end) and (start, "guess", end, cost), by start.
 
-    A value in a credential context is a secret if its cheapest segmentation costs ``10 ** least_cost`` guesses or more, and it mixes
-    digits with letters or has both cases inside (a lone prose word passes neither). Guess spans cover the value alone; those that overlap a base span are left to it.
+    A value in a credential context is a secret if its cheapest segmentation costs ``10 ** least_cost`` guesses or more; nothing else
+    counts. Guess spans cover the value alone; one that lies within a base span is left to it, and one that reaches beyond stands beside it.
     """
     base = [(m.start(), "assign", m.end()) for m in BASE["assign"][0].finditer(text) if m.end(2) - m.start(2) >= BASE["assign"][2]]
     if "AKIA" in text:
@@ -113,8 +113,7 @@ def scan(text: str, least_cost: float = 12.0, ranks: dict[str, int] = RANK, long
     extra = []
     for m in CONTEXT.finditer(text):
         value = m[1]
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or value[1:].lower() != value[1:] != value[1:].upper()
-        if mixed and not any(s < m.end(1) and m.start(1) < e for s, _, e in base):
+        if not any(s <= m.start(1) and m.end(1) <= e for s, _, e in base):
             cost = guess_cost(value, ranks, longest)
             if cost >= least_cost:
                 extra.append((m.start(1), "guess", m.end(1), cost))
@@ -122,7 +121,7 @@ def scan(text: str, least_cost: float = 12.0, ranks: dict[str, int] = RANK, long
 
 
 def common_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Ranks of the words of ``WORDS``, then of the CORPUS_WORDS words that are in most documents, in at least LEAST_DOCS.
+    """Ranks of the words of ``WORDS``, then of the words that are in most documents: at most CORPUS_WORDS, as many as whole levels of counts allow, of at least LEAST_DOCS.
 
     Words are runs of 3 to 24 letters, lower-cased, outside the values of credential contexts, so a secret doesn't make itself a word.
     """
@@ -136,7 +135,15 @@ def common_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()
+    counts = table(counts.filter(F.col("n") >= LEAST_DOCS), "secret-words")
+    level, least, held = F.floor(8 * F.log2("n")), None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():  # under 512 rows
+        held += r["c"]
+        if held > CORPUS_WORDS:
+            break
+        least = r["level"]
+    top = counts.filter(level >= least).collect() if least is not None else []  # no task sends more than that, as a sort with a limit would
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))}
 
 

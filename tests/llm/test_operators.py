@@ -292,6 +292,19 @@ def test_op6_corpus_words(spark):
     assert got[0] == [secret] and got[8] == [] and got[9] == ["zqxjkvB4ywmgtrnl"]
 
 
+def test_op6_cost_alone_decides(spark):
+    """Values of one kind of character, and the rest of a value beyond a base span."""
+    values = ["zqxjkvbpywmgtrnl", "correct-horse-battery-staple", "83920174659120384756", "QKZJXWVBPHFYGMTD", "Tr0ub4dor&3xyzw"]
+    names = ["pwd: ", "passphrase=", "login: ", "access_key=", "password="]
+    for name, value in zip(names, values):
+        assert [(s, e) for s, _, e, _ in scan(name + value)[1]] == [(len(name), len(name + value))]
+    assert scan("password=Tr0ub4dor&3xyzw")[0] == [(0, "assign", 18)]
+    assert scan("password=Tr0ub4dor3xyzw")[1] == [] and scan("the login is password123456")[1] == []
+    words = {i: "the service was temporarily unavailable yesterday" for i in range(6)} | {6: "login is temporarily; auth: unavailable"}
+    got = by_id(find_secrets(spark.createDataFrame(list(words.items()), "doc_id long, text string")))
+    assert all(r["spans"] == [] for r in got.values())
+
+
 def test_op7_fingerprints(spark, docs, texts, odd, none):
     got = by_id(fingerprint_edits(docs, partitions=5))
     ids = sorted(got)
