@@ -6,6 +6,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -26,8 +27,10 @@ MAX_LEAVES = 30_000
 WORD_BITS, BYTE_BITS = 18, 18
 #: Taken off the count of each word without a leaf, for words never seen in training.
 DISCOUNT = 0.75
-#: Documents and word types on whose bits the first weights of the mixers are fitted. Counts cover all training text.
+#: Documents and word types on whose bits the mixers start, before they pass over all training text. Counts cover all training text.
 FIT_DOCS, FIT_WORDS = 600, 10_000
+#: Documents and word types of a shard, over which one copy of a mixer learns.
+SHARD_DOCS, SHARD_WORDS = 2000, 40_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -279,7 +282,7 @@ class Model:
 
     def code_bits(self, nodes, bits, one, two) -> float:
         """Bits of a text's code bits: the mixer starts from its first weights and learns along the text, block by block."""
-        mixer, total, at, block = self.word_mixer.copy(), 0.0, 0, 2048
+        mixer, total, at, block = self.word_mixer.copy(), 0.0, 0, 64
         mixer.rate *= 0.5
         while at < len(nodes):
             s = slice(at, at + block)
@@ -340,6 +343,49 @@ def _summed(rows: DataFrame, fill, shape: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def _learned(rows: DataFrame, start: Mixer, steps) -> Mixer:
+    """``start`` after an online pass over all ``rows`` (shard, at, value), whose order in a shard is that of ``at``.
+
+    A copy of ``start`` learns along each shard, by the (inputs, gate, bits) of ``steps(values)``. Copies are written, then averaged: weights by
+    the bits of their gate, the refinement by all bits. Shards are dealt by content, so the outcome doesn't depend on how the input is split.
+    """
+    n_inputs, gates = start.weights.shape
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, mixer, seen = None, start.copy(), np.zeros(gates)
+
+        def done() -> pa.RecordBatch:
+            flat = np.concatenate([(mixer.weights * seen).ravel(), mixer.refine * seen.sum(), seen])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "sums"])
+
+        for batch in batches:
+            for s, group in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), lambda x: x[0]):
+                if s != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, mixer, seen = s, start.copy(), np.zeros(gates)
+                for inputs, gate, bits in steps([v for _, v in group]):
+                    mixer.step(inputs, gate, bits)
+                    seen += np.bincount(gate, minlength=gates)
+        if shard is not None:
+            yield done()
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("shard")
+        return pd.DataFrame({"part": [f["shard"].iloc[0] % BLOCKS], "sums": [np.sum([np.frombuffer(x) for x in f["sums"]], axis=0).tobytes()]})
+
+    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "at").select("shard", "value")
+    copies = table(dealt.mapInArrow(run, "shard long, sums binary"), "lm-mixers")
+    sums = copies.groupBy((F.col("shard") % BLOCKS).alias("part")).applyInPandas(add, "part long, sums binary").collect()  # at most BLOCKS rows
+    if not sums:
+        return start
+    total = np.sum([np.frombuffer(bytes(r["sums"])) for r in sorted(sums, key=lambda r: r["part"])], axis=0)
+    weights, refine, seen = np.split(total, [n_inputs * gates, len(total) - gates])
+    weights = np.where(seen > 0, weights.reshape(n_inputs, gates) / np.maximum(seen, 1), start.weights).astype(start.weights.dtype)
+    return Mixer(weights, refine / seen.sum(), start.rate) if seen.sum() else start
+
+
 _models: dict[str, Model] = {}
 
 
@@ -397,6 +443,25 @@ def _train(docs: DataFrame, counts: DataFrame, folds: int, fold: int) -> Model:
         for at in range(0, len(words), 200):
             _, partial, place, bits, contexts = spelled(words[at : at + 200])
             byte_mixer.step(*byte_inputs(LeaveOut(byte_counters, bits), partial, place, contexts), bits)
+    held = spark.sparkContext.broadcast((vocabulary, word_counters, byte_counters))
+
+    def word_steps(texts: list[str]):
+        v, counters, _ = held.value
+        for group in _grouped((hash_words([*words_of(t), END]) for t in texts), 3000):
+            parts = [v.coded(h)[2:] for h in group]
+            nodes, bits, one, two = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            yield *word_inputs(v, LeaveOut(counters, bits), nodes, one, two), bits
+
+    def byte_steps(words: list[bytes]):
+        for at in range(0, len(words), 200):
+            _, partial, place, bits, contexts = spelled(words[at : at + 200])
+            yield *byte_inputs(LeaveOut(held.value[2], bits), partial, place, contexts), bits
+
+    at, shard = F.xxhash64(F.lit(7), "doc_id", "text"), lambda n, of: F.pmod(F.col("at"), F.lit(max(1, -(-n // of))))
+    word_mixer = _learned(training.select(at.alias("at"), F.col("text").alias("value")).select(shard(n_docs, SHARD_DOCS).alias("shard"), "at", "value"), word_mixer, word_steps)
+    types = counts.select(F.xxhash64(F.lit(7), "h").alias("at"), F.col("word").alias("value"))
+    byte_mixer = _learned(types.select(shard(distinct, SHARD_WORDS).alias("shard"), "at", "value"), byte_mixer, byte_steps)
+    held.destroy()  # both passes are written
     return Model(vocabulary, Predictors.build(word_counters), Predictors.build(byte_counters), word_mixer, byte_mixer)
 
 
@@ -407,7 +472,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str
     its words, A-Z lower-cased, and an end. Its tokens are coded by binary decisions along a Huffman tree of the most counted words. For each,
     three predictors (the node's share, and hashed counters of the node after the last word and after the last two, counted over all training
     text) are stretched and mixed with weights that a gate picks by how much both contexts were seen; the mix is refined by an adaptive
-    table. Both learn along the text, block by block. A word outside the tree is an escape, then one of the seen words by its discounted count, or
+    table. Both are learned online over all training text (``_learned``), and go on along the text, block by block. A word outside the tree is an escape, then one of the seen words by its discounted count, or
     the class of unseen words: ``score`` is log10 of the probability of the tokens so coded, with the same events as the base (all seen tokens and one
     unseen class). ``bits_per_byte`` also pays for the spelling of each unseen word, by bits of its bytes: mixed in the same way, with hashed contexts of 1 to
     4 bytes counted over all training word types.

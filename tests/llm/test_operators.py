@@ -13,6 +13,7 @@ import public_tokenizers
 
 from tessera.llm.exact_dedup import exact_dedup, keep_exact
 from tessera.llm.fingerprints import Fingerprint, fingerprint_edits, likenesses, weight
+from tessera.llm import lm_scoring
 from tessera.llm.lm_scoring import score_documents
 from tessera.llm.mixing import curriculum, mix, source_targets
 from tessera.llm.near_dedup import keep_near, least_matches, near_dedup
@@ -220,6 +221,38 @@ def test_op4_lm_scoring(spark, docs, texts, odd, none):
     assert score_documents(none).count() == 0 and score_documents(odd).count() == 5
 
 
+def test_op4_mixers_learn_from_all_text(spark, docs, monkeypatch):
+    """With next to no sample, the mixers still learn: from all training text and word types, once; and short texts along themselves."""
+    seen = []
+    whole = lm_scoring._learned
+
+    def learned(rows, start, steps):
+        out = whole(rows, start, steps)
+        seen.append((rows.count(), abs(out.weights - start.weights).max()))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "_learned", learned)
+    monkeypatch.setattr(lm_scoring, "FIT_DOCS", 0)
+    monkeypatch.setattr(lm_scoring, "FIT_WORDS", 0)
+    rows = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    score_documents(docs).count()
+    assert seen[0][0] == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in rows) and seen[0][1] > 0.001 and seen[1][1] > 0.001
+
+    class Steps:
+        rate, sizes = 1.0, []
+
+        def copy(self):
+            return self
+
+        def step(self, inputs, gate, bits):
+            self.sizes.append(len(bits))
+            return np.full(len(bits), 0.5)
+
+    monkeypatch.setattr(lm_scoring, "word_inputs", lambda v, p, nodes, one, two: ([nodes], nodes))
+    bits = np.zeros(500, np.int8)
+    assert lm_scoring.Model(None, None, None, Steps(), None).code_bits(bits, bits, bits, bits) == 500 and Steps.sizes[0] == 64
+
+
 def test_op5_exact_dedup(docs, texts, odd, none):
     bare = lambda t: re.sub(r"[\x20\x09-\x0d]", "", t or "")
     groups = collections.defaultdict(list)
