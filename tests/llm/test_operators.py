@@ -14,6 +14,7 @@ import public_tokenizers
 from tessera.llm.exact_dedup import exact_dedup, keep_exact
 from tessera.llm.fingerprints import Fingerprint, fingerprint_edits, likenesses, weight
 from tessera.llm import lm_scoring
+from tessera.llm.common import hash_words
 from tessera.llm.lm_scoring import score_documents
 from tessera.llm.mixing import curriculum, mix, source_targets
 from tessera.llm.near_dedup import keep_near, least_matches, near_dedup
@@ -221,8 +222,23 @@ def test_op4_lm_scoring(spark, docs, texts, odd, none):
     assert score_documents(none).count() == 0 and score_documents(odd).count() == 5
 
 
+def lm_model(texts):
+    """A model with untaught mixers, counted over ``texts`` (lists of words)."""
+    c = collections.Counter(w for t in texts for w in t)
+    words = list(c)
+    v = lm_scoring.Vocabulary.build(hash_words(words), np.array([c[w] for w in words]), sum(c.values()), len(c))
+    into = np.zeros((2, 1 << (lm_scoring.WORD_BITS + 1)), np.int32)
+    lm_scoring.count_bits(v, v.read(texts), into)
+    mixer = lm_scoring.Mixer(np.tile(np.array([[0.6], [0.5], [0.3]], np.float32), (1, lm_scoring.WORD_GATES)))
+    return lm_scoring.Model(v, lm_scoring.Predictors.build(into), None, mixer, None), into
+
+
+def lm_words(texts):
+    return [[*(w.encode() for w in split(t)), lm_scoring.END] for t in texts]
+
+
 def test_op4_mixers_learn_from_all_text(spark, docs, monkeypatch):
-    """With next to no sample, the mixers still learn: from all training text and word types, once; and short texts along themselves."""
+    """The mixers learn from all training text and all word types, once."""
     seen = []
     whole = lm_scoring._learned
 
@@ -232,25 +248,143 @@ def test_op4_mixers_learn_from_all_text(spark, docs, monkeypatch):
         return out
 
     monkeypatch.setattr(lm_scoring, "_learned", learned)
-    monkeypatch.setattr(lm_scoring, "FIT_DOCS", 0)
-    monkeypatch.setattr(lm_scoring, "FIT_WORDS", 0)
     rows = [r["doc_id"] for r in docs.select("doc_id").collect()]
     score_documents(docs).count()
     assert seen[0][0] == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in rows) and seen[0][1] > 0.001 and seen[1][1] > 0.001
 
-    class Steps:
-        rate, sizes = 1.0, []
-
-        def copy(self):
-            return self
-
-        def step(self, inputs, gate, bits):
-            self.sizes.append(len(bits))
-            return np.full(len(bits), 0.5)
 
-    monkeypatch.setattr(lm_scoring, "word_inputs", lambda v, p, nodes, one, two: ([nodes], nodes))
-    bits = np.zeros(500, np.int8)
-    assert lm_scoring.Model(None, None, None, Steps(), None).code_bits(bits, bits, bits, bits) == 500 and Steps.sizes[0] == 64
+def test_op4_newton_step(spark):
+    """One step from the start, gate by gate, as numpy's own least squares would take it, however rows are split."""
+    rng = np.random.default_rng(3)
+    x, gate, bits = rng.normal(size=(600, 2)), rng.integers(0, 3, 600), rng.integers(0, 2, 600)
+    rows = spark.createDataFrame([(i, float(a), float(b), int(g), int(y)) for i, ((a, b), g, y) in enumerate(zip(x, gate, bits))], "i int, a double, b double, gate int, bit int")
+
+    def steps(batch):
+        a, b, g, y = (batch.column(k).to_numpy() for k in range(1, 5))
+        yield [a.astype(np.float32), b.astype(np.float32)], g.astype(np.uint8), y.astype(np.int8)
+
+    start = lm_scoring.Mixer(np.full((2, 4), 0.5, np.float32))
+    for parts in (1, 5):
+        out = lm_scoring._learned(rows.repartition(parts), start, steps)
+        for g in range(3):
+            z, y = x[gate == g], bits[gate == g]
+            p = 1 / (1 + np.exp(-z @ [0.5, 0.5]))
+            want = 0.5 + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 4 * np.eye(2), z.T @ (y - p))
+            assert out.weights[:, g] == pytest.approx(want, abs=1e-4)
+        assert out.weights[:, 3].tolist() == [0.5, 0.5]
+
+
+def test_op4_code_bits(texts, monkeypatch):
+    """Counters, blocks and costs against plain loops; codes of all words add up to 1."""
+    monkeypatch.setattr(lm_scoring, "MAX_LEAVES", 300)
+    words = lm_words(texts)
+    model, into = lm_model(words[:-9])
+    v, plain = model.vocabulary, collections.Counter()
+    for t in words[:-9]:
+        _, _, bits, *slots = v.coded(v.read([t]))
+        for k, s in enumerate(slots):
+            plain.update(zip([k] * len(s), s.tolist(), bits.tolist()))
+    assert {(int(k), int(i) // 2, int(i) % 2): int(into[k, i]) for k, i in zip(*np.nonzero(into))} == plain
+    shares, sure = model.words.at(0, np.arange(1 << lm_scoring.WORD_BITS))
+    for slot in {s for k, s, _ in plain if k == 0}:
+        z, o = plain[0, slot, 0], plain[0, slot, 1]
+        assert shares[slot] == pytest.approx(math.log((o + 0.4) / (z + 0.4)), abs=0.04) and sure[slot] == sum(z + o > x for x in (0, 3, 15, 63))
+        for bit, (a, b) in enumerate([(max(0, z - 1), o), (z, max(0, o - 1))]):
+            if z < 16 and o < 16:
+                assert model.words.at(0, np.array([slot]), np.array([bit]))[0][0] == pytest.approx(math.log((b + 0.4) / (a + 0.4)), abs=1e-5)
+    some = [words[8], words[-1], [lm_scoring.END], *words[20:24], [b"new", lm_scoring.END]]
+    together = [(t, x, len(t)) for t, x in zip(some, np.split(model.costs(v.read(some)), np.cumsum([len(t) for t in some])[:-1]))]
+    monkeypatch.setattr(lm_scoring, "PIECE", 700)  # a long text, piece by piece
+    for t, got, piece in [*together, (words[8], model.costs(v.read([words[8]])), 700)]:
+        size, nodes, bits, *slots = v.coded(v.read([t]))
+        stops = {0} | set(np.cumsum(size)[piece - 1 :: piece].tolist())
+        inputs, gate = lm_scoring.word_inputs(v, model.words, nodes, *slots)
+        weights, refine = model.word_mixer.weights.astype(float), model.word_mixer.refine.astype(float)
+        cost = []
+        ends = sorted({0, len(bits)} | {x for x in stops if x < len(bits)} | {64 * ((1 << j) - 1) for j in range(10) if 64 * ((1 << j) - 1) < len(bits)} | set(range(64 * 511, len(bits), 16_384)))
+        for at, end in zip(ends, ends[1:]):
+            step, hits = np.zeros_like(weights), collections.defaultdict(list)
+            for i in range(at, end):
+                x = max(-8.0, min(8.0, sum(weights[k, gate[i]] * float(inputs[k][i]) for k in range(3))))
+                p, cell = 1 / (1 + math.exp(-x)), round(2 * x) + (49 if gate[i] else 16)
+                final = (p + refine[cell]) / 2
+                cost.append(-math.log2(final if bits[i] else 1 - final))
+                step[:, gate[i]] += [(bits[i] - p) * 0.001 * float(inputs[k][i]) for k in range(3)]
+                hits[cell].append(int(bits[i]))
+            weights += step
+            for cell, found in hits.items():
+                refine[cell] += (sum(found) - len(found) * refine[cell]) / (len(found) + 200)
+        assert got == pytest.approx([sum(cost[a:b]) for a, b in zip(np.cumsum(size) - size, np.cumsum(size))], rel=1e-3, abs=1e-3)
+    leaves = {int(leaf): i for i, leaf in reversed(list(enumerate(v.leaves)))} | {v.escape: -1}
+    for first in (words[8][:1], words[20][:2]):  # of all that may follow
+        t = v.read([[*first, b"?"]])
+        t.leaf = np.array([*t.leaf[:-1], 0])
+        total = 0.0
+        for leaf in leaves:
+            t.leaf[-1] = leaf
+            total += 2.0 ** -model.costs(t)[-1]
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_op4_spelling(texts):
+    """The cost of spelled words is a code: over all bytes that may come first, probabilities add up to 1."""
+    words = sorted({w for t in lm_words(texts) for w in t})
+    into = np.zeros((lm_scoring.BYTE_ORDERS, 1 << (lm_scoring.BYTE_BITS + 1)), np.int32)
+    lm_scoring.count_spelling(words, into)
+    assert into.sum() == 8 * lm_scoring.BYTE_ORDERS * sum(len(w) + 1 for w in words)
+    mixer = lm_scoring.Mixer(np.tile(np.array([[0.1], [0.2], [0.4], [0.4]], np.float32), (1, lm_scoring.BYTE_GATES)))
+    spell = lambda w: lm_scoring.Model(None, None, lm_scoring.Predictors.build(into), None, mixer).spell(w)
+    assert spell([b"the", b"stone"]) == pytest.approx([*spell([b"the"]), *spell([b"stone"])], rel=1e-4)
+    assert spell([b"w123"])[0] < spell([b"qjxz"])[0]
+    _, partial, _, bits, _ = lm_scoring.spelled([b"a"])
+    assert bits.tolist() == [int(c) for c in f"{ord('a'):08b}{ord(' '):08b}"] and partial[:3].tolist() == [1, 2, 5]
+
+
+def test_op4_anchors(texts):
+    words, mask = lm_words(texts), (1 << 64) - 1
+    v = lm_model(words)[0].vocabulary
+    t = v.read(words)
+    got = collections.defaultdict(list)
+    for own, anchor, block, times, of, bits in zip(*(x.tolist() for x in lm_scoring.anchors(t, np.arange(len(t.at)) * 0.25))):
+        got[own].append((anchor & mask, block, times, of, bits))
+    k1, k2, k3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    blocks, n_rows = {}, 0
+    for i, (text, a) in enumerate(zip(words, t.starts.tolist())):
+        h = [int(x) for x in t.hashes[a : a + len(text)]]
+        picked = []
+        for j in range(3, len(text) - 1):
+            x = 0
+            for y in (h[j], h[j - 1], h[j - 2], h[j - 3]):
+                x = (x * k3 + y * k1) & mask
+                x ^= x >> 29
+            x = x * k2 & mask
+            if (x >> 32) % lm_scoring.ANCHOR_EVERY == 0:
+                picked.append((j, x))
+        spans = collections.defaultdict(list)
+        for (j, x), (k, _) in zip(picked, [*picked[1:], (len(text) - 1, 0)]):
+            spans[x, tuple(text[j + 1 : k + 1])].append((a + j + 1, a + k + 1))
+        assert sorted((x, len(s), sum(len(q) for (z, _), q in spans.items() if z == x)) for (x, _), s in spans.items()) == sorted(g[:1] + g[2:4] for g in got[i])
+        for (x, content), s in spans.items():
+            costs = {sum(j * 0.25 for j in range(b, e)) for b, e in s}
+            (row,) = [g for g in got[i] if g[0] == x and any(abs(g[4] - c) < 1e-6 for c in costs)]
+            assert blocks.setdefault(content, row[1]) == row[1]
+            n_rows += 1
+    assert n_rows > 100 and len(set(blocks.values())) == len(blocks)
+
+
+def test_op4_copies_stand_apart(spark):
+    """Training documents that others repeat cost far less than those that stand alone, which their own counts don't make known."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(400))
+    copies, alone = [text() for _ in range(40)], [text() for _ in range(200)]
+    rows = list(enumerate(copies + copies + alone))
+    got = by_id(score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    trained = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    twice = [got[i]["bits_per_byte"] for i in range(40) if trained(i) and trained(40 + i)]
+    once = [got[i]["bits_per_byte"] for i in range(80, 280) if trained(i)]
+    held = [got[i]["bits_per_byte"] for i in range(80) if not trained(i) and trained((i + 40) % 80)]
+    # what comes before a text's first anchor is paid for in any case
+    assert max(twice) < min(once) and max(held) < min(once) and sorted(twice)[len(twice) // 2] < 0.3 * min(once) and sorted(held)[len(held) // 2] < 0.4 * min(once)
 
 
 def test_op5_exact_dedup(docs, texts, odd, none):
