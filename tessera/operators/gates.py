@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKIPPED = ("skipped_size", "skipped_binary")
@@ -39,17 +39,22 @@ def completeness(disk: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def verdicts(files: DataFrame, sample: int = 10) -> DataFrame:
-    """One row per section from completeness rows: complete, a summary, and each category's count and first paths, capped with a note."""
+    """One row per section from completeness rows: complete, a summary, and each category's count and first paths, capped with a note.
+
+    All files are counted; paths are ranked, and only the first ``sample`` of a section and category, which each task cuts before the shuffle, are gathered.
+    """
+    counts = files.groupBy("section").agg(*[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CATEGORIES])
+    rank = F.row_number().over(Window.partitionBy("section", "category").orderBy("rel_path"))
+    some = files.filter(F.col("category").isin(*CATEGORIES)).withColumn("__rank", rank).filter(F.col("__rank") <= sample)
+    lists = some.groupBy("section").agg(*[F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("rel_path")))).alias(c) for c in CATEGORIES])
+    out = counts.join(lists, "section", "left_outer")
 
     def first(c: str) -> Column:
-        # Only the smallest paths are kept, but all are counted.
-        paths = F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("rel_path"))))
-        rest = F.size(paths) - sample
-        return F.when(rest > 0, F.concat(F.slice(paths, 1, sample), F.array(F.concat(F.lit("...(+"), rest.cast("string"), F.lit(" more)"))))).otherwise(paths)
+        paths, rest = F.coalesce(c, F.array().cast("array<string>")), F.col(f"n_{c}") - sample
+        return F.when(rest > 0, F.array_append(paths, F.concat(F.lit("...(+"), rest.cast("string"), F.lit(" more)")))).otherwise(paths).alias(c)
 
-    counts = [F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CATEGORIES]
-    out = files.groupBy("section").agg(*counts, *[first(c).alias(c) for c in CATEGORIES])
     summary = F.concat_ws(", ", *[F.when(F.col(f"n_{c}") > 0, F.concat(F.col(f"n_{c}").cast("string"), F.lit(f" {c}"))) for c in CATEGORIES])
+    out = out.select("section", *[f"n_{c}" for c in CATEGORIES], *[first(c) for c in CATEGORIES])
     return out.withColumn("complete", summary == "").withColumn("summary", F.when(summary == "", "complete").otherwise(summary))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .sparse import idf
 RRF_K, PREFETCH = 60, 5
 #: Scores are ranked at so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 9
+#: Up to so many rows, terms and weights of a table of queries are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _check(k: int) -> None:
@@ -28,17 +32,51 @@ def query_terms(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "text string").select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
 
 
-def keyword_scores(tf: DataFrame, n: Column, query: DataFrame, keys: list[str], by: str = "term", query_keys: Sequence[str] = ()) -> DataFrame:
-    """(*query_keys, *keys, score): sum of qtf * idf * tf over shared terms, from tf (*keys, by, tf) and query (*query_keys, by, qtf).
+def _weights(n: int, counts: dict, qtf: dict) -> Column:
+    """Map literal from a query's term to qtf * idf."""
+    found = [(t, float(qtf[t]), int(c)) for t, c in counts.items() if c]
+    return F.create_map(*[x for t, q, c in found for x in (F.lit(t), q * idf(F.lit(n), F.lit(c)))]) if found else F.lit(None)
 
-    Only postings of the query's terms take part, also in their document frequency, so the tf table is filtered before anything shuffles.
-    The query is small (one text's terms); for a table of queries the join is left to the planner.
+
+def keyword_scores(points: DataFrame, query: dict[str, int], keys: list[str], text: str = "text") -> DataFrame:
+    """(*keys, score) of the points that share a term with a query (term -> how often): sum of qtf * idf * tf. Keys tell points apart.
+
+    The query's terms are literals, so a text is cut to them where it is scanned. One pass counts points and document frequencies, partially aggregated, and one
+    scores; neither shuffles by file or term, and only a row of counts comes back between them.
     """
-    words = query.select(by).distinct()
-    hits = tf.join(words if query_keys else F.broadcast(words), by)
-    df = hits.groupBy(by).agg(F.count("*").alias("df"))
-    weights = query.join(df, by).select(*query_keys, by, (F.col("qtf") * idf(n, F.col("df"))).alias("w"))
-    return hits.join(weights if query_keys else F.broadcast(weights), by).groupBy(*query_keys, *keys).agg(F.round(F.sum(F.col("w") * F.col("tf")), DECIMALS).alias("score"))
+    hits = points.select(*keys, F.filter(terms(F.col(text)), lambda t: t.isin(*query)).alias("hits")) if query else points.select(*keys, F.array().cast("array<string>").alias("hits"))
+    n, *df = hits.agg(F.count("*"), *[F.count_if(F.array_contains("hits", t)) for t in query]).first()
+    weights = _weights(n, dict(zip(query, df)), query)
+    score = F.aggregate("hits", F.lit(0.0), lambda acc, t: acc + F.element_at(weights, t)) if any(df) else F.lit(0.0)
+    return hits.filter(F.size("hits") > 0).select(*keys, F.round(score, DECIMALS).alias("score"))
+
+
+def array_scores(live: DataFrame, every: DataFrame, query: dict[int, float], keys: list[str], indices: str = "indices", values: str = "values") -> DataFrame:
+    """``keyword_scores`` over stored sparse arrays of points, by index; document frequencies are those of ``every``."""
+    if not query:
+        return live.select(*keys, F.lit(0.0).alias("score")).limit(0)
+    n, *df = every.agg(F.count("*"), *[F.count_if(F.array_contains(indices, F.lit(i).cast("long"))) for i in query]).first()
+    weights = _weights(n, dict(zip(query, df)), query)
+    if not any(df):
+        return live.select(*keys, F.lit(0.0).alias("score")).limit(0)
+    hits = live.select(*keys, F.filter(F.arrays_zip(F.col(indices).alias("i"), F.col(values).alias("v")), lambda x: x["i"].isin(*query)).alias("hits")).filter(F.size("hits") > 0)
+    return hits.select(*keys, F.round(F.aggregate("hits", F.lit(0.0), lambda acc, x: acc + F.element_at(weights, x["i"].cast("int")) * x["v"]), DECIMALS).alias("score"))
+
+
+def keyword_batch(points: DataFrame, queries: DataFrame, keys: list[str], query_keys: list[str], text: str = "text") -> DataFrame:
+    """(*query_keys, *keys, score) for a table of queries (*query_keys, term, qtf).
+
+    A text's terms are cut to those of any query before anything shuffles. Terms and weights are broadcast up to BROADCAST_ROWS rows; beyond that they are joined, and
+    AQE splits common terms.
+    """
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    n = points.count()
+    words = queries.select("term").distinct()
+    hits = points.select(*keys, F.explode(terms(F.col(text))).alias("term")).join(few(words), "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weights = queries.join(df, "term").select(*query_keys, "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("w"))
+    weights = few(weights) if queries.count() <= BROADCAST_ROWS else weights
+    return hits.join(weights, "term").groupBy(*query_keys, *keys).agg(F.round(F.sum(F.col("w") * F.col("tf")), DECIMALS).alias("score"))
 
 
 def vector_scores(points: DataFrame, query: Sequence[float], keys: list[str], vector: str = "dense") -> DataFrame:
@@ -59,6 +97,47 @@ def top_by(scores: DataFrame, k: int, group: Sequence[str], keys: list[str]) ->
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest(points: DataFrame, queries: DataFrame, k: int, point_id: str, query_id: str, vector: str = "dense", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, point_id, rank, score): for each query (query_id, vector) its k nearest points by cosine, itself left out; ties by id.
+
+    Queries go in blocks of about ``block_bytes``, the most that is broadcast at once; for each block one scan multiplies matrices and keeps k rows a query and task,
+    so what shuffles is that, and not pairs. Ids are whole numbers.
+    """
+    _check(k)
+    spark = points.sparkSession
+    queries = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    n, dim = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * ((dim or 1) * 8) // block_bytes))
+    out = None
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect() if n else []
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float64)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            norms = np.sqrt((q * q).sum(1))
+            top_score, top_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                p, v = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
+                both = np.outer(norms, np.sqrt((v * v).sum(1)))
+                score = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), DECIMALS)
+                score[ids[:, None] == p[None, :]] = -2  # itself
+                score, at = np.hstack([top_score, score]), np.hstack([top_id, np.broadcast_to(p, score.shape)])
+                order = np.lexsort((at, -score))[:, :k]
+                top_score, top_id = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
+            keep = top_score > -2
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(top_id[keep]), pa.array(top_score[keep])], [query_id, point_id, "score"])
+
+        part = points.select(F.col(point_id).cast("long"), vector).mapInArrow(best, f"{query_id} long, {point_id} long, score double")
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else spark.createDataFrame([], f"{query_id} long, {point_id} long, score double")
+    return top_by(out, k, [query_id], [point_id])
+
+
 def fuse(arms: Sequence[DataFrame], k: int, keys: list[str], rank_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of arms that are already cut to their best: sum of 1 / (rank_k + rank), ranks from 1."""
     _check(k)

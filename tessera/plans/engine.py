@@ -19,7 +19,7 @@ from tessera.sources.discovery import content, discover_files
 from tessera.sources.embedding import Embedder, dimension, embed_udf
 
 from .health import HealthRegistry
-from .store import Store
+from .store import STATUSES, Store
 
 MODES = ("keyword", "semantic", "hybrid")
 KEYS = ["section", "source_file", "chunk_index", "id"]
@@ -44,7 +44,9 @@ class Summary:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config, store: Store, embedder: Embedder, counters: dict[str, Callable[[str], int]] | None = None, parser: parsing.Parser = parsing.pdf_pages):
+    def __init__(self, spark: SparkSession, config: Config, store: Store, embedder: Embedder, counters: dict[str, Callable[[str], int]] | None = None, parser: parsing.Parser = parsing.pdf_pages, batch_files: int = 10_000):
+        """``batch_files`` files at most, or so, are parsed, embedded and committed together: what a crash repeats."""
+        self.batch_files = batch_files
         self.spark, self.config, self.store, self.embedder, self.parser = spark, config, store, embedder, parser
         self.counters = counters or {}
         self.health = HealthRegistry(embedder, config.models or [config.defaults.embed_model])
@@ -78,8 +80,8 @@ class Engine:
     # search
 
     def live_points(self, section: str) -> DataFrame:
-        """Points that searches see; ``section`` is the partition, so others aren't read."""
-        return lifecycle.in_use(self.store.points().filter(F.col("section") == section), self.store.files(section)).withColumn("in_use", F.lit(True))
+        """Points that searches see; other sections' tables aren't read."""
+        return lifecycle.in_use(self.store.points(section), self.store.files(section)).withColumn("in_use", F.lit(True))
 
     def search(self, section: str, query: str, top_k: int = 3, mode: str = "hybrid", allow_incomplete: bool = False) -> dict:
         """{results, warnings} or {error}. Gates come first: whether the section can be searched, whether its vectors are valid (dense modes can't do
@@ -88,7 +90,7 @@ class Engine:
         if mode not in MODES:
             return {"error": f"mode {mode} is none of {', '.join(MODES)}"}
         s = self.section(section)
-        stored = self.store.fingerprints().filter(F.col("section") == section)
+        stored = self.store.fingerprints(section)
         if (problem := self._not_queryable(section, s, stored)) is not None:
             return {"error": problem}
         warnings = []
@@ -106,7 +108,7 @@ class Engine:
             warnings.append(f"the section is incomplete: {done['summary']}")
         arms, points = [], self.live_points(section)
         if mode != "semantic":
-            arms.append(self.keyword_scores(points, self.store.points().filter(F.col("section") == section), query))
+            arms.append(self.keyword_scores(points, self.store.points(section), query))
         if mode != "keyword":
             model = s["embed_model"]
             if self.health.blocked(model):
@@ -123,14 +125,10 @@ class Engine:
         return {"results": [r.asDict() for r in out.select(*RESULT).collect()], "warnings": warnings}
 
     def keyword_scores(self, live: DataFrame, every: DataFrame, query: str) -> DataFrame:
-        """Scores over hashed terms; document frequencies are those of all the section's points."""
+        """Scores over hashed terms; document frequencies are those of all the section's points. Arrays are cut to the query's indices where they lie, so nothing shuffles."""
         terms = search.query_terms(self.spark, query)
-        q = sparse.indexed(terms.select(F.lit(0).alias("q"), "term", F.col("qtf").alias("tf")), ["q"]).select("idx", F.col("tf").alias("qtf"))
-        long = lambda p: p.select(*KEYS, F.explode(F.arrays_zip("indices", "values")).alias("v")).groupBy(*KEYS, F.col("v.indices").alias("idx")).agg(F.sum("v.values").alias("tf"))
-        n = every.count()
-        df = long(every).join(F.broadcast(q.select("idx")), "idx").groupBy("idx").agg(F.count("*").alias("df"))
-        weights = q.join(df, "idx").select("idx", (F.col("qtf") * sparse.idf(F.lit(n), F.col("df"))).alias("w"))
-        return long(live).join(F.broadcast(weights), "idx").groupBy(*KEYS).agg(F.round(F.sum(F.col("w") * F.col("tf")), search.DECIMALS).alias("score"))
+        q = sparse.indexed(terms.select(F.lit(0).alias("q"), "term", F.col("qtf").alias("tf")), ["q"]).collect()  # a query's terms
+        return search.array_scores(live, every, {r["idx"]: r["tf"] for r in q}, KEYS)
 
     @staticmethod
     def _not_queryable(name: str, s: Row | None, stored: DataFrame) -> str | None:
@@ -144,12 +142,12 @@ class Engine:
 
     def list_files(self, section: str) -> dict:
         """Neither gate applies to navigation."""
-        if problem := self._not_queryable(section, self.section(section), self.store.fingerprints().filter(F.col("section") == section)):
+        if problem := self._not_queryable(section, self.section(section), self.store.fingerprints(section)):
             return {"error": problem}
         return {"files": [r.asDict() for r in navigation.list_files(self.live_points(section)).collect()]}
 
     def get_chunks(self, section: str, source_file: str, start: int = 0, count: int = 10) -> dict:
-        if problem := self._not_queryable(section, self.section(section), self.store.fingerprints().filter(F.col("section") == section)):
+        if problem := self._not_queryable(section, self.section(section), self.store.fingerprints(section)):
             return {"error": problem}
         return {"chunks": [r.asDict() for r in navigation.get_chunks(self.live_points(section), source_file, start, count).collect()]}
 
@@ -200,63 +198,88 @@ class Engine:
             self.store.drop_section(name)
             out.reset = True
         self.store.ensure_section(name, model, s["chunk_size"], s["chunk_overlap"])
-        found = self.disk(s, hashes=True)
-        skips = found.filter("skip_reason LIKE 'too_large%' OR skip_reason = 'binary'")
-        for r in skips.select("rel_path", "size", "skip_reason").collect():  # names of a section's skipped files
-            self.store.record_skip(name, r["rel_path"], "skipped_size" if r["skip_reason"].startswith("too_large") else "skipped_binary", r["skip_reason"], r["size"])
-            out.skipped += 1
-        taken = found.filter("skip_reason IS NULL")
-        state = self.store.files(name)
-        plan = lifecycle.dispatch(taken.select("section", "rel_path", "content_hash", "walk_order"), state, "walk_order")
-        actions = self.store.spark.createDataFrame(plan.collect(), plan.schema)  # one row per file of the section
-        for r in actions.groupBy("action").count().collect():
-            setattr(out, r["action"], r["count"])
-        moves = actions.filter("action = 'moved'")
-        if out.moved:
-            self.move(moves.select("section", F.col("moved_from").alias("source_file"), F.col("rel_path").alias("new_path"), "content_hash"))
-        if out.restored:
-            rows = state.join(actions.filter("action = 'restored'").select("rel_path"), "rel_path")
-            self.store.change(rows, in_use=True, delete_after=F.lit(None).cast("timestamp"))
-        fresh = taken.join(F.broadcast(actions.filter("action IN ('new', 'changed', 'resumed')").select("rel_path", "action")), "rel_path")
-        if out.new + out.changed + out.resumed:
-            out.errored = self._store(s, fresh)
+        with self.store.work() as keep:
+            found = keep(self.disk(s, hashes=True).drop("content"))  # read and hashed once
+            state = self.store.files(name)
+            skips = found.filter("skip_reason IS NOT NULL")
+            status = F.when(F.col("skip_reason").startswith("too_large"), "skipped_size").when(F.col("skip_reason") == "binary", "skipped_binary").when(F.col("skip_reason").startswith("unreadable"), "error")
+            skips = skips.select("section", "rel_path", "size", status.alias("status"), F.col("skip_reason").alias("reason")).filter("status IS NOT NULL")
+            for r in skips.groupBy(F.col("status") == "error").agg(F.count("*")).collect():
+                setattr(out, "errored" if r[0] else "skipped", r[1])
+            self._set_aside(skips, state)
+            taken = found.filter("skip_reason IS NULL")
+            plan = keep(lifecycle.dispatch(taken.select("section", "rel_path", "content_hash", "walk_order"), state, "walk_order"))
+            for r in plan.groupBy("action").count().collect():
+                setattr(out, r["action"], r["count"])
+            if out.moved:
+                self.move(name, plan.filter("action = 'moved'").select("section", F.col("moved_from").alias("source_file"), F.col("rel_path").alias("new_path"), "content_hash"))
+            if out.restored:
+                rows = state.join(plan.filter("action = 'restored'").select("rel_path"), "rel_path")
+                self.store.change(rows, in_use=True, delete_after=F.lit(None).cast("timestamp"))
+            todo = out.new + out.changed + out.resumed
+            fresh = taken.join(plan.filter("action IN ('new', 'changed', 'resumed')").select("rel_path", "action"), "rel_path")
+            batches = -(-todo // self.batch_files)
+            for k in range(batches):
+                part = fresh.filter(F.pmod(F.xxhash64("rel_path"), F.lit(batches)) == k)
+                out.errored += self._store(s, keep(part) if batches > 1 else part, keep)
         self.store.mark_ingested(name)
         return out
 
-    def _store(self, s: Row, files: DataFrame) -> int:
-        """Parse, chunk, embed; then intents, points and, last, the commits. Returns how many files failed; those keep their points."""
-        count = self.counters.get(s["embed_model"], chunking.estimate_tokens)
-        parsed = parsing.parse(files, self.parser)
-        failed = [(r["rel_path"], r["parse_error"]) for r in parsed.filter("parse_error IS NOT NULL").select("rel_path", "parse_error").collect()]
+    def _set_aside(self, rows: DataFrame, state: DataFrame) -> None:
+        """One write for files (section, rel_path, size, status, reason) that are skipped or in error. Skipped ones go out of use; one in error keeps its hash, size and
+        use, and is out of use if it is new. Rows that say the same already are left.
+        """
+        old, error = state.select("rel_path", *[F.col(c).alias(f"__{c}") for c in ("content_hash", "size", "mtime", "total_chunks", "chunks_done", "in_use", "delete_after", "status", "error_reason")]), F.col("status") == "error"
+        both = rows.join(old, "rel_path", "left_outer")
+        same = F.col("__status").eqNullSafe(F.col("status")) & F.col("__error_reason").eqNullSafe(F.col("reason")) & (error | F.col("__size").eqNullSafe(F.col("size")))
+        both = both.filter(~same).select(
+            "section", "rel_path", F.coalesce("__content_hash", F.lit("")).alias("content_hash"), F.coalesce(F.when(error, F.col("__size")), "size", F.lit(0)).cast("long").alias("size"), F.col("__mtime").alias("mtime"),
+            F.coalesce("__total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("__chunks_done", F.lit(0)).alias("chunks_done"), (error & F.coalesce("__in_use", F.lit(False))).alias("in_use"), "status",
+            F.col("reason").alias("error_reason"), F.col("__delete_after").alias("delete_after"), F.lit(None).cast("timestamp").alias("updated_at"),
+        )
+        self.store.append(both)
+
+    def _store(self, s: Row, files: DataFrame, keep) -> int:
+        """Parse, chunk, embed a batch of files; then intents, points and, last, the commits. Returns how many files failed.
+
+        A file that can't be parsed keeps its row and points. Chunks that can't be embedded put their file in error; the others of the file are stored, and as points of the
+        same id aren't embedded again, its next ingest goes on from there, as does one after a crash.
+        """
+        name, count = s["section"], self.counters.get(s["embed_model"], chunking.estimate_tokens)
+        parsed = keep(parsing.parse(files.withColumn("content", content("path")), self.parser).drop("content"))
+        bad = parsed.filter("parse_error IS NOT NULL").select("section", "rel_path", "size", F.lit("error").alias("status"), F.col("parse_error").alias("reason"))
         good = parsed.filter("parse_error IS NULL")
         chunks = chunking.chunk(good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "pages"), s["chunk_size"], s["chunk_overlap"], count)
-        chunks = chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index")))
+        chunks = keep(chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))))
         totals = chunks.groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").cast("int").alias("total_chunks"))
         null = F.lit(None)
-        rows = good.select("section", "rel_path", "content_hash", "size", "mtime").join(totals, "rel_path", "left_outer").fillna(0, ["total_chunks"])
+        rows = keep(good.select("section", "rel_path", "content_hash", "size", "mtime").join(totals, "rel_path", "left_outer").fillna(0, ["total_chunks"]))
         intent = rows.withColumns({"chunks_done": F.lit(0), "in_use": F.lit(True), "status": F.lit("ingesting"), "error_reason": null.cast("string"), "delete_after": null.cast("timestamp")})
         self.store.append(intent)
-        old = self.store.points()
         # chunks of a resumed file that are stored already have their ids there, and aren't embedded again
-        todo = chunks.join(old.select("id"), "id", "left_anti")
-        vectors = embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])
-        todo = todo.withColumn("dense", vectors("text"))
-        terms = sparse.sparse_vectors(sparse.term_frequencies(todo, ["id"]), ["id"])
-        todo = todo.join(terms, "id", "left_outer").select(*old.columns)
+        todo = chunks.join(self.store.points(name).select("id"), "id", "left_anti")
+        todo = keep(todo.withColumn("e", embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])("text")))
+        failed = todo.filter("e.error IS NOT NULL").groupBy(F.col("source_file").alias("rel_path")).agg(F.min("e.error").alias("reason"), F.count("*").cast("int").alias("missing"))
+        ready = todo.filter("e.error IS NULL").withColumn("dense", F.col("e.vector"))
+        ready = ready.join(sparse.sparse_vectors(sparse.term_frequencies(ready, ["id"]), ["id"]), "id", "left_outer")
         versions = rows.select("section", F.col("rel_path").alias("source_file"), F.col("content_hash").alias("__now"))
-        kept = old.join(versions, ["section", "source_file"], "left_outer").filter("__now IS NULL OR __now = content_hash").select(*old.columns)
-        self.store.write("points", kept.unionByName(todo))
-        done = self.store.files(s["section"]).filter("status = 'ingesting'").join(rows.select("rel_path"), "rel_path", "left_semi")
-        self.store.change(done, status="ingested", chunks_done=F.col("total_chunks"))
-        for path, reason in failed:
-            self.store.mark_error(s["section"], path, reason)
-        return len(failed)
-
-    def move(self, moves: DataFrame) -> None:
-        """New paths and ids for points and rows; (section, source_file, new_path, content_hash)."""
-        self.store.write("points", lifecycle.repath(self.store.points(), moves))
+
+        def change(old: DataFrame) -> DataFrame:
+            kept = old.join(versions, ["section", "source_file"], "left_outer").filter("__now IS NULL OR __now = content_hash").select(*old.columns)
+            return kept.join(ready.select("id"), "id", "left_anti").select(*old.columns).unionByName(ready.select(*old.columns))
+
+        self.store.update_points(name, change)
+        done = self.store.files(name).filter("status = 'ingesting'").join(rows.select("rel_path"), "rel_path", "left_semi").join(failed, "rel_path", "left_outer")
+        columns = {"status": F.when(F.col("reason").isNull(), "ingested").otherwise("error"), "error_reason": F.col("reason"), "chunks_done": F.col("total_chunks") - F.coalesce("missing", F.lit(0))}
+        self.store.change(done, **columns)
+        self._set_aside(bad, self.store.files(name))
+        return bad.count() + failed.count()
+
+    def move(self, name: str, moves: DataFrame) -> None:
+        """New paths and ids for points and rows of a section; (section, source_file, new_path, content_hash)."""
+        self.store.update_points(name, lambda points: lifecycle.repath(points, moves))
         m = moves.select("section", F.col("source_file").alias("rel_path"), "new_path")
-        rows = self.store.files().join(m, ["section", "rel_path"])
+        rows = self.store.files(name).join(m, ["section", "rel_path"])
         gone = rows.drop("new_path").withColumn("deleted", F.lit(True))
         here = rows.withColumns({"rel_path": F.col("new_path"), "in_use": F.lit(True), "delete_after": F.lit(None).cast("timestamp"), "deleted": F.lit(False)}).drop("new_path")
         self.store.append(gone.unionByName(here))
@@ -276,17 +299,18 @@ class Engine:
         name = s["section"]
         state = self.store.files(name)
         diff = lifecycle.daemon_diff(self.disk(s, hashes=True).filter("skip_reason IS NULL").select("section", "rel_path", "content_hash", "size", "mtime", "walk_order"), state, "walk_order")
-        diff = self.spark.createDataFrame(diff.collect(), diff.schema)  # one row per file that changed
-        counts = {r["action"]: r["count"] for r in diff.groupBy("action").count().collect()}
-        moves = diff.filter("action = 'move'").join(state.select("rel_path", "content_hash"), "rel_path")
-        if counts.get("move"):
-            self.move(moves.select("section", F.col("rel_path").alias("source_file"), "new_path", "content_hash"))
-        none = F.lit(None).cast("timestamp")
-        if counts.get("changed"):
-            self.store.change(state.join(diff.filter("action = 'changed'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=none)
-        if counts.get("delete"):
-            after = F.lit(self.store.clock() + timedelta(days=self.config.deletion_grace_days))
-            self.store.change(state.join(diff.filter("action = 'delete'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=after)
+        with self.store.work() as keep:
+            diff = keep(diff)
+            counts = {r["action"]: r["count"] for r in diff.groupBy("action").count().collect()}
+            moves = diff.filter("action = 'move'").join(state.select("rel_path", "content_hash"), "rel_path")
+            if counts.get("move"):
+                self.move(name, moves.select("section", F.col("rel_path").alias("source_file"), "new_path", "content_hash"))
+            none = F.lit(None).cast("timestamp")
+            if counts.get("changed"):
+                self.store.change(state.join(diff.filter("action = 'changed'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=none)
+            if counts.get("delete"):
+                after = F.lit(self.store.clock() + timedelta(days=self.config.deletion_grace_days))
+                self.store.change(state.join(diff.filter("action = 'delete'").select("rel_path"), "rel_path", "left_semi"), in_use=False, delete_after=after)
         return counts
 
     def purge(self) -> dict[str, list[str] | str]:
@@ -301,8 +325,7 @@ class Engine:
                 state = self.store.files(name)
                 dead = lifecycle.expired(state, now)
                 names = [r["rel_path"] for r in dead.select("rel_path").collect()]
-                points, _ = lifecycle.purge(self.store.points(), state, now)
-                self.store.write("points", points)
+                self.store.update_points(name, lambda points, state=state: lifecycle.purge(points, state, now)[0])
                 self.store.append(dead.withColumn("deleted", F.lit(True)))
                 out[name] = names
         return out
@@ -322,9 +345,10 @@ class Engine:
             s = self.store.files()
             if filters["sections"]:
                 s = s.filter(F.col("section").isin(*filters["sections"]))
-            named = lambda *k: F.array_sort(F.collect_list(F.when(F.col("status").isin(*k), F.struct("rel_path", "error_reason"))))
-            rows = s.groupBy("section").agg(*[F.count_if(F.col("status") == k).alias(k) for k in ("ingested", "ingesting", "error", "skipped_size", "skipped_binary")], named("error").alias("errors"), named("skipped_size", "skipped_binary").alias("skipped"))
-            out["sections"] = {r["section"]: {**r.asDict(recursive=True), "run": self.runs.get(r["section"])} for r in rows.collect()}
+            rows = s.groupBy("section").agg(*[F.count_if(F.col("status") == k).alias(k) for k in STATUSES])
+            out["sections"] = {r["section"]: {**r.asDict(), "errors": [], "skipped": [], "run": self.runs.get(r["section"])} for r in rows.collect()}
+            for r in s.filter("status LIKE 'skipped%' OR status = 'error'").select("section", "status", "rel_path", "error_reason").orderBy("section", "rel_path").toLocalIterator():
+                out["sections"][r["section"]]["errors" if r["status"] == "error" else "skipped"].append({"rel_path": r["rel_path"], "error_reason": r["error_reason"]})
         if "models" in filters:
             out["models"] = [h for h in self.health.snapshot() if not filters["models"] or h["model"] in filters["models"]]
         if "health" in filters:

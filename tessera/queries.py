@@ -28,9 +28,8 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _live(spark, sf_dir).select("source_file", "text")
-    n = p.count()
-    return search.keyword_scores(sparse.term_frequencies(p, ["source_file"]), F.lit(n), search.query_terms(spark, QUERY), ["source_file"])
+    query = {r["term"]: r["qtf"] for r in search.query_terms(spark, QUERY).collect()}
+    return search.keyword_scores(_live(spark, sf_dir), query, ["source_file"])
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +63,16 @@ def query_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best documents for the text of each benchmark item."""
     p = _live(spark, sf_dir).select("source_file", "text")
     queries = sparse.term_frequencies(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["item_id"]).withColumnRenamed("tf", "qtf")
-    scores = search.keyword_scores(sparse.term_frequencies(p, ["source_file"]), F.lit(p.count()), queries, ["source_file"], query_keys=["item_id"])
+    scores = search.keyword_batch(p, queries, ["source_file"], ["item_id"])
     return search.top_by(scores, 3, ["item_id"], ["source_file"]).select("item_id", "source_file", "rank", F.round("score", 5).alias("score"))
 
 
 def semantic_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest vectors of each vector whose id is divisible by 50: queries, a stated set, are literals of one scan."""
-    from tessera.functions import vectors
-
+    """The nearest vectors of each vector whose id is divisible by 50, a stated set of queries."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    queries = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scores = scored.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    return search.top_by(scores, 5, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    queries = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    scores = search.nearest(e, queries, 5, "vec_id", "query_id", "embedding")
+    return scores.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,12 +99,18 @@ def dimension(embedder: Embedder, model: str) -> int:
 
 
 def embed_udf(embedder: Embedder, model: str, batch: int = 16):
-    """A UDF text -> vector that calls the embedder for ``batch`` texts at a time."""
+    """A UDF text -> (vector, error) that calls the embedder for ``batch`` texts at a time. Where a call fails, its texts have the error, and the others go on."""
 
-    @F.pandas_udf("array<float>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<vector:array<float>,error:string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            values = t.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(values), batch) for v in embedder.embed(model, values[i : i + batch])], dtype=object)
+            values, rows = t.fillna("").tolist(), []
+            for i in range(0, len(values), batch):
+                part = values[i : i + batch]
+                try:
+                    rows += [(v, None) for v in embedder.embed(model, part)]
+                except Exception as e:  # noqa: BLE001  any fault of the embedder is that of these texts
+                    rows += [(None, str(e) or type(e).__name__)] * len(part)
+            yield pd.DataFrame(rows, columns=["vector", "error"], dtype=object)
 
     return run

@@ -21,20 +21,26 @@ def points_of(batch: DataFrame, embedder: Embedder, model: str, size: int, overl
     """The points of files (section, rel_path, text)."""
     f = batch.select("section", F.col("rel_path").alias("source_file"), F.sha2("text", 256).alias("content_hash"), F.array(F.struct("text", F.lit(0).alias("page_number"))).alias("pages"))
     c = chunking.chunk(f, size, overlap, count)
-    c = c.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))).withColumn("dense", embed_udf(embedder, model)("text"))
+    c = c.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))).withColumn("e", embed_udf(embedder, model)("text"))
+    # a stream's batch runs again as a whole, so an error ends it
+    c = c.withColumn("dense", F.expr("CASE WHEN e.error IS NULL THEN e.vector ELSE raise_error(e.error) END"))
     return c.join(sparse.sparse_vectors(sparse.term_frequencies(c, ["id"]), ["id"]), "id", "left_outer")
 
 
 def ingest_batch(store: Store, batch: DataFrame, embedder: Embedder, model: str, size: int, overlap: int) -> None:
-    """Points first, then one event for each file. Ids follow from content, so a batch that runs again after a crash changes nothing."""
-    points = points_of(batch, embedder, model, size, overlap)
-    store.upsert_points(points)
-    n = store.points().groupBy("section", F.col("source_file").alias("rel_path"), "content_hash").agg(F.count("*").cast("int").alias("total_chunks"))
-    files = batch.select("section", "rel_path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
-    null = F.lit(None)
-    rows = files.join(n, ["section", "rel_path", "content_hash"], "left_outer").fillna(0, ["total_chunks"])
-    rows = rows.withColumns({"mtime": null.cast("timestamp"), "chunks_done": F.col("total_chunks"), "in_use": F.lit(True), "status": F.lit("ingested"), "error_reason": null.cast("string"), "delete_after": null.cast("timestamp")})
-    store.append(rows)
+    """Points first, then one event for each file. Ids follow from content, so a batch that runs again after a crash changes nothing.
+
+    Only the sections of the batch are read and written, and only its own chunks are counted.
+    """
+    with store.work() as keep:
+        points = keep(points_of(batch, embedder, model, size, overlap))
+        store.upsert_points(points)
+        n = points.groupBy("section", F.col("source_file").alias("rel_path"), "content_hash").agg(F.count("*").cast("int").alias("total_chunks"))
+        files = batch.select("section", "rel_path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
+        null = F.lit(None)
+        rows = files.join(n, ["section", "rel_path", "content_hash"], "left_outer").fillna(0, ["total_chunks"])
+        rows = rows.withColumns({"mtime": null.cast("timestamp"), "chunks_done": F.col("total_chunks"), "in_use": F.lit(True), "status": F.lit("ingested"), "error_reason": null.cast("string"), "delete_after": null.cast("timestamp")})
+        store.append(rows)
 
 
 def start(spark: SparkSession, source: str, store: Store, embedder: Embedder, checkpoint: str, model: str = "nomic-embed-text", size: int = 512, overlap: int = 51, once: bool = False) -> StreamingQuery:
