@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.chunk_oracle import STRUCTURED, chunks_sql
 from tessera.functions.identity import NAMESPACE
-from tessera.queries import CHUNK_SIZE, MODEL, QUERY, QUERY_VECTOR_ID
+from tessera.queries import CHUNK_OVERLAP, CHUNK_SIZE, MODEL, QUERY, QUERY_VECTOR_ID
 from tessera.sources.rules import ALLOW
 
 FILES = """files AS (
@@ -162,4 +163,18 @@ SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_id % 10 <> 0""",
     "live_points": f"""WITH {STATE} SELECT f.doc_id, f.section, f.rel_path AS source_file FROM files f WHERE EXISTS (FROM state s
         WHERE s.section = f.section AND s.rel_path = f.rel_path AND s.content_hash = f.content_hash AND s.in_use AND s.status IN ('ingested', 'ingesting', 'error'))""",
+    "store_transitions": """WITH f AS (SELECT doc_id, 'part' || doc_id % 2 AS section, 'doc_' || doc_id || '.txt' AS rel_path, sha256(text) AS content_hash, strlen(text) AS size,
+          doc_id % 12 AS m, (doc_id % 5 + 1)::INT AS total_chunks FROM documents)
+        SELECT section, CASE m WHEN 9 THEN 'moved/' || rel_path ELSE rel_path END AS rel_path, content_hash, CASE m WHEN 4 THEN 7 WHEN 5 THEN 8 ELSE size END AS size, total_chunks,
+          CASE m WHEN 0 THEN 0 WHEN 1 THEN least(total_chunks, 2) ELSE total_chunks END AS chunks_done, m NOT IN (4, 5, 6, 8) AS in_use,
+          CASE m WHEN 0 THEN 'ingesting' WHEN 1 THEN 'ingesting' WHEN 3 THEN 'error' WHEN 4 THEN 'skipped_size' WHEN 5 THEN 'skipped_binary' ELSE 'ingested' END AS status,
+          CASE m WHEN 3 THEN 'broken' WHEN 4 THEN 'too_large' WHEN 5 THEN 'binary' END AS error_reason, CASE m WHEN 6 THEN TIMESTAMP '2024-06-08' END AS delete_after
+        FROM f WHERE m <> 10""",
+    "store_points": f"""WITH {FILES}, p AS (SELECT doc_id, 'part' || doc_id % 2 AS section, rel_path AS source_file, content_hash, 0 AS chunk_index FROM files),
+        i AS (SELECT *, {_ID} AS id FROM p WHERE source_file NOT LIKE '%7.txt')
+        SELECT section, count(*) AS points, count(*) FILTER (doc_id % 3 <> 1) AS second, min(id) AS first_id, '{MODEL}' AS embed_model, 512 AS chunk_size, 51 AS chunk_overlap, '2024-06-01' AS ingested_on
+        FROM i WHERE section <> (SELECT min(section) FROM p) GROUP BY section""",
+    "chunk_documents": chunks_sql("SELECT doc_id AS k, 0 AS page_number, text FROM documents", "doc_id", CHUNK_SIZE, CHUNK_OVERLAP),
+    "chunk_conversations": chunks_sql("SELECT conv_id AS k, turn + 1 AS page_number, text FROM conversations", "conv_id", CHUNK_SIZE, CHUNK_OVERLAP),
+    "structured_chunks": chunks_sql(STRUCTURED, "l_orderkey", 32, 8),
 }

@@ -252,10 +252,8 @@ class Engine:
         chunks = chunking.chunk(good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "pages"), s["chunk_size"], s["chunk_overlap"], count)
         chunks = keep(chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))))
         totals = chunks.groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").cast("int").alias("total_chunks"))
-        null = F.lit(None)
         rows = keep(good.select("section", "rel_path", "content_hash", "size", "mtime").join(totals, "rel_path", "left_outer").fillna(0, ["total_chunks"]))
-        intent = rows.withColumns({"chunks_done": F.lit(0), "in_use": F.lit(True), "status": F.lit("ingesting"), "error_reason": null.cast("string"), "delete_after": null.cast("timestamp")})
-        self.store.append(intent)
+        self.store.begin_all(rows)
         # chunks of a resumed file that are stored already have their ids there, and aren't embedded again
         todo = chunks.join(self.store.points(name).select("id"), "id", "left_anti")
         todo = keep(todo.withColumn("e", embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])("text")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tessera.functions import files as file_functions
 from tessera.functions import identity, text
 from tessera.operators import chunking, gates, lifecycle, navigation, search, sparse
 from tessera.plans import fixtures
+from tessera.plans.store import POINT, Store
 
 QUERY = "the attion the language edinth the"
 QUERY_VECTOR_ID = 7
@@ -253,12 +256,57 @@ def live_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.in_use(p, fixtures.state(spark, sf_dir)).select("doc_id", "section", "source_file")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def store_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files through every transition of the store, by doc_id mod 12, each applied to all such files of a section in one write."""
+    store = Store(spark, _scratch(spark), clock=lambda: datetime(2024, 6, 1))
+    f = fixtures.files(spark, sf_dir).withColumn("section", F.concat(F.lit("part"), (F.col("doc_id") % 2).cast("string")))
+    m = F.pmod(F.regexp_extract("rel_path", "([0-9]+)", 1).cast("long"), F.lit(12))
+    store.begin_all(f.select("section", "rel_path", "content_hash", "size", "mtime", (F.col("doc_id") % 5 + 1).cast("int").alias("total_chunks")))
+    for (section,) in f.select("section").distinct().collect():
+        store.set_chunks_done(section, m == 1, F.least(F.col("total_chunks"), F.lit(2)))
+        store.complete(section, m >= 2)
+        store.mark_error(section, m == 3, "broken")
+        store.record_skip(section, m == 4, "skipped_size", "too_large", 7)
+        store.record_skip(section, m == 5, "skipped_binary", "binary", 8)
+        store.tombstone(section, m.isin(6, 7), 7)
+        store.restore(section, m == 7)
+        store.mark_changed(section, m == 8)
+        store.repath(section, m == 9, F.concat(F.lit("moved/"), F.col("rel_path")))
+        store.delete(section, m == 10)
+    return store.files().drop("updated_at", "mtime")
+
+
+def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by section after an upsert that replaces some ids and adds others, a move, a removal by file, and the drop of a section; with their fingerprints."""
+    store = Store(spark, _scratch(spark), clock=lambda: datetime(2024, 6, 1))
+    p = fixtures.points(spark, sf_dir).withColumn("section", F.concat(F.lit("part"), (F.col("doc_id") % 2).cast("string")))
+    empty = spark.createDataFrame([], POINT)
+    p = p.withColumn("id", identity.point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))).withColumn("indices", F.array().cast("array<long>")).withColumn("values", F.array().cast("array<double>"))
+    rows = p.withColumn("text", F.lit("first")).select("doc_id", *[F.col(c).cast(empty.schema[c].dataType).alias(c) for c in empty.columns])
+    store.upsert_points(rows.filter("doc_id % 3 <> 0").drop("doc_id"))
+    store.upsert_points(rows.filter("doc_id % 3 <> 1").withColumn("text", F.lit("second")).drop("doc_id"))
+    sections = sorted(r[0] for r in rows.select("section").distinct().collect())
+    for section in sections:
+        store.ensure_section(section, MODEL, 512, 51)
+        store.mark_ingested(section)
+        store.update_points(section, lambda old: old.filter(~F.col("source_file").endswith("7.txt")))
+    store.drop_section(sections[0])
+    per = store.points().groupBy("section").agg(F.count("*").alias("points"), F.count_if(F.col("text") == "second").alias("second"), F.min("id").alias("first_id"))
+    return per.join(store.fingerprints(), "section").select("section", "points", "second", "first_id", "embed_model", "chunk_size", "chunk_overlap", F.date_format("ingested_at", "yyyy-MM-dd").alias("ingested_on"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         keyword_topk, semantic_topk, hybrid_rrf, sparse_tf, doc_freq_idf, query_batch_topk, semantic_batch_topk, estimate_tokens, sentence_pack, chunk_documents,
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
-        ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points,
+        ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
     )
 }
