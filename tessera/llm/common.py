@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: The white space of all contracts: space, and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -83,7 +83,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        h = self[word] = xxh3_64_intdigest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -187,6 +189,19 @@ def likenesses(pairs: list[tuple[Fingerprint, Fingerprint]]) -> list[float]:
     return out
 
 
+def _block_of(doc_id: Column, cuts: list, kind: str) -> Column:
+    """How many cuts an id has reached; 0 for null. Cuts are searched in groups of about the square root of their number, so many cost little."""
+    if not cuts:
+        return F.lit(0)
+    size = isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    literal = lambda x, t: F.from_json(F.lit(json.dumps(x)), t)
+    reached = lambda cuts: F.size(F.filter(cuts, lambda c: c <= doc_id))
+    group = reached(literal([g[0] for g in groups], f"array<{kind}>"))
+    within = reached(F.element_at(literal(groups, f"array<array<{kind}>>"), F.greatest(group, F.lit(1))))
+    return F.when(doc_id.isNull() | (group == 0), 0).otherwise((group - 1) * size + within).cast("int")
+
+
 def next_texts(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
     """Rows (block, doc_id, text, extra) such that in each block, by id, each row but extras is followed by its next document.
 
@@ -194,10 +209,8 @@ def next_texts(docs: DataFrame, id_col: str, text_col: str, partitions: int) ->
     block: to the last), so a block is read as a stream and nothing needs a window over the whole table.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], 10_000).alias("q")).first()["q"] if partitions > 1 else None
-    cuts = sorted(set(cuts or []))  # at most `partitions` numbers
-    block = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    block = F.when(F.col("doc_id").isNull(), 0).otherwise(block).cast("int")
+    cuts = rows.select(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], max(10_000, 10 * partitions)).alias("q")).first()["q"] if partitions > 1 else None
+    block = _block_of(F.col("doc_id"), sorted(set(cuts or [])), docs.schema[id_col].dataType.simpleString())  # at most `partitions` numbers
     heads = table(rows.select(block.alias("block"), "doc_id").groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")), "print-heads")
     every = Window.orderBy("block")  # at most `partitions` rows
     heads = heads.select(F.col("m.doc_id").alias("head"), F.coalesce(F.lag("block").over(every), F.max("block").over(Window.partitionBy(F.lit(1)))).alias("to"))
@@ -217,9 +230,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     small_batches(spark)
-    partitions = min(1024, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = next_texts(docs, id_col, text_col, partitions)
-    rows = rows.repartition(partitions, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = rows.repartitionById(partitions, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row whose next document has not come yet

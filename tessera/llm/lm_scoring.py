@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import hash_words, in_fold, small_batches, table, words_of
 
@@ -306,7 +307,7 @@ class Lexicon(dict):
             end = len(self)
             if end > len(self.hashes):
                 self.hashes, self.at = np.resize(self.hashes, 2 * end), np.resize(self.at, 2 * end)
-            h = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in self.new], np.uint64)
+            h = np.fromiter(map(xxh3_64_intdigest, self.new), np.uint64, len(self.new))
             self.hashes[begin:end], self.at[begin:end] = h, self.vocabulary.find(h)
             self.new = []
         return ids
@@ -521,7 +522,8 @@ def _counted(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return docs.filter(_training(docs, folds, fold)).select("text").mapInArrow(run, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-BLOCKS = 64
+#: Parts of a table that are summed apart.
+BLOCKS = 512
 
 
 PACKED = "trained boolean, bytes long, tokens binary, rare binary, words array<binary>, block int, counts binary"

@@ -80,7 +80,7 @@ def survivors(a: np.ndarray, b: np.ndarray, bounds: list[int]) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cls, sig): cls is a 64-bit hash of the set, null for an empty one."""
+    """(doc_id, n, cls, sig): cls is a 128-bit hash of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +90,9 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 cls.append(class_of(s))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "cls", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls long, sig binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls binary, sig binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -112,11 +112,11 @@ def _sets(used: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataF
 
     first = used.join(classes.select("cls", "first_id"), "cls")
     texts = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"])).select("cls", "text")
-    return texts.mapInArrow(sets, "cls long, members binary")
+    return texts.mapInArrow(sets, "cls binary, members binary")
 
 
-def class_of(s: np.ndarray) -> int | None:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+def class_of(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, bounds: list[int]) -> DataFrame:
@@ -131,7 +131,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     like = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    like = table(like.select("a", "b", "sa", "sb").mapInPandas(prune, "a long, b long"), "near-like")
+    like = table(like.select("a", "b", "sa", "sb").mapInPandas(prune, "a binary, b binary"), "near-like")
 
     used = like.select(F.col("a").alias("cls")).union(like.select("b")).distinct()
     members = _sets(used, classes, docs, k)
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             yield f.loc[keep, ["a", "b"]]
 
     full = like.join(members.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
-    return table(full.select("a", "b", "ma", "mb").mapInPandas(exact, "a long, b long").distinct(), "near-edges")
+    return table(full.select("a", "b", "ma", "mb").mapInPandas(exact, "a binary, b binary").distinct(), "near-edges")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -189,9 +189,9 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFr
                 if group[z] != group[x] and linked(sets[x], sets[z], percent):
                     edges.append((ids[x], ids[z]))
                     group[group == group[z]] = group[x]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(edges, columns=["a", "b"])
 
-    return table(dealt.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "near-more")
+    return table(dealt.groupBy("main", "i", "j").applyInPandas(compare, "a binary, b binary").distinct(), "near-more")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

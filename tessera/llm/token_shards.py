@@ -141,8 +141,8 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
     """Tokenise ``docs`` and write its sequences in training order.
 
     Sequences are numbered densely in the order of the table's files and rows (from counts by file, so nothing is sorted for it).
-    A keyed permutation gives each number its slot. Shard k holds the slots from k * per_shard: rows are dealt by shard, so one task writes a whole range of
-    slots, in order, as one file under ``shard=k``. Spark's text writer commits the files, so lost tasks leave no half shard; it
+    A keyed permutation gives each number its slot. Shard k holds the slots from k * per_shard: rows are dealt by ranges of slots, so one task writes whole
+    shards, in order, each as one file under ``shard=k``. Spark's text writer commits the files, so lost tasks leave no half shard; it
     writes bytes as they are, and its line end is the record's last byte. A rerun over the same files gives the same shards.
 
     Ids are compressed where they wait (in the table of sequences, and in the shuffle), and plain in the shards. The documents of each sequence are
@@ -176,7 +176,8 @@ def write_shards(docs: DataFrame, ranks_path: str, pattern: str, path: str | Non
     seq = at.join(files, "file").select((F.col("first") + F.col("row")).alias("seq"), F.col("docs")[0].alias("doc"), "held", "begun", "ids")
     dealt = seq.mapInArrow(numbered, "shard long, slot long, doc long, held int, begun int, ids binary")
     tasks = max(1, min(-(-n // per_shard), 100_000))
-    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
+    count = max(1, -(-n // per_shard))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / count).cast("int")).sortWithinPartitions("shard", "slot")  # ranges of slots, known beforehand
     lines = dealt.mapInArrow(records, "shard long, record binary")
     lines.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     number = F.pandas_udf(lambda x: pd.Series(permute(x.to_numpy(), n, key)), LongType())

@@ -7,13 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, in_fold, small_batches, words_of
+from .common import hash_words, in_fold, small_batches, table, words_of
 
 #: Bounds of the sample of labelled rows that the classifier is fitted on: known toxic rows, and rows taken as unlabelled.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+#: A feature is a word of so many unlabelled texts at least, by so many standard errors more or less common in positive ones; the most telling are kept.
+MIN_DOCS, MIN_Z, MAX_WORDS = 5, 4.0, 100_000
 
 
 @dataclass
@@ -42,7 +45,7 @@ def _tokens(text: str | None) -> list[bytes]:
     return [w.strip(_EDGES) for w in words_of(text)]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5, min_z: float = 4.0, max_words: int = 100_000) -> Toxicity:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, max_words: int = MAX_WORDS) -> Toxicity:
     """Minimise the non-negative PU risk  prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])  by Adam.
 
     l is the logistic loss. Where the second part is below 0, a step follows its own gradient upwards instead (Kiryo et al. 2017), so the model
@@ -107,16 +110,27 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), ma
     u = F.xxhash64(F.lit(5), "doc_id") / F.lit(2.0**64) + 0.5
     v = F.xxhash64(F.lit(6), "doc_id") / F.lit(2.0**64) + 0.5
     sample = known.select(F.col("doc_id").alias("__id"), ((F.col("toxic") == 1) & (u < max_positive / max(1, n_pos))).alias("p"), (v < max_unlabelled / max(1, n)).alias("u")).filter("p OR u")
-    held = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("p", "u", F.col(text_col).alias("text"))
-
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["words"] = [np.unique(hash_words(_tokens(t))).tobytes() for t in f.pop("text")]
-            yield f
-
-    got = held.mapInPandas(features, "p boolean, u boolean, words binary").collect()  # bounded by the two sample sizes
-    sets = sorted((bytes(r["words"]), r["p"], r["u"]) for r in got)
-    as_array = lambda x: np.frombuffer(x, np.uint64)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    held = texts.join(F.broadcast(sample), "__id").select("p", "u", "text")  # the sample is bounded by the two sizes
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [np.unique(hash_words(_tokens(t.as_py()))).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(words, pa.list_(pa.int64()))], ["p", "u", "words"])
+
+    rows = table(held.mapInArrow(features, "p boolean, u boolean, words array<long>").withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
+    n_p, n_u = (x or 0 for x in rows.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first())
+    if not n_p or not n_u:
+        return fit([], [], n_pos / max(1, n))
+    # Words that can't be features for ``fit`` go before anything leaves the executors, so the driver gets short rows however long texts are.
+    words = rows.select("p", "u", F.explode("words").alias("h")).groupBy("h").agg(F.sum(F.col("p").cast("int")).alias("in_p"), F.sum(F.col("u").cast("int")).alias("in_u"))
+    rate = F.col("in_u") / n_u
+    z = F.abs(F.col("in_p") / n_p - rate) / F.sqrt(rate * (1 - rate) / n_p + 1e-12)
+    useful = words.filter((F.col("in_u") >= MIN_DOCS) & (z >= MIN_Z)).select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(MAX_WORDS).select("h")
+    got = rows.select("row", "p", "u", F.explode("words").alias("h")).join(useful, "h", "left_semi").groupBy("row").agg(F.collect_list("h").alias("words"))  # at most MAX_WORDS words a row
+    got = rows.select("row", "p", "u").join(got, "row", "left_outer").select("p", "u", F.coalesce("words", F.array().cast("array<long>")).alias("words")).collect()
+    sets = sorted((sorted(r["words"]), r["p"], r["u"]) for r in got)
+    as_array = lambda x: np.sort(np.array(x, np.int64).view(np.uint64))
     return fit([as_array(x) for x, p, _ in sets if p], [as_array(x) for x, _, u in sets if u], n_pos / max(1, n))
 
 
@@ -134,7 +148,7 @@ def scorer(model: Toxicity):
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Empty and null texts are scored by the bias alone. Repeated rows are scored each; a null id is never held out and never trained on.
+    Empty and null texts are scored by the bias alone; a very long text by its distinct words, whole. A score of exactly 0.5 is predicted toxic. Repeated rows are scored each; a null id is never held out and never trained on.
     An empty table gives no rows. Other columns are ignored; labels are used for nothing but training outside the fold.
     """
     model = train(docs, labels, fold, id_col=id_col, text_col=text_col, **options)

@@ -64,7 +64,7 @@ def odd(spark):
     """A null id, a repeated row, and extra columns whose names clash."""
     rows = [(None, "null id here", None, None, None), (7, "twice the same", "en", "b", 1), (7, "twice the same", "en", "b", 1), (9, None, None, None, None), (2**60 + 1, "a large id", "en", "a", 2)]
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.selectExpr("*", "1 AS kept", "2 AS keep_id", "3 AS size", "4 AS n", "5 AS score", "6 AS spans", "7 AS ids", "8 AS row", "9 AS cls", "10 AS block", "11 AS len", "12 AS toxic", "13 AS slot", "14 AS rank")
+    return df.selectExpr("*", "1 AS kept", "2 AS keep_id", "3 AS size", "4 AS n", "5 AS score", "6 AS spans", "7 AS ids", "8 AS row", "9 AS cls", "10 AS block", "11 AS len", "12 AS toxic", "13 AS slot", "14 AS rank", "15 AS p", "16 AS u", "17 AS __id", "18 AS words", "19 AS h", "20 AS anchor", "21 AS trained")
 
 
 @pytest.fixture(scope="module")
