@@ -80,6 +80,8 @@ _lists = ", ".join(f"list(rel_path ORDER BY rel_path) FILTER (category = '{c}')
 _summary = "concat_ws(', ', " + ", ".join(f"CASE WHEN n_{c} > 0 THEN n_{c} || ' {c}' END" for c in ("pending", "changed", "in_progress", "stale")) + ")"
 _names = ", ".join(f"'{x}'" for x in ALLOW)
 
+_WIKI_CHUNKS = chunks_sql("SELECT doc_id AS k, 0 AS page_number, text FROM documents", "k", 512, 51)
+
 SQL: dict[str, str] = {
     "keyword_topk": f"WITH {KEYWORD} SELECT source_file, round(score, 6) AS score FROM keyword ORDER BY keyword.score DESC, source_file LIMIT 10",
     "semantic_topk": f"WITH {POINTS}, {VECTOR} SELECT source_file, round(score, 6) AS score FROM vector ORDER BY vector.score DESC, source_file LIMIT 10",
@@ -177,4 +179,17 @@ SQL: dict[str, str] = {
     "chunk_documents": chunks_sql("SELECT doc_id AS k, 0 AS page_number, text FROM documents", "doc_id", CHUNK_SIZE, CHUNK_OVERLAP),
     "chunk_conversations": chunks_sql("SELECT conv_id AS k, turn + 1 AS page_number, text FROM conversations", "conv_id", CHUNK_SIZE, CHUNK_OVERLAP),
     "structured_chunks": chunks_sql(STRUCTURED, "l_orderkey", 32, 8),
+    "engine_search": f"""WITH chunks AS MATERIALIZED ({_WIKI_CHUNKS}),
+        tf AS (SELECT k, chunk_index, term, count(*) AS tf FROM (SELECT k, chunk_index, unnest({TERMS.format('text')}) AS term FROM chunks) GROUP BY ALL),
+        q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({TERMS.format("'" + QUERY + "'")}) AS term) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), total AS (SELECT count(*) AS n FROM chunks),
+        s AS (SELECT k, chunk_index, round(sum(qtf * {IDF} * tf), 9) AS score FROM tf JOIN q USING (term) JOIN df USING (term), total GROUP BY ALL)
+        SELECT 'doc_' || k || '.txt' AS source_file, chunk_index, page_number, text, round(score, 6) AS score FROM s JOIN chunks USING (k, chunk_index) ORDER BY s.score DESC, source_file, chunk_index LIMIT 10""",
+    "engine_lifecycle": f"""WITH chunks AS MATERIALIZED (SELECT k AS doc_id, count(*)::INT AS n FROM ({_WIKI_CHUNKS}) GROUP BY k),
+        f AS (SELECT doc_id, 'doc_' || doc_id || '.txt' AS rel_path, sha256(text) AS content_hash, strlen(text) AS size, coalesce(n, 0) AS n, doc_id % 10 AS m FROM documents LEFT JOIN chunks USING (doc_id)),
+        gone AS (SELECT doc_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY rel_path) AS k FROM f WHERE m IN (1, 3)),
+        come AS (SELECT 'moved/' || rel_path AS new_path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY rel_path) AS k FROM f WHERE m = 3),
+        r AS (SELECT f.*, new_path, m = 2 AS changed, m IN (1, 3) AND new_path IS NULL AS lost FROM f LEFT JOIN gone USING (doc_id) LEFT JOIN come ON come.content_hash = gone.content_hash AND come.k = gone.k)
+        SELECT coalesce(new_path, rel_path) AS rel_path, content_hash, size, 'ingested' AS status, NOT changed AND NOT lost AS in_use, n AS total_chunks, n AS chunks_done,
+          CASE WHEN lost THEN TIMESTAMP '2024-06-08' END AS delete_after, CASE WHEN changed OR lost THEN 0 ELSE n END AS searched FROM r""",
 }

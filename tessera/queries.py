@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -13,7 +14,10 @@ from tessera.functions import files as file_functions
 from tessera.functions import identity, text
 from tessera.operators import chunking, gates, lifecycle, navigation, search, sparse
 from tessera.plans import fixtures
+from tessera.plans.engine import Engine
 from tessera.plans.store import POINT, Store
+from tessera.sources.config import Config
+from tessera.sources.embedding import HashEmbedder
 
 QUERY = "the attion the language edinth the"
 QUERY_VECTOR_ID = 7
@@ -301,6 +305,56 @@ def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(store.fingerprints(), "section").select("section", "points", "second", "first_id", "embed_model", "chunk_size", "chunk_overlap", F.date_format("ingested_at", "yyyy-MM-dd").alias("ingested_on"))
 
 
+def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
+    """An engine over a new folder whose section ``docs`` holds every document as a file, ingested. The folder is on a file system that all nodes share."""
+    base = _scratch(spark).removeprefix("file://")
+    folder = f"{base}/wiki/docs"
+    os.makedirs(folder)
+    with open(f"{folder}/section.yaml", "w", encoding="utf-8") as f:
+        f.write("description: all documents\n")
+
+    def put(frames):
+        for f in frames:
+            for name, text in zip(f["rel_path"], f["text"]):
+                with open(f"{folder}/{name}", "w", encoding="utf-8", newline="") as out:
+                    out.write(text)
+            yield f[["rel_path"]]
+
+    fixtures.files(spark, sf_dir).select("rel_path", "text").mapInPandas(put, "rel_path string").count()
+    engine = Engine(spark, Config(wiki_dir=f"{base}/wiki"), Store(spark, f"file://{base}/store", clock=lambda: datetime(2024, 6, 1)), HashEmbedder(16))
+    engine.ingest("docs")
+    if engine.runs["docs"]["status"] != "completed":
+        raise RuntimeError(engine.runs["docs"]["error"])
+    return engine, folder
+
+
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search through the engine: files discovered, parsed, chunked, embedded, stored and searched behind both gates."""
+    engine, _ = _wiki(spark, sf_dir)
+    rows = engine.search("docs", QUERY, 10, "keyword")["results"]
+    out = spark.createDataFrame([(r["source_file"], r["chunk_index"], r["page_number"], r["text"], r["score"]) for r in rows], "source_file string, chunk_index int, page_number int, text string, score double")
+    return out.withColumn("score", F.round("score", 6))
+
+
+def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after an ingest, changes on disk by doc_id mod 10 (1 deleted, 2 rewritten, 3 moved to a folder), and a pass of the daemon; with points that are searched."""
+    engine, folder = _wiki(spark, sf_dir)
+    os.makedirs(f"{folder}/moved")
+    for name in os.listdir(folder):
+        digit = name[-5:-4] if name.endswith(".txt") else ""
+        if digit == "1":
+            os.remove(f"{folder}/{name}")
+        elif digit == "2":
+            with open(f"{folder}/{name}", "a", encoding="utf-8") as f:
+                f.write(" changed")
+        elif digit == "3":
+            os.rename(f"{folder}/{name}", f"{folder}/moved/{name}")
+    engine.poll()
+    live = engine.live_points("docs").groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").alias("searched"))
+    rows = engine.store.files("docs").join(live, "rel_path", "left_outer")
+    return rows.select("rel_path", "content_hash", "size", "status", "in_use", "total_chunks", "chunks_done", "delete_after", F.coalesce("searched", F.lit(0)).alias("searched"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -308,5 +362,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
+        engine_search, engine_lifecycle,
     )
 }
