@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, SentencePiece. Each stage takes all that the one before kept."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, SentencePiece. Each stage takes all that the one before kept.
+
+In every stage rows are told apart by id and text, so null and repeated ids lose no text; null texts count as empty; texts of any length are taken whole; an empty table
+gives an empty one; columns other than those of documents are left out.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects (a score of 0.5 or more). Empty texts are scored by the bias alone; repeated rows are scored each."""
     return keep_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of texts that are equal but for white space."""
+    """Keeps one of each group of texts that are equal but for white space: the longest, of ties the one of smallest id (null first). Empty texts are equal; of repeated rows one stays."""
     return keep_exact(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each component of documents whose 5-word shingles have a similarity of 0.8 or more."""
+    """Keeps one of each component of documents whose 5-word shingles have a similarity of 0.8 or more: that of smallest id (null first). Texts without words link with nothing; of repeated rows one stays."""
     return keep_near(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents as often as the curriculum says, in training order."""
+    """Takes documents as often as the curriculum says, in training order; ties in time go by id. Repeated rows hold their positions together; texts without words come where their source's stream passes them."""
     return mix(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document that the mix takes, once for each time, and whether decoding gives the text back."""
+    """The ids of each document that the mix takes, once for each time, and the hash of what they decode to. Empty texts have no ids."""
     out = tokenize(docs.select("doc_id", "text", "source"), public_tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
