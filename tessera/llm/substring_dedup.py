@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .anchors import owners
-from .common import small_batches, table
+from .anchors import gram_hashes, owners
+from .common import hash_words, small_batches, table, words_of
 from .suffixes import common_prefixes, suffix_order
 
 #: Length of the content-picked grams that deal stretches to shards.
 GRAM = 48
+#: Words of the grams that deal passages of words.
+WORD_GRAM = 8
 #: A task sorts its groups in shards of about so many bytes; one group alone may be larger.
 SHARD_BYTES = 3 << 20
 
@@ -36,7 +38,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 if len(first):
                     row.append(np.full(len(first), key))
                     own.append(h.view(np.int64))
-                    content.append([int.from_bytes(blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(first.tolist(), (last + length).tolist())])
+                    content.append(np.array([xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64).view(np.int64))
                     start.append(first)
                     count.append(last - first + 1)
             if row:
@@ -123,16 +125,71 @@ def repeated_passages(docs: DataFrame, length: int) -> DataFrame:
     return copied.unionByName(single).select("row", F.col("start").alias("first"), (F.col("end") + length - 1).alias("last"))
 
 
-def substring_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left, in order; binary).
+def _word_runs(docs: DataFrame, size: int) -> DataFrame:
+    """(row, own, content, start, n): runs of n starts of ``size``-word passages with one owner gram of words, with hashes of the owner and of the run's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, own, content, start, count = [], [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = hash_words(words_of(text.as_py()))
+                first, last, o = owners(h, size, WORD_GRAM)
+                if len(first):
+                    data = memoryview(h).cast("B")
+                    row.append(np.full(len(first), key))
+                    own.append(o.view(np.int64))
+                    content.append(np.array([xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(first.tolist(), (last + size).tolist())], np.uint64).view(np.int64))
+                    start.append(first)
+                    count.append(last - first + 1)
+            if row:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (row, own, content, start, count)], ["row", "own", "content", "start", "n"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, own long, content long, start long, n long")
+
+
+def shared_passages(docs: DataFrame, size: int) -> DataFrame:
+    """(row): documents with a passage of ``size`` words, A-Z lower-cased, that another document has too; ``docs`` has (row, text).
+
+    As for bytes, equal passages have equal owner grams. A run of passages that two documents have in full settles both. Only groups with a document that this doesn't
+    settle are compared passage by passage, by a hash of each, in a groupBy; a group is never gathered.
+    """
+    occ = table(_word_runs(docs, size), "sub-word-runs")
+    apart = lambda c: F.min(c) != F.max(c)
+    regions = occ.groupBy("own", "content").agg(apart("row").alias("many"), F.min(F.struct("row", "start", "n")).alias("at"))
+    regions = table(regions.select("own", "content", "many", "at.*"), "sub-word-regions")
+    alike = regions.groupBy("own").agg(F.count("*").alias("regions"), F.max("many").alias("many")).filter("regions > 1 OR many")
+    settled = table(occ.join(regions.filter("many").select("own", "content"), ["own", "content"], "left_semi").select("row").distinct(), "sub-word-settled")
+    several = regions.join(alike.filter("regions > 1").select("own"), "own", "left_semi")
+    unsettled = several.join(settled, "row", "left_anti").select("own").distinct()
+    wanted = several.join(unsettled, "own", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                h = gram_hashes(hash_words(words_of(text.as_py())), size)
+                found = np.unique(np.concatenate([h[c["start"] : c["start"] + c["n"]] for c in cuts]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found.view(np.int64))], ["row", "passage"])
+
+    passages = docs.join(wanted, "row").select("row", "text", "cuts").mapInArrow(windows, "row long, passage long")
+    passages = table(passages, "sub-word-passages")
+    both = passages.groupBy("passage").agg(apart("row").alias("many")).filter("many").select("passage")
+    return settled.unionByName(passages.join(both, "passage", "left_semi").select("row")).distinct()
+
+
+def substring_dedup(docs: DataFrame, length: int = 400, words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left, in order; binary), ``shared``.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in another document or in the same. Strings never cross
     documents, overlaps count, and all is judged on the input. Null texts count as empty. Rows that repeat an id and text are two documents with equal
-    texts, so long ones go whole; an empty table gives no rows. Other columns are ignored.
+    texts, so long ones go whole; an empty table gives no rows. Other columns are ignored. Texts may be of any length, and ties don't arise.
+
+    ``shared`` tells, apart from that, whether a passage of ``words`` words or more, which may have fewer bytes, is in another document too; copies of a
+    row (equal id and text) count as one document there. It removes nothing.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     spans = repeated_passages(docs, length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = spans.join(shared_passages(docs, words).withColumn("shared", F.lit(True)), "row", "full_outer")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +206,7 @@ def substring_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, runs)), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shared"])
 
-    joined = docs.join(spans, "row", "left_outer").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = docs.join(spans, "row", "left_outer").select("doc_id", "text", "spans", F.coalesce("shared", F.lit(False)).alias("shared"))
+    return joined.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, shared boolean")

@@ -494,12 +494,19 @@ def test_op7_fingerprints(spark, docs, texts, odd, none):
 
 
 def test_op8_substring_dedup(docs, texts, odd, none):
-    for length in (60, 400):
+    for length, words in ((60, 12), (400, 51)):
+        where = collections.defaultdict(set)
+        for i, t in enumerate(texts):
+            w = split(t)
+            for p in range(len(w) - words + 1):
+                where[tuple(w[p : p + words])].add(i)
+        shared = {3 * i + 1 for x in where.values() if len(x) > 1 for i in x}
         seen = collections.Counter()
         data = {3 * i + 1: (t or "").encode() for i, t in enumerate(texts)}
         for b in data.values():
             seen.update(b[p : p + length] for p in range(len(b) - length + 1))
-        got = by_id(substring_dedup(docs, length))
+        got = by_id(substring_dedup(docs, length, words))
+        assert {i for i, r in got.items() if r["shared"]} == shared and 0 < len(shared) < len(texts)
         for i, b in data.items():
             gone = np.zeros(len(b) + 1, int)
             for p in range(len(b) - length + 1):
@@ -651,3 +658,22 @@ def test_pipeline(spark, tmp_path):
         kept.append({r["doc_id"] for r in docs.collect()})
     assert kept[0] == set(clean) and kept[1] == set(exact) and kept[2] == set(near) and kept[3] <= kept[2] and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_odd_rows(spark, odd, none, labels, tmp_path):
+    """Each stage on null, empty, very long and repeated rows, extra columns with clashing names, and an empty table."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(50, prose(random.Random(2), 30_000), "en", "a", 0), (51, "", "en", "a", 0), (52, None, None, None, None)]
+    docs = odd.unionByName(spark.createDataFrame(more, SCHEMA), allowMissingColumns=True)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        kept[name] = sorted((r["doc_id"] for r in out.collect()), key=lambda i: (i is not None, i))
+        assert name == "sentencepiece" or out.columns == corpus_pipeline.COLUMNS
+    everything = [None, 7, 7, 9, 50, 51, 52, 2**60 + 1]
+    assert kept["toxicity"] == kept["sentencepiece"] == everything
+    assert kept["exact_dedup"] == [None, 7, 9, 50, 2**60 + 1] and kept["near_dedup"] == [None, 7, 9, 50, 51, 52, 2**60 + 1]
+    assert {None, 7, 50} <= set(kept["mixing"]) <= set(everything)  # the source of 50 has more words than its target, so not all of it is taken
