@@ -52,7 +52,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_
     """One row per input row: ``doc_id, source, size, source_size, target, positions, taken``.
 
     ``positions`` holds one training time in [0, 1) for each time that the mix takes the document. Within a source,
-    documents follow each other in the order of a seeded hash, in up to ``ceil(max_repeat)`` passes, and a copy
+    documents follow each other in the order of a seeded hash (of id, source and text, so that null and repeated ids spread too), in up to ``ceil(max_repeat)`` passes, and a copy
     that begins at word x of that stream is taken while its middle lies before the target. Its time t is where the
     source's cumulative demand, target * integral of its weight schedule up to t, reaches x. So the mix draws on each source as
     its schedule says at any time, and its total is within half a document of the target.
@@ -68,7 +68,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_
 def _planned(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, shapes=SHAPES, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = 4096, key: Column | None = None) -> DataFrame:
     """What ``curriculum`` returns, and ``sha``: the ``key`` that tells apart rows of one id."""
     sha = F.lit(None).cast("binary") if key is None else key
-    rows = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("h"), sha.alias("sha")), "mix-rows")
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)).alias("h"), sha.alias("sha")), "mix-rows")
     targets = table(source_targets(rows, weights, max_repeat), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
     rows, t = rows.alias("r"), (F.broadcast(targets) if few else targets).alias("t")
