@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -189,16 +188,16 @@ def likenesses(pairs: list[tuple[Fingerprint, Fingerprint]]) -> list[float]:
     return out
 
 
-def _block_of(doc_id: Column, cuts: list, kind: str) -> Column:
+def _block_of(doc_id: Column, cuts: list) -> Column:
     """How many cuts an id has reached; 0 for null. Cuts are searched in groups of about the square root of their number, so many cost little."""
     if not cuts:
         return F.lit(0)
     size = isqrt(len(cuts)) + 1
     groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    literal = lambda x, t: F.from_json(F.lit(json.dumps(x)), t)
+    literal = lambda x: F.array(*map(F.lit, x))
     reached = lambda cuts: F.size(F.filter(cuts, lambda c: c <= doc_id))
-    group = reached(literal([g[0] for g in groups], f"array<{kind}>"))
-    within = reached(F.element_at(literal(groups, f"array<array<{kind}>>"), F.greatest(group, F.lit(1))))
+    group = reached(literal([g[0] for g in groups]))
+    within = reached(F.element_at(F.array(*map(literal, groups)), F.greatest(group, F.lit(1))))
     return F.when(doc_id.isNull() | (group == 0), 0).otherwise((group - 1) * size + within).cast("int")
 
 
@@ -210,7 +209,7 @@ def next_texts(docs: DataFrame, id_col: str, text_col: str, partitions: int) ->
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cuts = rows.select(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], max(10_000, 10 * partitions)).alias("q")).first()["q"] if partitions > 1 else None
-    block = _block_of(F.col("doc_id"), sorted(set(cuts or [])), docs.schema[id_col].dataType.simpleString())  # at most `partitions` numbers
+    block = _block_of(F.col("doc_id"), sorted(set(cuts or [])))  # at most `partitions` numbers
     heads = table(rows.select(block.alias("block"), "doc_id").groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")), "print-heads")
     every = Window.orderBy("block")  # at most `partitions` rows
     heads = heads.select(F.col("m.doc_id").alias("head"), F.coalesce(F.lag("block").over(every), F.max("block").over(Window.partitionBy(F.lit(1)))).alias("to"))
