@@ -170,7 +170,7 @@ SQL: dict[str, str] = {
         SELECT section, CASE m WHEN 9 THEN 'moved/' || rel_path ELSE rel_path END AS rel_path, content_hash, CASE m WHEN 4 THEN 7 WHEN 5 THEN 8 ELSE size END AS size, total_chunks,
           CASE m WHEN 0 THEN 0 WHEN 1 THEN least(total_chunks, 2) ELSE total_chunks END AS chunks_done, m NOT IN (4, 5, 6, 8) AS in_use,
           CASE m WHEN 0 THEN 'ingesting' WHEN 1 THEN 'ingesting' WHEN 3 THEN 'error' WHEN 4 THEN 'skipped_size' WHEN 5 THEN 'skipped_binary' ELSE 'ingested' END AS status,
-          CASE m WHEN 3 THEN 'broken' WHEN 4 THEN 'too_large' WHEN 5 THEN 'binary' END AS error_reason, CASE m WHEN 6 THEN TIMESTAMP '2024-06-08' END AS delete_after
+          CASE m WHEN 3 THEN 'broken' WHEN 4 THEN 'too_large' WHEN 5 THEN 'binary' END AS error_reason, CASE m WHEN 6 THEN '2024-06-08' END AS delete_after
         FROM f WHERE m <> 10""",
     "store_points": f"""WITH {FILES}, p AS (SELECT doc_id, 'part' || doc_id % 2 AS section, rel_path AS source_file, content_hash, 0 AS chunk_index FROM files),
         i AS (SELECT *, {_ID} AS id FROM p WHERE source_file NOT LIKE '%7.txt')
@@ -191,5 +191,5 @@ SQL: dict[str, str] = {
         come AS (SELECT 'moved/' || rel_path AS new_path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY rel_path) AS k FROM f WHERE m = 3),
         r AS (SELECT f.*, new_path, m = 2 AS changed, m IN (1, 3) AND new_path IS NULL AS lost FROM f LEFT JOIN gone USING (doc_id) LEFT JOIN come ON come.content_hash = gone.content_hash AND come.k = gone.k)
         SELECT coalesce(new_path, rel_path) AS rel_path, content_hash, size, 'ingested' AS status, NOT changed AND NOT lost AS in_use, n AS total_chunks, n AS chunks_done,
-          CASE WHEN lost THEN TIMESTAMP '2024-06-08' END AS delete_after, CASE WHEN changed OR lost THEN 0 ELSE n END AS searched FROM r""",
+          CASE WHEN lost THEN '2024-06-08' END AS delete_after, (CASE WHEN changed OR lost THEN 0 ELSE n END)::BIGINT AS searched FROM r""",
 }

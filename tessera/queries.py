@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -283,7 +284,7 @@ def store_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.mark_changed(section, m == 8)
         store.repath(section, m == 9, F.concat(F.lit("moved/"), F.col("rel_path")))
         store.delete(section, m == 10)
-    return store.files().drop("updated_at", "mtime")
+    return store.files().drop("updated_at", "mtime").withColumn("delete_after", F.date_format("delete_after", "yyyy-MM-dd"))
 
 
 def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +308,7 @@ def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     """An engine over a new folder whose section ``docs`` holds every document as a file, ingested. The folder is on a file system that all nodes share."""
-    base = _scratch(spark).removeprefix("file://")
+    base = re.sub("^file:(//)?(?=/)", "", _scratch(spark))
     folder = f"{base}/wiki/docs"
     os.makedirs(folder)
     with open(f"{folder}/section.yaml", "w", encoding="utf-8") as f:
@@ -352,7 +353,7 @@ def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine.poll()
     live = engine.live_points("docs").groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").alias("searched"))
     rows = engine.store.files("docs").join(live, "rel_path", "left_outer")
-    return rows.select("rel_path", "content_hash", "size", "status", "in_use", "total_chunks", "chunks_done", "delete_after", F.coalesce("searched", F.lit(0)).alias("searched"))
+    return rows.select("rel_path", "content_hash", "size", "status", "in_use", "total_chunks", "chunks_done", F.date_format("delete_after", "yyyy-MM-dd").alias("delete_after"), F.coalesce("searched", F.lit(0)).alias("searched"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
