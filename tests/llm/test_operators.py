@@ -13,8 +13,8 @@ import public_tokenizers
 
 from tessera.llm.exact_dedup import exact_dedup, keep_exact
 from tessera.llm.fingerprints import Fingerprint, fingerprint_edits, likenesses, weight
-from tessera.llm import lm_scoring
-from tessera.llm.common import hash_words
+from tessera.llm import common, lm_scoring
+from tessera.llm.common import hash_words, keyed, without
 from tessera.llm.lm_scoring import score_documents
 from tessera.llm.mixing import curriculum, mix, source_targets
 from tessera.llm.near_dedup import keep_near, least_matches, near_dedup
@@ -629,6 +629,39 @@ def test_pipeline_ids(spark):
     assert sum(n * c for n, c in plan.items()) == sum(n * c for n, c in mixed.items()) and mixed == +plan
 
 
+def _texts_moved(df):
+    """Rows that the shuffles of ``df``, which has run, wrote with their text."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and "text#" in node.output().mkString(","):
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+        children = node.children()
+        todo += [getattr(node, inner)()] if inner else [children.apply(i) for i in range(children.size())]
+    return n
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 8])
+def test_pipeline_drops_without_moving_texts(spark, monkeypatch, bits):
+    """Where the dropped rows are too many to broadcast, only rows that may be among them are shuffled; rows that the map of ids wrongly names stay."""
+    monkeypatch.setattr(common, "MAYBE_BITS", bits)
+    rows = [(i, f"text {i}", "en", "s", 0) for i in range(2000)] + [(None, "null id", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    gone = [r for r in rows if r[0] is None or r[0] % 100 == 7]
+    keys = keyed(spark.createDataFrame([*gone, (8, "other text", "en", "s", 0)], SCHEMA), "doc_id", "text").select("doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = without(docs, keys, "doc_id", "text")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} == set(rows) - set(gone) and out.count() == len(rows) - len(gone)
+        assert bits == 8 or 0 < _texts_moved(out) <= len(gone) + 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pipeline(spark, tmp_path):
     """The stages, each on what the one before kept, against plain versions of their decisions."""
     import corpus_pipeline
