@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .anchors import gram_hashes, owners
-from .common import hash_words, small_batches, table, words_of
+from .common import small_batches, table
 from .suffixes import common_prefixes, suffix_order
 
 #: Length of the content-picked grams that deal stretches to shards.
@@ -20,6 +21,12 @@ GRAM = 48
 WORD_GRAM = 8
 #: A task sorts its groups in shards of about so many bytes; one group alone may be larger.
 SHARD_BYTES = 3 << 20
+#: Texts are joined up to about so many bytes, to hash their words at once.
+HASH_BYTES = 1 << 20
+
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: By n: the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _bytes(text: str | None) -> bytes:
@@ -64,6 +71,31 @@ def repeated_starts(parts: list[bytes], copies: list[int], length: int) -> list[
     return out
 
 
+def may_repeat(owned: list[int], parts: list[bytes], length: int) -> np.ndarray:
+    """Which of some parts may share ``length`` bytes with another part of their owner; no part has such bytes twice.
+
+    Shared bytes have the owner gram, a part's first of that hash, at the same place. Of the bytes beside the gram, half or more lie on one side of it,
+    so parts that share neither half with another have nothing to sort. The halves are compared as they are.
+    """
+    half = (length - GRAM + 1) // 2
+    start = np.cumsum([0, *map(len, parts)])
+    own = np.repeat(np.array(owned, np.int64).view(np.uint64), np.diff(start))
+    h = gram_hashes(np.frombuffer(b"".join(parts), np.uint8), GRAM)
+    hits = np.flatnonzero(h == own[: len(h)])
+    of, first = np.unique(np.searchsorted(start, hits, "right") - 1, return_index=True)
+    at = (hits[first] - start[of]).tolist()
+    halves = []
+    for i, p in zip(of.tolist(), at):
+        if p >= half:
+            halves.append((i, (owned[i], 0, parts[i][p - half : p + GRAM])))
+        if p + GRAM + half <= len(parts[i]):
+            halves.append((i, (owned[i], 1, parts[i][p : p + GRAM + half])))
+    count = Counter(key for _, key in halves)
+    out = np.zeros(len(parts), bool)
+    out[[i for i, key in halves if count[key] > 1]] = True
+    return out
+
+
 def _sorted_shards(regions: DataFrame, length: int) -> DataFrame:
     """(own, content, first, last): runs of repeated starts in single regions; regions (own, content, copies, bytes) come in the order of own."""
 
@@ -77,19 +109,28 @@ def _sorted_shards(regions: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["own", "content", "first", "last"])
 
-        keys, parts, copies, size = [], [], [], 0
+        def sift():
+            for i in np.flatnonzero(may_repeat([own for own, _ in new_keys], new_parts, length)).tolist():
+                keys.append(new_keys[i])
+                parts.append(new_parts[i])
+                copies.append(new_copies[i])
+            return sum(map(len, parts))
+
+        keys, parts, copies, new_keys, new_parts, new_copies, size = [], [], [], [], [], [], 0
         for batch in batches:
             for own, content, c, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if keys and keys[-1] == (own, content):  # a row that is in the table twice
+                if new_keys and new_keys[-1] == (own, content):  # a row that is in the table twice
                     continue
-                if size >= SHARD_BYTES and keys[-1][0] != own:
-                    yield from flush()
-                    keys, parts, copies, size = [], [], [], 0
-                keys.append((own, content))
-                parts.append(data)
-                copies.append(c)
+                if size >= SHARD_BYTES and new_keys[-1][0] != own:
+                    if sift() >= SHARD_BYTES:
+                        yield from flush()
+                        keys, parts, copies = [], [], []
+                    new_keys, new_parts, new_copies, size = [], [], [], 0
+                new_keys.append((own, content))
+                new_parts.append(data)
+                new_copies.append(c)
                 size += len(data)
-        if keys:
+        if new_keys and sift():
             yield from flush()
 
     return regions.mapInArrow(run, "own long, content long, first long, last long")
@@ -100,7 +141,8 @@ def repeated_passages(docs: DataFrame, length: int) -> DataFrame:
 
     Equal stretches have equal owner grams, so stretches are grouped by owner: only groups with two occurrences can hold a repeat. Runs of
     stretches with equal bytes are one region with a count. Groups of several regions are dealt to tasks by owner; a task orders the
-    suffixes of its groups, shard by shard, by induced sorting, and neighbours that share ``length`` bytes repeat.
+    suffixes of its groups, shard by shard, by induced sorting, and neighbours that share ``length`` bytes repeat. Regions that share no half of such a stretch with another
+    of their group (``may_repeat``) are not sorted.
     """
     occ = table(_stretches(docs, length), "sub-stretches")
     regions = occ.groupBy("own", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n")).alias("at"))
@@ -125,14 +167,48 @@ def repeated_passages(docs: DataFrame, length: int) -> DataFrame:
     return copied.unionByName(single).select("row", F.col("start").alias("first"), (F.col("end") + length - 1).alias("last"))
 
 
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text, the 64-bit hashes of its words, A-Z lower-cased: of words up to 16 bytes from two integers, many texts at once; of longer ones by xxh3."""
+
+    def flush():
+        data = b" ".join(held).lower() + b" " * 17
+        a = np.frombuffer(data, np.uint8)[:-16]
+        edge = np.flatnonzero(np.diff((a == 32) | (a - np.uint8(9) < 5), prepend=True))
+        start, end = edge[::2], edge[1::2]
+        n = end - start
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # from each byte on
+        h = (eight[start] & _FIRST[np.minimum(n, 8)]) * _ONE
+        h ^= h >> np.uint64(32)
+        h = (h + n.astype(np.uint64)) * _TWO
+        h ^= h >> np.uint64(29)
+        h = (h ^ (eight[start + 8] & _FIRST[np.clip(n - 8, 0, 8)])) * _ONE
+        h ^= h >> np.uint64(32)
+        for i in np.flatnonzero(n > 16).tolist():
+            h[i] = xxh3_64_intdigest(data[start[i] : end[i]])
+        return np.split(h, np.searchsorted(start, np.cumsum([len(x) + 1 for x in held[:-1]])))
+
+    held, size = [], 0
+    for text in texts:
+        held.append(_bytes(text))
+        size += len(held[-1])
+        if size >= HASH_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    return (x.as_py() for x in column)
+
+
 def _word_runs(docs: DataFrame, size: int) -> DataFrame:
     """(row, own, content, start, n): runs of n starts of ``size``-word passages with one owner gram of words, with hashes of the owner and of the run's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, own, content, start, count = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = hash_words(words_of(text.as_py()))
+            for key, h in zip(batch.column(0).to_pylist(), word_hashes(_texts(batch.column(1)))):
                 first, last, o = owners(h, size, WORD_GRAM)
                 if len(first):
                     data = memoryview(h).cast("B")
@@ -165,8 +241,8 @@ def shared_passages(docs: DataFrame, size: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                h = gram_hashes(hash_words(words_of(text.as_py())), size)
+            for row, words, cuts in zip(batch.column(0).to_pylist(), word_hashes(_texts(batch.column(1))), batch.column(2).to_pylist()):
+                h = gram_hashes(words, size)
                 found = np.unique(np.concatenate([h[c["start"] : c["start"] + c["n"]] for c in cuts]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found.view(np.int64))], ["row", "passage"])
 

@@ -14,13 +14,14 @@ import public_tokenizers
 from tessera.llm.exact_dedup import exact_dedup, keep_exact
 from tessera.llm.fingerprints import Fingerprint, fingerprint_edits, likenesses, weight
 from tessera.llm import common, lm_scoring
+from tessera.llm.anchors import owners
 from tessera.llm.common import hash_words, keyed, without
 from tessera.llm.lm_scoring import score_documents
 from tessera.llm.mixing import curriculum, mix, source_targets
 from tessera.llm.near_dedup import keep_near, least_matches, near_dedup
 from tessera.llm.secrets import BASE, find_secrets, guess_cost, scan
 from tessera.llm.sentencepiece_bpe import PieceBPE, tokenize
-from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.substring_dedup import GRAM, may_repeat, repeated_starts, substring_dedup, word_hashes
 from tessera.llm.suffixes import Queues, common_prefixes, suffix_order
 from tessera.llm.token_shards import documents_of, permute, read_shards, write_shards
 from tessera.llm.toxicity import fit, keep_clean, score_toxicity
@@ -538,6 +539,35 @@ def test_op8_suffixes():
             assert shared[b] == k
 
 
+def test_op8_sorts_what_may_repeat():
+    """No region with repeated starts is left out of the sort, and regions that share little more than their owner gram are."""
+    rng = random.Random(21)
+    made = lambda n: bytes(rng.choices(b"abcd efgh", k=n))
+    gram, passage, length = made(GRAM), made(150), 120
+    texts = [made(rng.randrange(200)) + rng.choice([gram, passage, passage[:119], passage[20:], made(90)]) + made(rng.randrange(200)) for _ in range(150)] + [b"ab" * 200, passage * 2, passage]
+    groups = collections.defaultdict(dict)
+    for t in texts:
+        for a, b, h in zip(*owners(np.frombuffer(t, np.uint8), length, GRAM)):
+            groups[int(h.view(np.int64))].setdefault(t[a : b + length])
+    several = {own: list(parts) for own, parts in groups.items() if len(parts) > 1}
+    flat = [(own, p) for own, parts in several.items() for p in parts]
+    kept = dict(zip(flat, may_repeat([own for own, _ in flat], [p for _, p in flat], length)))
+    for own, parts in several.items():
+        for part, again in zip(parts, repeated_starts(parts, [1] * len(parts), length)):
+            assert kept[own, part] or not again.any()
+    assert any(kept.values()) and sum(kept.values()) < 0.8 * len(kept)
+
+
+def test_op8_word_hashes():
+    texts = ["The sea\tTHE\x0bsea", None, "", " \n", "a a\x00 \x00a é É \u00a0 x", "p" * 16 + " " + "p" * 17 + " " + "P" * 70_000, "12345678 123456789"] * 3
+    words, seen = [split(t) for t in texts], {}
+    for w, h in zip(words, word_hashes(texts), strict=True):
+        assert len(w) == len(h)
+        for x, y in zip(w, h.tolist()):
+            assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_op8_queues_spill():
     q = Queues(3, limit=64)
     for i in range(40):
