@@ -17,6 +17,7 @@ from .sentencepiece_bpe import tokenize
 from .substring_dedup import substring_dedup
 from .token_shards import documents_of, read_shards, write_shards
 from .toxicity import score_toxicity
+from .yinyang import cluster
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,11 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(documents_of(spark, shards).select("slot", F.col("docs").alias("doc_ids")), "slot")
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -94,8 +100,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_shards": op10_token_shards,
+    "op11_yinyang": op11_yinyang,
 }
 
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """Whole scans in each round; squared distances as doubles that are exact."""
+    dot = "list_dot_product({}, {})".format
+    parts = [
+        """kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(c, [d, c]) AS c, min(d) AS d
+          FROM (SELECT r, c, {dot('x.v', 'x.v')} - 2 * {dot('x.v', 'y.v')} + {dot('y.v', 'y.v')} AS d FROM kept x, c{i} y) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (
+          SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, floor(sum(x) / count(*)) AS m
+            FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i} JOIN kept USING (r)) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(y.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} y USING (c)"""
+
+
 SQL = {
     "op5_exact_dedup": r"""
 WITH d AS (
@@ -107,4 +136,5 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """,
+    "op11_yinyang": _kmeans_sql(),
 }
