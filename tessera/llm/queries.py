@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import damaged, repair_conversations
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .lm_scoring import score_documents
@@ -89,6 +90,10 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_shards": op10_token_shards,
     "op11_yinyang": op11_yinyang,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -137,4 +143,45 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """,
     "op11_yinyang": _kmeans_sql(),
+    "op13_conversation_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS cid,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT) AS bytes FROM conversations),
+hit AS (
+  SELECT * EXCLUDE (bytes), xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, b: list_reduce([xor(c, b)] || range(8),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind FROM keyed),
+d AS (
+  SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE kind <> 0),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+f AS MATERIALIZED (
+  SELECT cid, turn, role, text, i, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY cid ORDER BY i), 1) AS before,
+    CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+edits(q1, letter, role_initial, q2, base) AS (
+  VALUES (0, 'D', NULL, 0, 2), (1, 'D', NULL, 1, 2), (2, 'D', NULL, 2, 2), (3, 'D', NULL, 3, 2), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0),
+    (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 1), (1, 'R', NULL, 2, 1), (2, 'R', NULL, 3, 1), (3, 'R', NULL, 2, 1)),
+inserts(p, q, extra, put, added) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+    (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+path AS (
+  SELECT cid, 1::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS m FROM keyed GROUP BY cid
+  UNION ALL
+  SELECT p.cid, p.i + 1, e.q2, min({'cost': p.m.cost + t.extra + e.base + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': p.m.audit || t.put || e.letter,
+      'lines': p.m.lines || t.added || CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE e.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END})
+  FROM path p JOIN inserts t ON t.p = p.q JOIN f ON f.cid = p.cid AND f.i = p.i
+    JOIN edits e ON e.q1 = t.q AND (e.role_initial IS NULL OR e.role_initial = f.initial) AND (e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY p.cid, p.i, e.q2),
+counts AS (
+  SELECT cid, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY cid),
+ends AS (
+  SELECT p.cid, min({'cost': p.m.cost + t.extra, 'audit': p.m.audit || t.put, 'lines': p.m.lines || t.added}) AS m
+  FROM path p LEFT JOIN counts c USING (cid) JOIN inserts t ON t.p = p.q WHERE p.i = coalesce(c.n_rows, 0) + 1 AND t.q IN (0, 3) GROUP BY p.cid)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  m.cost::BIGINT AS cost, m.audit AS audit, sha256(array_to_string(m.lines, chr(10))) AS repaired_sha256, coalesce(n_rows, 0) AS n_rows
+FROM (SELECT DISTINCT cid, conv_id FROM keyed) k JOIN ends USING (cid) LEFT JOIN counts USING (cid)
+""",
 }
