@@ -187,7 +187,7 @@ def _partitions(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "turn", "role", "text", "gone")
 
 
-def repair_conversations(rows: DataFrame) -> DataFrame:
+def repair_conversations(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text, gone): ``conv_id``, counts, ``cost``, ``audit`` and ``repaired_sha256``, and ``n_rows`` that are left of it.
 
     Rows go by turn, nulls first; of one turn by role and text (by their first 64 and 256 characters, then a hash). A fault is the first of blank, duplicate (role and text seen earlier), truncated. Empty texts are
@@ -229,7 +229,7 @@ def repair_conversations(rows: DataFrame) -> DataFrame:
                         size += block.chars
                         first = False
                     current, block, seen, at = (conv,), Block(), set(), 0
-                elif len(block.turns) >= BLOCK_ROWS or block.chars >= BLOCK_CHARS:
+                elif len(block.turns) >= block_rows or block.chars >= block_chars:
                     out.append(close(False))
                     size += block.chars
                     block, seen, at = Block(), set(), at + 1

@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_edits
 from .lm_scoring import score_documents
 from .mixing import curriculum
 from .near_dedup import near_dedup
+from .pii import KINDS, find_pii
 from .secrets import find_secrets
 from .sentencepiece_bpe import tokenize
 from .substring_dedup import substring_dedup
@@ -90,6 +91,14 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(_documents(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -106,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_shards": op10_token_shards,
     "op11_yinyang": op11_yinyang,
+    "op12_pii": op12_pii,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
