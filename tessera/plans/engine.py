@@ -260,13 +260,9 @@ class Engine:
         failed = todo.filter("e.error IS NOT NULL").groupBy(F.col("source_file").alias("rel_path")).agg(F.min("e.error").alias("reason"), F.count("*").cast("int").alias("missing"))
         ready = todo.filter("e.error IS NULL").withColumn("dense", F.col("e.vector"))
         ready = ready.join(sparse.sparse_vectors(sparse.term_frequencies(ready, ["id"]), ["id"]), "id", "left_outer")
-        versions = rows.select("section", F.col("rel_path").alias("source_file"), F.col("content_hash").alias("__now"))
-
-        def change(old: DataFrame) -> DataFrame:
-            kept = old.join(versions, ["section", "source_file"], "left_outer").filter("__now IS NULL OR __now = content_hash").select(*old.columns)
-            return kept.join(ready.select("id"), "id", "left_anti").select(*old.columns).unionByName(ready.select(*old.columns))
-
-        self.store.update_points(name, change)
+        # only files that were there before can have points of other versions
+        gone = files.filter("action <> 'new'").select("rel_path").join(rows, "rel_path").select(F.col("rel_path").alias("source_file"), F.col("content_hash").alias("keep_hash"))
+        self.store.commit_points(name, lambda _: (ready, gone))
         done = self.store.files(name).filter("status = 'ingesting'").join(rows.select("rel_path"), "rel_path", "left_semi").join(failed, "rel_path", "left_outer")
         columns = {"status": F.when(F.col("reason").isNull(), "ingested").otherwise("error"), "error_reason": F.col("reason"), "chunks_done": F.col("total_chunks") - F.coalesce("missing", F.lit(0))}
         self.store.change(done, **columns)
@@ -275,7 +271,7 @@ class Engine:
 
     def move(self, name: str, moves: DataFrame) -> None:
         """New paths and ids for points and rows of a section; (section, source_file, new_path, content_hash)."""
-        self.store.update_points(name, lambda points: lifecycle.repath(points, moves))
+        self.store.move_points(name, moves)
         m = moves.select("section", F.col("source_file").alias("rel_path"), "new_path")
         rows = self.store.files(name).join(m, ["section", "rel_path"])
         gone = rows.drop("new_path").withColumn("deleted", F.lit(True))
@@ -323,7 +319,7 @@ class Engine:
                 state = self.store.files(name)
                 dead = lifecycle.expired(state, now)
                 names = [r["rel_path"] for r in dead.select("rel_path").collect()]
-                self.store.update_points(name, lambda points, state=state: lifecycle.purge(points, state, now)[0])
+                self.store.delete_points(name, dead.select(F.col("rel_path").alias("source_file")))
                 self.store.append(dead.withColumn("deleted", F.lit(True)))
                 out[name] = names
         return out

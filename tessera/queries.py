@@ -335,7 +335,7 @@ def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     for section in sections:
         store.ensure_section(section, MODEL, 512, 51)
         store.mark_ingested(section)
-        store.update_points(section, lambda old: old.filter(~F.col("source_file").endswith("7.txt")))
+        store.delete_points(section, store.points(section).filter(F.col("source_file").endswith("7.txt")).select("source_file").distinct())
     store.drop_section(sections[0])
     per = store.points().groupBy("section").agg(F.count("*").alias("points"), F.count_if(F.col("text") == "second").alias("second"), F.min("id").alias("first_id"))
     return per.join(store.fingerprints(), "section").select("section", "points", "second", "first_id", "embed_model", "chunk_size", "chunk_overlap", F.date_format("ingested_at", "yyyy-MM-dd").alias("ingested_on"))
