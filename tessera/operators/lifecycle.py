@@ -20,13 +20,45 @@ def latest(events: DataFrame) -> DataFrame:
     return last.filter("NOT e.deleted").select(*[F.col(c) if c in KEY else F.col(f"e.{c}") for c in cols])
 
 
-def _paired(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Rows of both sides one to one by (section, content_hash), each side in its order."""
-    number = lambda order: F.row_number().over(Window.partitionBy("section", "content_hash").orderBy(order))
-    return left.withColumn("__n", number(left_order)).join(right.withColumn("__n", number(right_order)), ["section", "content_hash", "__n"]).drop("__n")
+#: Rows of a side in one block of ranks, or so; and the most blocks, whose ends are literals: beyond, a hot hash is numbered in that many tasks.
+PAIR_BLOCK, MOST_BLOCKS = 100_000, 256
 
 
-def dispatch(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path") -> DataFrame:
+def ranked(rows: DataFrame, order: str, name: str = "__n", block: int = PAIR_BLOCK) -> DataFrame:
+    """Number rows from 0 within (section, content_hash), in their order; a hash that many rows share is numbered in several tasks.
+
+    Rows go to blocks by ranges of their order, which are the same for all hashes. A row's number is its number within hash and block, plus how many rows of its hash the blocks before hold: a
+    prefix sum over a row for each hash and block, not over rows. Ends of blocks come from a sample of 50 values a block; rows of equal order are never parted.
+    """
+    n = rows.count()
+    ends = []
+    if n > block:
+        blocks = min(MOST_BLOCKS, -(-n // block))
+        sample = rows.select(F.col(order).alias("o")).sample(min(1.0, 50 * blocks / n), seed=1).orderBy("o").collect()
+        values = [r["o"] for r in sample if r["o"] is not None]
+        ends = sorted({values[i * len(values) // blocks] for i in range(1, blocks)}) if values else []
+    at = F.lit(0)
+    if ends:
+        at = F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col(order))), F.lit(0))
+    key = ["section", "content_hash"]
+    rows = rows.withColumn("__block", at)
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(*key, "__block").orderBy(order)) - 1)
+    if not ends:
+        return inside.drop("__block")
+    counts = rows.groupBy(*key, "__block").agg(F.count("*").alias("__rows"))
+    counts = counts.select(F.col("section").alias("__s"), F.col("content_hash").alias("__h"), F.col("__block").alias("__b"), "__rows")
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("__s", "__h").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__s", "__h", "__b", before.alias("__before"))
+    same = F.col("section").eqNullSafe(F.col("__s")) & F.col("content_hash").eqNullSafe(F.col("__h")) & F.col("__block").eqNullSafe(F.col("__b"))
+    return inside.join(counts, same).withColumn(name, F.col(name) + F.col("__before")).drop("__block", "__before", "__s", "__h", "__b")
+
+
+def _paired(left: DataFrame, right: DataFrame, left_order: str, right_order: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """Rows of both sides one to one by (section, content_hash), each side in its order. The join is by hash and number, so a hot hash is spread by its numbers."""
+    return ranked(left, left_order, block=block).join(ranked(right, right_order, block=block), ["section", "content_hash", "__n"]).drop("__n")
+
+
+def dispatch(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path", block: int = PAIR_BLOCK) -> DataFrame:
     """(section, rel_path, content_hash, action, moved_from, resume_from) for each file on disk (with its hash).
 
     Without a row: moved, if an ingested row with the same hash has a path that is not on disk (paired one to one), else new. With a row: ingested
@@ -36,7 +68,7 @@ def dispatch(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path") ->
     both = disk.join(s, KEY, "left_outer")
     fresh = both.filter("status IS NULL").select("section", F.col("rel_path").alias("new_path"), "content_hash", *([walk_order] if walk_order not in ("rel_path", "section", "content_hash") else []))
     gone = state.filter("status = 'ingested'").join(disk.select(*KEY), KEY, "left_anti").select("section", F.col("rel_path").alias("moved_from"), "content_hash")
-    moves = _paired(fresh, gone, "new_path" if walk_order == "rel_path" else walk_order, "moved_from").select("section", F.col("new_path").alias("rel_path"), "moved_from")
+    moves = _paired(fresh, gone, "new_path" if walk_order == "rel_path" else walk_order, "moved_from", block).select("section", F.col("new_path").alias("rel_path"), "moved_from")
     same = F.col("content_hash") == F.col("old_hash")
     action = (
         F.when(F.col("status").isNull(), F.when(F.col("moved_from").isNotNull(), "moved").otherwise("new"))
@@ -56,7 +88,7 @@ def looks_changed(size: Column, mtime: Column, old_size: Column, old_mtime: Colu
     return (size != old_size) | old_mtime.isNull() | F.coalesce(apart > MTIME_TOLERANCE, F.lit(True))
 
 
-def daemon_diff(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path") -> DataFrame:
+def daemon_diff(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path", block: int = PAIR_BLOCK) -> DataFrame:
     """(section, rel_path, action, new_path) for rows in use whose file changed, moved or went; ``disk`` has content_hash, size and mtime.
 
     changed hides a row; move gives it the path of a new file with the same hash (one to one); delete marks it for deletion. New files alone do nothing.
@@ -67,7 +99,7 @@ def daemon_diff(disk: DataFrame, state: DataFrame, walk_order: str = "rel_path")
     changed = touched.select(*KEY, F.lit("changed").alias("action"), F.lit(None).cast("string").alias("new_path"))
     gone = live.join(disk.select(*KEY), KEY, "left_anti").select(*KEY, "content_hash")
     appeared = disk.join(state.select(*KEY), KEY, "left_anti").select("section", F.col("rel_path").alias("new_path"), "content_hash", *([walk_order] if walk_order != "rel_path" else []))
-    moves = _paired(appeared, gone, "new_path" if walk_order == "rel_path" else walk_order, "rel_path").select(*KEY, "new_path")
+    moves = _paired(appeared, gone, "new_path" if walk_order == "rel_path" else walk_order, "rel_path", block).select(*KEY, "new_path")
     lost = gone.select(*KEY).join(moves, KEY, "left_outer").select(*KEY, F.when(F.col("new_path").isNull(), "delete").otherwise("move").alias("action"), "new_path")
     return changed.unionByName(lost)
 

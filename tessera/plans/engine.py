@@ -221,7 +221,7 @@ class Engine:
             batches = -(-todo // self.batch_files)
             for k in range(batches):
                 part = fresh.filter(F.pmod(F.xxhash64("rel_path"), F.lit(batches)) == k)
-                out.errored += self._store(s, keep(part) if batches > 1 else part, keep)
+                out.errored += self._store(s, keep(part) if batches > 1 else part, keep, out.changed + out.resumed == 0)
         self.store.mark_ingested(name)
         return out
 
@@ -239,8 +239,8 @@ class Engine:
         )
         self.store.append(both)
 
-    def _store(self, s: Row, files: DataFrame, keep) -> int:
-        """Parse, chunk, embed a batch of files; then intents, points and, last, the commits. Returns how many files failed.
+    def _store(self, s: Row, files: DataFrame, keep, new: bool = False) -> int:
+        """Parse, chunk, embed a batch of files; then intents, points and, last, the commits. Returns how many files failed. ``new``: no file of the run was there before, so no points have to go.
 
         A file that can't be parsed keeps its row and points. Chunks that can't be embedded put their file in error; the others of the file are stored, and as points of the
         same id aren't embedded again, its next ingest goes on from there, as does one after a crash.
@@ -262,7 +262,7 @@ class Engine:
         ready = ready.join(sparse.sparse_vectors(sparse.term_frequencies(ready, ["id"]), ["id"]), "id", "left_outer")
         # only files that were there before can have points of other versions
         gone = files.filter("action <> 'new'").select("rel_path").join(rows, "rel_path").select(F.col("rel_path").alias("source_file"), F.col("content_hash").alias("keep_hash"))
-        self.store.commit_points(name, lambda _: (ready, gone))
+        self.store.commit_points(name, lambda _: (ready, None if new else gone))
         done = self.store.files(name).filter("status = 'ingesting'").join(rows.select("rel_path"), "rel_path", "left_semi").join(failed, "rel_path", "left_outer")
         columns = {"status": F.when(F.col("reason").isNull(), "ingested").otherwise("error"), "error_reason": F.col("reason"), "chunks_done": F.col("total_chunks") - F.coalesce("missing", F.lit(0))}
         self.store.change(done, **columns)
