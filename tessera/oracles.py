@@ -197,3 +197,12 @@ SQL["keyword_index_topk"] = SQL["keyword_topk"]
 SQL["query_batch_index_topk"] = SQL["query_batch_topk"]
 SQL["vector_index_recall"] = """SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM (SELECT q.vec_id AS query_id,
     row_number() OVER (PARTITION BY q.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 10)"""
+#: By groups: what was seen at a time and, of the times that nothing was found before the next, the first.
+SQL["lifecycle_stream"] = """WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type = 'error' AS gone, sha256(event_type) AS h,
+      count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+    s AS (SELECT user_id, g, min(us) FILTER (NOT gone) AS us, min(h) FILTER (NOT gone) AS h, min(us) FILTER (gone) AS lost FROM e WHERE g > 0 GROUP BY ALL),
+    n AS (SELECT *, lag(h) OVER w AS h0, lag(lost) OVER w AS lost0, lead(us) OVER w AS us1, 86400000000 AS day, (SELECT max(us) FROM e) AS last FROM s WINDOW w AS (PARTITION BY user_id ORDER BY g)),
+    a AS (SELECT user_id, us AS at_us, h, CASE WHEN h0 IS NULL OR us >= lost0 + day THEN 'new' WHEN h <> h0 THEN 'changed' WHEN lost0 IS NOT NULL THEN 'restored' END AS action FROM n
+      UNION ALL SELECT user_id, lost, h, 'delete' FROM n WHERE lost IS NOT NULL
+      UNION ALL SELECT user_id, lost + day, h, 'purge' FROM n WHERE coalesce(us1, last) >= lost + day)
+    SELECT 's' || user_id % 5 AS section, 'f' || user_id AS rel_path, action, at_us, h AS content_hash FROM a WHERE action IS NOT NULL"""

@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tessera.plans.engine import Engine
 from tessera.plans.store import POINT, Store
 from tessera.sources.config import Config
 from tessera.sources.embedding import HashEmbedder
+from tessera.streaming import lifecycle as file_lifecycle
 
 QUERY = "the attion the language edinth the"
 QUERY_VECTOR_ID = 7
@@ -290,6 +291,19 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.latest(log)
 
 
+def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table replayed as observations of files, by keyed state with timers: an error is a file that isn't found, every other event type a hash; files are purged a day after."""
+    base, events = _scratch(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.write.parquet(f"{base}/source")  # a stream's source is a folder
+    stream = spark.readStream.schema(events.schema).parquet(f"{base}/source")
+    section, file = F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("f"), F.col("user_id").cast("string"))
+    seen = F.when(F.col("event_type") != "error", F.sha2("event_type", 256))
+    observed = stream.select(section.alias("section"), file.alias("rel_path"), seen.alias("content_hash"), F.col("ts").alias("seen_at"), F.col("event_id").alias("seq"))
+    file_lifecycle.start(spark, observed, timedelta(days=1), f"{base}/actions", f"{base}/checkpoint", once=True).awaitTermination()
+    out = spark.read.schema(file_lifecycle.ACTIONS).parquet(f"{base}/actions")
+    return out.select("section", "rel_path", "action", F.unix_micros("at").alias("at_us"), "content_hash")
+
+
 def live_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of files that the state has in use, in the version that it has."""
     p = fixtures.points(spark, sf_dir).drop("dense", "text", "in_use")
@@ -398,6 +412,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
-        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall,
+        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream,
     )
 }
