@@ -46,6 +46,15 @@ def test_others_give_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_sparse_vectors_of_fixed_values(spark):
+    """Indices of terms are fixed values; arrays are in the order of the terms."""
+    from tessera.operators import sparse
+
+    texts = spark.createDataFrame([(1, "world, hello world"), (2, "Hello"), (3, "!")], "id int, text string")
+    rows = {r["id"]: (r["indices"], r["values"]) for r in sparse.sparse_vectors(sparse.term_frequencies(texts, ["id"]), ["id"]).collect()}
+    assert rows == {1: ([1785136887, 13193140], [1.0, 2.0]), 2: ([1785136887], [1.0])}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries.get_chunks(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "role" not in plan.split("ReadSchema")[1]
