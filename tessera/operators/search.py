@@ -53,11 +53,14 @@ def keyword_scores(points: DataFrame, query: dict[str, int], keys: list[str], te
     return hits.filter(F.size("hits") > 0).select(*keys, F.round(score, DECIMALS).alias("score"))
 
 
-def array_scores(live: DataFrame, every: DataFrame, query: dict[int, float], keys: list[str], indices: str = "indices", values: str = "values") -> DataFrame:
-    """``keyword_scores`` over stored sparse arrays of points, by index; document frequencies are those of ``every``."""
+def array_scores(live: DataFrame, every: DataFrame, query: dict[int, float], keys: list[str], indices: str = "indices", values: str = "values", counted: tuple[int, dict[int, int]] | None = None) -> DataFrame:
+    """``keyword_scores`` over stored sparse arrays of points, by index; document frequencies are those of ``every``, which isn't read where they are ``counted`` already (points, and points by index)."""
     if not query:
         return live.select(*keys, F.lit(0.0).alias("score")).limit(0)
-    n, *df = every.agg(F.count("*"), *[F.count_if(F.array_contains(indices, F.lit(i).cast("long"))) for i in query]).first()
+    if counted:
+        n, df = counted[0], [counted[1].get(i, 0) for i in query]
+    else:
+        n, *df = every.agg(F.count("*"), *[F.count_if(F.array_contains(indices, F.lit(i).cast("long"))) for i in query]).first()
     weights = _weights(n, dict(zip(query, df)), query)
     if not any(df):
         return live.select(*keys, F.lit(0.0).alias("score")).limit(0)

@@ -206,3 +206,5 @@ SQL["lifecycle_stream"] = """WITH e AS (SELECT user_id, epoch_us(ts) AS us, even
       UNION ALL SELECT user_id, lost, h, 'delete' FROM n WHERE lost IS NOT NULL
       UNION ALL SELECT user_id, lost + day, h, 'purge' FROM n WHERE coalesce(us1, last) >= lost + day)
     SELECT 's' || user_id % 5 AS section, 'f' || user_id AS rel_path, action, at_us, h AS content_hash FROM a WHERE action IS NOT NULL"""
+SQL["store_counts"] = """WITH p AS (SELECT doc_id, unnest([doc_id % 10 + CASE doc_id % 3 WHEN 1 THEN 0 ELSE 1000 END, strlen(text) % 7 + 100]) AS term FROM documents WHERE doc_id % 10 <> 7)
+    SELECT 'term' AS kind, term, count(*) AS n FROM p GROUP BY term UNION ALL SELECT 'all', NULL, count(*) FROM documents WHERE doc_id % 10 <> 7"""

@@ -108,7 +108,7 @@ class Engine:
             warnings.append(f"the section is incomplete: {done['summary']}")
         arms, points = [], self.live_points(section)
         if mode != "semantic":
-            arms.append(self.keyword_scores(points, self.store.points(section), query))
+            arms.append(self.keyword_scores(section, points, query))
         if mode != "keyword":
             model = s["embed_model"]
             if self.health.blocked(model):
@@ -124,11 +124,12 @@ class Engine:
         out = points.join(F.broadcast(best.select("id", "score")), "id").orderBy(F.desc("score"), *KEYS)
         return {"results": [r.asDict() for r in out.select(*RESULT).collect()], "warnings": warnings}
 
-    def keyword_scores(self, live: DataFrame, every: DataFrame, query: str) -> DataFrame:
-        """Scores over hashed terms; document frequencies are those of all the section's points. Arrays are cut to the query's indices where they lie, so nothing shuffles."""
+    def keyword_scores(self, section: str, live: DataFrame, query: str) -> DataFrame:
+        """Scores over hashed terms; document frequencies are those of all the section's points, from the counts that the store keeps. Arrays are cut to the query's indices where they lie, so nothing shuffles."""
         terms = search.query_terms(self.spark, query)
         q = sparse.indexed(terms.select(F.lit(0).alias("q"), "term", F.col("qtf").alias("tf")), ["q"]).collect()  # a query's terms
-        return search.array_scores(live, every, {r["idx"]: r["tf"] for r in q}, KEYS)
+        asked = {r["idx"]: r["tf"] for r in q}
+        return search.array_scores(live, live, asked, KEYS, counted=self.store.term_counts(section, list(asked)) if asked else (0, {}))
 
     @staticmethod
     def _not_queryable(name: str, s: Row | None, stored: DataFrame) -> str | None:

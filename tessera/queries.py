@@ -355,6 +355,20 @@ def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(store.fingerprints(), "section").select("section", "points", "second", "first_id", "embed_model", "chunk_size", "chunk_overlap", F.date_format("ingested_at", "yyyy-MM-dd").alias("ingested_on"))
 
 
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that the store keeps beside its points, after an upsert that replaces some and adds others, a removal by file and merges: points by term index, and all."""
+    store = Store(spark, _scratch(spark), clock=lambda: datetime(2024, 6, 1))
+    empty = spark.createDataFrame([], POINT)
+    f = fixtures.files(spark, sf_dir).withColumns({"section": F.lit("all"), "source_file": F.col("rel_path"), "chunk_index": F.lit(0)})
+    f = f.withColumn("id", identity.point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index")))
+    index = lambda base: F.array(F.col("doc_id") % 10 + base, F.col("size") % 7 + 100, F.col("doc_id") % 10 + base)
+    point = lambda indices: f.withColumn("indices", indices).select("doc_id", *[(F.col(c) if c in (*f.columns, "indices") else F.lit(None)).cast(empty.schema[c].dataType).alias(c) for c in empty.columns])
+    store.upsert_points(point(index(0)).filter("doc_id % 3 <> 0").drop("doc_id"))
+    store.upsert_points(point(index(1000)).filter("doc_id % 3 <> 1").drop("doc_id"))
+    store.delete_points("all", f.filter("doc_id % 10 = 7").select("source_file"))
+    return store.counts("all").filter("kind <> 'file'").select("kind", "term", "n")
+
+
 def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     """An engine over a new folder whose section ``docs`` holds every document as a file, ingested. The folder is on a file system that all nodes share."""
     base = re.sub("^file:(//)?(?=/)", "", _scratch(spark))
@@ -412,6 +426,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
-        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream,
+        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream, store_counts,
     )
 }
