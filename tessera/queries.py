@@ -404,15 +404,21 @@ def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after an ingest, changes on disk by doc_id mod 10 (1 deleted, 2 rewritten, 3 moved to a folder), and a pass of the daemon; with points that are searched."""
     engine, folder = _wiki(spark, sf_dir)
     os.makedirs(f"{folder}/moved")
-    for name in os.listdir(folder):
-        digit = name[-5:-4] if name.endswith(".txt") else ""
-        if digit == "1":
-            os.remove(f"{folder}/{name}")
-        elif digit == "2":
-            with open(f"{folder}/{name}", "a", encoding="utf-8") as f:
-                f.write(" changed")
-        elif digit == "3":
-            os.rename(f"{folder}/{name}", f"{folder}/moved/{name}")
+
+    def change(frames):
+        for f in frames:
+            for name in f["rel_path"]:
+                digit, path = name[-5:-4], f"{folder}/{name}"
+                if digit == "1":
+                    os.remove(path)
+                elif digit == "2":
+                    with open(path, "a", encoding="utf-8") as out:
+                        out.write(" changed")
+                elif digit == "3":
+                    os.rename(path, f"{folder}/moved/{name}")
+            yield f
+
+    fixtures.files(spark, sf_dir).select("rel_path").mapInPandas(change, "rel_path string").count()
     engine.poll()
     live = engine.live_points("docs").groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").alias("searched"))
     rows = engine.store.files("docs").join(live, "rel_path", "left_outer")

@@ -57,6 +57,8 @@ class Ignore:
 
     def __init__(self, patterns: Iterable[str]):
         self.rules = [self._rule(p) for p in patterns]
+        # One expression for directories and one for files: alternatives from the last rule to the first, so that what matches is the rule that decides.
+        self._deciding = {d: re.compile("|".join(f"(?P<r{i}>{r.pattern})" for i, (_, only, r) in reversed(list(enumerate(self.rules))) if d or not only) or r"(?!)") for d in (True, False)}
 
     @staticmethod
     def _rule(pattern: str) -> tuple[bool, bool, re.Pattern[str]]:
@@ -82,11 +84,8 @@ class Ignore:
         return keep, directory, re.compile(("" if anchored else "(?:.*/)?") + out + r"\Z")
 
     def _own(self, path: str, directory: bool) -> bool:
-        ignored = False
-        for keep, only_directory, regex in self.rules:
-            if (directory or not only_directory) and regex.match(path):
-                ignored = not keep
-        return ignored
+        m = self._deciding[directory].match(path)
+        return m is not None and not self.rules[int(m.lastgroup[1:])][0]
 
     def matches(self, path: str, directory: bool = False) -> bool:
         """Whether a path (relative, with slashes) is ignored, by itself or by a directory above it."""
