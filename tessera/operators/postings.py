@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
@@ -45,19 +45,22 @@ class PostingIndex:
     # writing
 
     @staticmethod
-    def build(points: DataFrame, path: str, keys: Sequence[str], text: str = "text", buckets: int | None = None, range_size: int = RANGE) -> PostingIndex:
-        """Index a table of points under a new folder in ``path``. Null texts have no terms. Two shuffles: frequencies by point and term, and postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
+    def build(points: DataFrame, path: str, keys: Sequence[str], text: str = "text", buckets: int | None = None, range_size: int = RANGE, counted: Column | None = None) -> PostingIndex:
+        """Index a table of points under a new folder in ``path``. Null texts have no terms. ``counted``: an array of (term, tf), each term once, in place of the terms of a text. Two shuffles: frequencies by point and term, and postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
         spark = points.sparkSession
         path = f"{path.rstrip('/')}/postings-{uuid.uuid4().hex}"
         # The numbers hang on how the scan is cut into tasks, so they are taken once, in a table, with the texts that they belong to.
         spot = {"task": F.spark_partition_id(), "range": F.expr(f"__n div {range_size}"), "slot": F.expr(f"CAST(__n % {range_size} AS INT)")}
-        numbered = points.select(*keys, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__n")).withColumns(spot).drop("__n")
+        numbered = points.select(*keys, (F.col(text) if counted is None else counted).alias("__text"), F.monotonically_increasing_id().alias("__n")).withColumns(spot).drop("__n")
         numbered.write.partitionBy("task").parquet(f"{path}/points")
         key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema)
-        numbered = spark.read.schema("__text string, range long, slot int").parquet(f"{path}/points")
+        numbered = spark.read.schema(numbered.select("__text", "range", "slot").schema).parquet(f"{path}/points")
         n = numbered.count()
         buckets = buckets or max(8, -(-n // POINTS_A_BUCKET))
-        tf = numbered.select("range", "slot", F.explode(terms(F.col("__text"))).alias("term")).groupBy("range", "slot", "term").agg(F.count("*").alias("tf"))
+        if counted is None:
+            tf = numbered.select("range", "slot", F.explode(terms(F.col("__text"))).alias("term")).groupBy("range", "slot", "term").agg(F.count("*").alias("tf"))
+        else:
+            tf = numbered.select("range", "slot", F.explode("__text").alias("t")).select("range", "slot", F.col("t.term").cast("string").alias("term"), F.col("t.tf").cast("long").alias("tf"))
         lists = tf.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("slot", "tf"))).alias("p"))  # a range's points at most
         rows = lists.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"), "term", "range", F.size("p").alias("n"), F.array_max("p.tf").alias("largest"), F.col("p.slot").alias("slots"), F.col("p.tf").alias("counts"))
         rows.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
@@ -91,13 +94,13 @@ class PostingIndex:
             return self.spark.read.schema(schema).parquet(f"{self.path}/points")
         return self._folders(schema, "points/task", {r // self.ranges_a_task for r in ranges}).filter(F.col("range").isin(*ranges))
 
-    def search(self, query: dict[str, int], k: int) -> DataFrame:
-        """(*keys, score) of the k best points for a query (term -> how often); ties by keys. As of ``keyword_scores`` over all indexed points."""
+    def search(self, query: dict[str, int], k: int, counted: tuple[int, dict[str, int]] | None = None) -> DataFrame:
+        """(*keys, score) of the k best points for a query (term -> how often); ties by keys. As of ``keyword_scores`` over all indexed points; ``counted``: with these numbers of points, in all and by term, in place of the index's own."""
         queries = self.spark.createDataFrame([(0, t, q) for t, q in query.items()], "__q int, term string, qtf long")
-        best = self.search_all(queries, k, ["__q"])
+        best = self.search_all(queries, k, ["__q"], counted)
         return best.orderBy(F.desc("score"), *self.keys).select(*self.keys, "score")
 
-    def search_all(self, queries: DataFrame, k: int, query_keys: Sequence[str]) -> DataFrame:
+    def search_all(self, queries: DataFrame, k: int, query_keys: Sequence[str], counted: tuple[int, dict[str, int]] | None = None) -> DataFrame:
         """(*query_keys, *keys, rank, score): for each query of a table (*query_keys, term, qtf), its k best points, ties by keys.
 
         Sums of bounds shuffle by query and range, and hold no postings. Two rounds are read: the ranges of the highest bounds, enough to hold k points of each query; then those whose
@@ -110,8 +113,8 @@ class PostingIndex:
         words = sorted(r[0] for r in queries.select("term").distinct().limit(LITERAL_TERMS + 1).collect())
         lists = self.postings(words if len(words) <= LITERAL_TERMS else None)
         asked = lists.join(hint(queries.select("term").distinct()), "term", "left_semi")
-        df = asked.groupBy("term").agg(F.sum("n").alias("df"))
-        weights = queries.join(df, "term").select(*q, "term", (F.col("qtf") * idf(F.lit(self.points), F.col("df"))).alias("w"))
+        df = asked.groupBy("term").agg(F.sum("n").alias("df")) if counted is None else self.spark.createDataFrame(list(counted[1].items()), "term string, df long")
+        weights = queries.join(df, "term").select(*q, "term", (F.col("qtf") * idf(F.lit(self.points if counted is None else counted[0]), F.col("df"))).alias("w"))
         weights = _written(weights, f"{self.path}/work")
         bounds = lists.join(hint(weights), "term").groupBy(*q, "range").agg(F.sum(F.col("w") * F.col("largest")).alias("bound"), F.max("n").alias("n"))
         bounds = _written(bounds, f"{self.path}/work")

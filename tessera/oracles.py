@@ -195,6 +195,7 @@ SQL: dict[str, str] = {
 }
 SQL["keyword_index_topk"] = SQL["keyword_topk"]
 SQL["query_batch_index_topk"] = SQL["query_batch_topk"]
+SQL["engine_index_search"] = SQL["engine_search"]
 SQL["vector_index_recall"] = """SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM (SELECT q.vec_id AS query_id,
     row_number() OVER (PARTITION BY q.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 10)"""
 #: By groups: what was seen at a time and, of the times that nothing was found before the next, the first.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identity import content_hash, point_id
 from tessera.operators import chunking, gates, lifecycle, navigation, search, sparse
+from tessera.operators.postings import PostingIndex
 from tessera.sources import parsing
 from tessera.sources.config import Config, discover_sections
 from tessera.sources.discovery import content, discover_files
@@ -108,7 +109,7 @@ class Engine:
             warnings.append(f"the section is incomplete: {done['summary']}")
         arms, points = [], self.live_points(section)
         if mode != "semantic":
-            arms.append(self.keyword_scores(section, points, query))
+            arms.append(self.keyword_scores(section, points, query, search.PREFETCH * top_k))
         if mode != "keyword":
             model = s["embed_model"]
             if self.health.blocked(model):
@@ -124,12 +125,26 @@ class Engine:
         out = points.join(F.broadcast(best.select("id", "score")), "id").orderBy(F.desc("score"), *KEYS)
         return {"results": [r.asDict() for r in out.select(*RESULT).collect()], "warnings": warnings}
 
-    def keyword_scores(self, section: str, live: DataFrame, query: str) -> DataFrame:
-        """Scores over hashed terms; document frequencies are those of all the section's points, from the counts that the store keeps. Arrays are cut to the query's indices where they lie, so nothing shuffles."""
+    def index(self, section: str) -> bool:
+        """Build posting lists of what searches see of a section, unless there are some of its state: keyword searches then read only ranges of points that can matter, until the section changes. Returns whether they were built."""
+        stamp = self.store.stamp(section)
+        if self.store.index_folders(section, stamp):
+            return False
+        terms = F.arrays_zip(F.col("indices").cast("array<string>").alias("term"), F.col("values").alias("tf"))
+        PostingIndex.build(self.live_points(section), f"{self.store.path}/{self.store._folder('index', section)}/{stamp}", KEYS, counted=F.coalesce(terms, F.array().cast("array<struct<term:string,tf:double>>")))
+        self.store.drop_indexes(section, stamp)
+        return True
+
+    def keyword_scores(self, section: str, live: DataFrame, query: str, k: int) -> DataFrame:
+        """Scores over hashed terms; document frequencies are those of all the section's points, from the counts that the store keeps. With posting lists of the section's state, its ``k`` best; else of all points, whose
+        arrays are cut to the query's indices where they lie, so nothing shuffles."""
         terms = search.query_terms(self.spark, query)
         q = sparse.indexed(terms.select(F.lit(0).alias("q"), "term", F.col("qtf").alias("tf")), ["q"]).collect()  # a query's terms
         asked = {r["idx"]: r["tf"] for r in q}
-        return search.array_scores(live, live, asked, KEYS, counted=self.store.term_counts(section, list(asked)) if asked else (0, {}))
+        counted = self.store.term_counts(section, list(asked)) if asked else (0, {})
+        if asked and k > 0 and (found := self.store.index_folders(section, self.store.stamp(section))):
+            return PostingIndex.open(self.spark, found[0]).search({str(i): n for i, n in asked.items()}, k, (counted[0], {str(i): n for i, n in counted[1].items()}))
+        return search.array_scores(live, live, asked, KEYS, counted=counted)
 
     @staticmethod
     def _not_queryable(name: str, s: Row | None, stored: DataFrame) -> str | None:

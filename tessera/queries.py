@@ -392,14 +392,24 @@ def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     return engine, folder
 
 
-def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword search through the engine: files discovered, parsed, chunked, embedded, stored and searched behind both gates."""
-    engine, _ = _wiki(spark, sf_dir)
+def _found(spark: SparkSession, engine: Engine) -> DataFrame:
     rows = engine.search("docs", QUERY, 10, "keyword")["results"]
     out = spark.createDataFrame([(r["source_file"], r["chunk_index"], r["page_number"], r["text"], r["score"]) for r in rows], "source_file string, chunk_index int, page_number int, text string, score double")
     return out.withColumn("score", F.round("score", 6))
 
 
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search through the engine: files discovered, parsed, chunked, embedded, stored and searched behind both gates."""
+    return _found(spark, _wiki(spark, sf_dir)[0])
+
+
+def engine_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from posting lists of the section's state."""
+    engine, _ = _wiki(spark, sf_dir)
+    engine.index("docs")
+    return _found(spark, engine)
+
+
 def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after an ingest, changes on disk by doc_id mod 10 (1 deleted, 2 rewritten, 3 moved to a folder), and a pass of the daemon; with points that are searched."""
     engine, folder = _wiki(spark, sf_dir)
@@ -432,6 +442,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
-        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream, store_counts,
+        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream, store_counts, engine_index_search,
     )
 }

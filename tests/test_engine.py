@@ -277,3 +277,17 @@ def test_streaming(spark, tmp_path):
     before = store.points().count()
     ingest_batch(store, spark.createDataFrame([("s", "c.md", "Third.")], FILES), HashEmbedder(8), "nomic-embed-text", 512, 51)  # a batch that runs again
     assert store.points().count() == before
+
+
+def test_posting_lists_of_a_section(engine, wiki):
+    """Searches use the lists while the section is as it was, and give what a scan gives, hidden points and their counts included."""
+    engine.ingest()
+    scan = engine.search("docs", "the memory of a grandmother", 5, "keyword")["results"]
+    assert engine.index("docs") and not engine.index("docs") and len(scan) == 2
+    assert engine.search("docs", "the memory of a grandmother", 5, "keyword")["results"] == scan
+    (wiki / "kin.md").unlink()
+    engine.poll()
+    assert engine.store.index_folders("docs", engine.store.stamp("docs")) == []
+    scan = engine.search("docs", "the memory", 5, "keyword")["results"]
+    assert engine.index("docs") and engine.search("docs", "the memory", 5, "keyword")["results"] == scan and len(scan) == 1
+    assert len(engine.store._names("index/s-docs")) == 1
