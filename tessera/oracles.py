@@ -209,3 +209,15 @@ SQL["lifecycle_stream"] = """WITH e AS (SELECT user_id, epoch_us(ts) AS us, even
     SELECT 's' || user_id % 5 AS section, 'f' || user_id AS rel_path, action, at_us, h AS content_hash FROM a WHERE action IS NOT NULL"""
 SQL["store_counts"] = """WITH p AS (SELECT doc_id, unnest([doc_id % 10 + CASE doc_id % 3 WHEN 1 THEN 0 ELSE 1000 END, strlen(text) % 7 + 100]) AS term FROM documents WHERE doc_id % 10 <> 7)
     SELECT 'term' AS kind, term, count(*) AS n FROM p GROUP BY term UNION ALL SELECT 'all', NULL, count(*) FROM documents WHERE doc_id % 10 <> 7"""
+#: Fixed answers, and counts of files and chunks.
+_ANSWERS = {
+    "search before an ingest": "section docs has not been ingested", "files before an ingest": "section docs has not been ingested", "chunks before an ingest": "section docs has not been ingested",
+    "unknown mode": "mode magic is none of keyword, semantic, hybrid", "unknown section": "there is no section nowhere", "details of an unknown section": "there is no section nowhere", "sections": "docs: all documents",
+    "semantic results": "10", "hybrid results": "10", "status by key": "health", "incomplete": "1 pending", "incomplete and allowed": "the section is incomplete: 1 pending",
+    "other settings, semantic": "vectors are out of date: chunk_size 512 -> 400; chunk_overlap 51 -> 40",
+    "other settings, keyword": "vectors are out of date: chunk_size 512 -> 400; chunk_overlap 51 -> 40; the section is incomplete: 1 pending", "search after it": "",
+}
+SQL["engine_interface"] = f"""WITH chunks AS MATERIALIZED ({_WIKI_CHUNKS}), n AS (SELECT count(*) AS n FROM documents), c AS (SELECT count(*) AS c, count(DISTINCT k) AS f FROM chunks)
+    SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _ANSWERS.items())}) AS t("case", answer)
+    UNION ALL SELECT 'first ingest', n || ' new, reset False' FROM n UNION ALL SELECT 'coverage', n || ' of ' || n || ', ' || c || ' chunks' FROM n, c UNION ALL SELECT 'files', f::VARCHAR FROM c
+    UNION ALL SELECT 'status', 'sections: ' || n || ' ingested, 0 in error' FROM n UNION ALL SELECT 'ingest after other settings', (n + 1) || ' new, reset True' FROM n"""

@@ -369,7 +369,7 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counts("all").filter("kind <> 'file'").select("kind", "term", "n")
 
 
-def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
+def _wiki(spark: SparkSession, sf_dir: str, ingest: bool = True) -> tuple[Engine, str]:
     """An engine over a new folder whose section ``docs`` holds every document as a file, ingested. The folder is on a file system that all nodes share."""
     base = re.sub("^file:(//)?(?=/)", "", _scratch(spark))
     folder = f"{base}/wiki/docs"
@@ -386,10 +386,47 @@ def _wiki(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
 
     fixtures.files(spark, sf_dir).select("rel_path", "text").mapInPandas(put, "rel_path string").count()
     engine = Engine(spark, Config(wiki_dir=f"{base}/wiki"), Store(spark, f"file://{base}/store", clock=lambda: datetime(2024, 6, 1)), HashEmbedder(16))
+    if ingest:
+        _ingest(engine)
+    return engine, folder
+
+
+def _ingest(engine: Engine) -> dict:
     engine.ingest("docs")
     if engine.runs["docs"]["status"] != "completed":
         raise RuntimeError(engine.runs["docs"]["error"])
-    return engine, folder
+    return engine.runs["docs"]["summary"]
+
+
+def engine_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the interface answers over a section of all documents, case by case: refusals in their order, both gates and their effects, navigation, status, and the reset by other settings."""
+    engine, folder = _wiki(spark, sf_dir, ingest=False)
+    search = lambda mode, section="docs", **more: engine.search(section, QUERY, 10, mode, **more)
+
+    def settings(chunk_size: int) -> None:
+        with open(f"{folder}/section.yaml", "w", encoding="utf-8") as f:
+            f.write(f"description: all documents\nchunk_size: {chunk_size}\n")
+
+    out: dict[str, object] = {
+        "search before an ingest": search("keyword")["error"], "files before an ingest": engine.list_files("docs")["error"], "chunks before an ingest": engine.get_chunks("docs", "doc_1.txt")["error"],
+        "unknown mode": search("magic", "nowhere")["error"], "unknown section": search("keyword", "nowhere")["error"], "details of an unknown section": engine.section_details("nowhere")["error"],
+        "sections": ", ".join(f"{s['section']}: {s['description']}" for s in engine.sections()),
+    }
+    summary = _ingest(engine)
+    coverage, status = engine.section_details("docs")["coverage"], engine.status({"sections": ["docs"]})
+    out |= {
+        "first ingest": f"{summary['new']} new, reset {summary['reset']}", "coverage": f"{coverage['ingested']} of {coverage['on_disk']}, {coverage['total_chunks']} chunks",
+        "files": len(engine.list_files("docs")["files"]), "semantic results": len(search("semantic")["results"]), "hybrid results": len(search("hybrid")["results"]),
+        "status": f"{', '.join(status)}: {status['sections']['docs']['ingested']} ingested, {status['sections']['docs']['error']} in error", "status by key": ", ".join(engine.status({"health": True})),
+    }
+    with open(f"{folder}/late.txt", "w", encoding="utf-8") as f:
+        f.write("Late.")
+    out |= {"incomplete": search("keyword")["incomplete"]["summary"], "incomplete and allowed": "; ".join(search("keyword", allow_incomplete=True)["warnings"])}
+    settings(400)
+    out |= {"other settings, semantic": search("semantic")["error"], "other settings, keyword": "; ".join(search("keyword", allow_incomplete=True)["warnings"])}
+    summary = _ingest(engine)
+    out |= {"ingest after other settings": f"{summary['new']} new, reset {summary['reset']}", "search after it": "; ".join(search("keyword")["warnings"])}
+    return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "case string, answer string")
 
 
 def _found(spark: SparkSession, engine: Engine) -> DataFrame:
@@ -442,6 +479,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_conversations, structured_chunks, content_hash, exact_duplicates, point_ids, term_indices, sparse_vectors, classify_extension, size_cap_sniff,
         list_files, get_chunks, section_resolve, validity_gate, completeness_gate, completeness_verdicts, section_coverage, status_counts, ingest_dispatch,
         ingest_counters, daemon_diff, cheap_change, purge_expired, purge_totals, orphan_sections, repath_points, latest_state, live_points, store_transitions, store_points,
-        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream, store_counts, engine_index_search,
+        engine_search, engine_lifecycle, keyword_index_topk, query_batch_index_topk, vector_index_topk, vector_index_recall, lifecycle_stream, store_counts, engine_index_search, engine_interface,
     )
 }
