@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 #: Fixed value: the namespace of point ids.
 NAMESPACE = "435d3986-fa80-54b7-9476-79b9f05633c6"
@@ -37,6 +38,18 @@ def index_of(term: str) -> int:
     return int.from_bytes(blake2b(term.encode(), digest_size=4).digest(), "big") % INDEX_SPACE
 
 
+#: ``index_of`` with the last terms of a worker kept: frequent ones are hashed once.
+_index_of = lru_cache(100_000)(index_of)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def term_indices(terms: pd.Series) -> pd.Series:
+    """Indices of each array's terms, in its order; null for none."""
+    from tessera.functions import identity  # the worker's own cache, not a copy of it
+
+    return terms.map(lambda ts: [identity._index_of(t) for t in ts] if len(ts) else None, na_action="ignore")
+
+
 @F.pandas_udf(LongType())
 def term_index(terms: pd.Series) -> pd.Series:
     """Indices of terms; apply it to distinct terms, and join."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def has_terms(text: Column) -> Column:
+    return F.lower(text).rlike(WORD)
+
+
+def counted_terms(text: Column) -> Column:
+    """Array of (term, tf) of a text, in the order of the terms: they are sorted, and counts are the lengths of their runs."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).cast("long").alias("tf"))))
+
+    return _let(F.sort_array(terms(text)), runs)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END)
 

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.identity import term_index
-from tessera.functions.text import terms
+from tessera.functions.identity import term_index, term_indices
+from tessera.functions.text import counted_terms, has_terms
+
+
+def _repeated(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose keys no other row has, and the others; none where a scan of the keys finds no others."""
+    more = texts.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    if not more.take(1):
+        return texts, None
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return texts.join(more, same, "left_anti"), texts.join(more, same, "left_semi")
 
 
 def term_frequencies(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(*keys, term, tf): one row for each term of each text. Counts combine before the shuffle."""
-    return texts.select(*keys, F.explode(terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """(*keys, term, tf): one row for each term of each text; texts of equal keys count as one.
+
+    A text's terms are counted in its row, so a task holds the terms of one text, and nothing shuffles but rows whose keys are repeated.
+    """
+    once, more = _repeated(texts, keys)
+    rows = lambda t: t.select(*keys, F.explode(counted_terms(F.col(text))).alias("t")).select(*keys, "t.term", "t.tf")
+    return rows(once) if more is None else rows(once).unionByName(rows(more).groupBy(*keys, "term").agg(F.sum("tf").alias("tf")))
 
 
 def document_frequencies(tf: DataFrame, by: str = "term") -> DataFrame:
@@ -35,3 +52,17 @@ def sparse_vectors(tf: DataFrame, keys: list[str]) -> DataFrame:
     index = tf.select("term").distinct().withColumn("idx", term_index("term"))
     packed = tf.join(index, "term").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("term", "idx", "tf"))).alias("v"))
     return packed.select(*keys, F.col("v.idx").alias("indices"), F.transform("v.tf", lambda x: x.cast("double")).alias("values"))
+
+
+def text_vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``sparse_vectors`` of ``term_frequencies`` of texts: in the row, but for rows whose keys are repeated."""
+    once, more = _repeated(texts, keys)
+    rows = with_vectors(once.filter(has_terms(F.col(text))), text).select(*keys, "indices", "values")
+    return rows if more is None else rows.unionByName(sparse_vectors(term_frequencies(more, keys, text), keys))
+
+
+def with_vectors(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with indices and values, as of ``sparse_vectors`` over each row's text: in the row, without a shuffle. Null where there are no terms."""
+    counted = texts.withColumn("__terms", counted_terms(F.col(text)))
+    out = counted.withColumn("indices", term_indices(F.col("__terms.term")))
+    return out.withColumn("values", F.when(F.size("__terms") > 0, F.transform("__terms.tf", lambda n: n.cast("double")))).drop("__terms")

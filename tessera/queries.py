@@ -173,7 +173,7 @@ def term_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.sparse_vectors(sparse.term_frequencies(fixtures.points(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return sparse.text_vectors(fixtures.points(spark, sf_dir), ["doc_id"])
 
 
 def classify_extension(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def points_of(batch: DataFrame, embedder: Embedder, model: str, size: int, overl
     c = c.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))).withColumn("e", embed_udf(embedder, model)("text"))
     # a stream's batch runs again as a whole, so an error ends it
     c = c.withColumn("dense", F.expr("CASE WHEN e.error IS NULL THEN e.vector ELSE raise_error(e.error) END"))
-    return c.join(sparse.sparse_vectors(sparse.term_frequencies(c, ["id"]), ["id"]), "id", "left_outer")
+    return sparse.with_vectors(c)
 
 
 def ingest_batch(store: Store, batch: DataFrame, embedder: Embedder, model: str, size: int, overlap: int) -> None:
