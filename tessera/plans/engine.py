@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.identity import content_hash, point_id
+from tessera.functions.identity import content_hash, index_of, point_id
 from tessera.operators import chunking, gates, lifecycle, navigation, search, sparse
 from tessera.operators.postings import PostingIndex
 from tessera.sources import parsing
@@ -24,6 +24,8 @@ from .store import STATUSES, Store
 
 MODES = ("keyword", "semantic", "hybrid")
 KEYS = ["section", "source_file", "chunk_index", "id"]
+#: Files that a task reads and parses, or so: a table of paths is small, so tasks aren't cut by its bytes.
+FILES_A_TASK = 500
 RESULT = ["text", "source_file", "page_number", "chunk_index", "section", "score"]
 
 
@@ -75,7 +77,8 @@ class Engine:
         if s is None:
             return {"error": f"there is no section {name}"}
         taken = self.disk(s).filter("skip_reason IS NULL") if s["enabled"] else self.disk(s).limit(0)
-        found = gates.coverage(taken.select("section", "rel_path"), self.store.files(name)).first()
+        with self.store.work() as keep:
+            found = gates.coverage(keep(taken.select("section", "rel_path")), keep(self.store.files(name))).first()
         return {**s.asDict(), "coverage": found.asDict() if found else {}}
 
     # search
@@ -95,13 +98,14 @@ class Engine:
         if (problem := self._not_queryable(section, s, stored)) is not None:
             return {"error": problem}
         warnings = []
-        valid = gates.validity(self.resolved().filter(F.col("section") == section), stored).first()
+        mine = self.spark.createDataFrame([(section, s["embed_model"], s["chunk_size"], s["chunk_overlap"])], "section string, embed_model string, chunk_size int, chunk_overlap int")
+        valid = gates.validity(mine, stored).first()
         if not valid["valid"]:
             if mode != "keyword":
                 return {"error": f"vectors are out of date: {valid['reason']}"}
             warnings.append(f"vectors are out of date: {valid['reason']}")
-        files = gates.completeness(self.disk(s).filter("skip_reason IS NULL"), self.store.files(section))
-        done = gates.verdicts(files).first()
+        with self.store.work() as keep:  # verdicts look at files twice; they are opened once
+            done = gates.verdicts(keep(gates.completeness(self.disk(s).filter("skip_reason IS NULL"), self.store.files(section)))).first()
         if done and not done["complete"]:
             note = {"summary": done["summary"], **{c: done[c] for c in gates.CATEGORIES}}
             if not allow_incomplete:
@@ -122,7 +126,8 @@ class Engine:
                 return {"error": f"the query can't be embedded: {e}"}
             arms.append(search.vector_scores(points, vector, KEYS))
         best = search.hybrid(*arms, top_k, KEYS) if len(arms) == 2 else search.top(arms[0], top_k, KEYS)
-        out = points.join(F.broadcast(best.select("id", "score")), "id").orderBy(F.desc("score"), *KEYS)
+        # ids follow from version and place, so those of the best are live; their texts are found by one scan
+        out = self.store.points(section).join(F.broadcast(best.select("id", "score")), "id").orderBy(F.desc("score"), *KEYS)
         return {"results": [r.asDict() for r in out.select(*RESULT).collect()], "warnings": warnings}
 
     def index(self, section: str) -> bool:
@@ -138,9 +143,9 @@ class Engine:
     def keyword_scores(self, section: str, live: DataFrame, query: str, k: int) -> DataFrame:
         """Scores over hashed terms; document frequencies are those of all the section's points, from the counts that the store keeps. With posting lists of the section's state, its ``k`` best; else of all points, whose
         arrays are cut to the query's indices where they lie, so nothing shuffles."""
-        terms = search.query_terms(self.spark, query)
-        q = sparse.indexed(terms.select(F.lit(0).alias("q"), "term", F.col("qtf").alias("tf")), ["q"]).collect()  # a query's terms
-        asked = {r["idx"]: r["tf"] for r in q}
+        asked: dict[int, int] = {}
+        for r in search.query_terms(self.spark, query).collect():  # a query's terms; those of one index are added up
+            asked[index_of(r["term"])] = asked.get(index_of(r["term"]), 0) + r["qtf"]
         counted = self.store.term_counts(section, list(asked)) if asked else (0, {})
         if asked and k > 0 and (found := self.store.index_folders(section, self.store.stamp(section))):
             return PostingIndex.open(self.spark, found[0]).search({str(i): n for i, n in asked.items()}, k, (counted[0], {str(i): n for i, n in counted[1].items()}))
@@ -233,11 +238,12 @@ class Engine:
                 rows = state.join(plan.filter("action = 'restored'").select("rel_path"), "rel_path")
                 self.store.change(rows, in_use=True, delete_after=F.lit(None).cast("timestamp"))
             todo = out.new + out.changed + out.resumed
-            fresh = taken.join(plan.filter("action IN ('new', 'changed', 'resumed')").select("rel_path", "action"), "rel_path")
             batches = -(-todo // self.batch_files)
-            for k in range(batches):
-                part = fresh.filter(F.pmod(F.xxhash64("rel_path"), F.lit(batches)) == k)
-                out.errored += self._store(s, keep(part) if batches > 1 else part, keep, out.changed + out.resumed == 0)
+            fresh = taken.join(plan.filter("action IN ('new', 'changed', 'resumed')").select("rel_path", "action"), "rel_path")
+            fresh = keep(fresh.withColumn("batch", F.pmod(F.xxhash64("rel_path"), F.lit(max(1, batches)))), "batch") if batches > 1 else fresh.withColumn("batch", F.lit(0).cast("long"))
+            for k in range(batches):  # a batch is a folder, and opens no other's files
+                part = fresh.filter(F.col("batch") == k).drop("batch")
+                out.errored += self._store(s, part.repartition(-(-todo // batches // FILES_A_TASK)), keep, out.changed + out.resumed == 0)
         self.store.mark_ingested(name)
         return out
 
@@ -265,25 +271,30 @@ class Engine:
         parsed = keep(parsing.parse(files.withColumn("content", content("path")), self.parser).drop("content"))
         bad = parsed.filter("parse_error IS NOT NULL").select("section", "rel_path", "size", F.lit("error").alias("status"), F.col("parse_error").alias("reason"))
         good = parsed.filter("parse_error IS NULL")
-        chunks = chunking.chunk(good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "pages"), s["chunk_size"], s["chunk_overlap"], count)
+        chunks = chunking.chunk(good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "action", "pages"), s["chunk_size"], s["chunk_overlap"], count)
         chunks = keep(chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))))
         totals = chunks.groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").cast("int").alias("total_chunks"))
         rows = keep(good.select("section", "rel_path", "content_hash", "size", "mtime").join(totals, "rel_path", "left_outer").fillna(0, ["total_chunks"]))
-        self.store.begin_all(rows)
-        # chunks of a resumed file that are stored already have their ids there, and aren't embedded again
-        todo = chunks.join(self.store.points(name).select("id"), "id", "left_anti")
+        self.store.begin_all(rows, name)
+        # chunks of a resumed file that are stored already have their ids there, and aren't embedded again; a new file has none, so points aren't read for it
+        todo = chunks.drop("action")
+        if not new:
+            old = chunks.filter("action <> 'new'").drop("action").join(self.store.points(name).select("id"), "id", "left_anti")
+            todo = chunks.filter("action = 'new'").drop("action").unionByName(old)
         todo = keep(todo.withColumn("e", embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])("text")))
         failed = todo.filter("e.error IS NOT NULL").groupBy(F.col("source_file").alias("rel_path")).agg(F.min("e.error").alias("reason"), F.count("*").cast("int").alias("missing"))
-        ready = todo.filter("e.error IS NULL").withColumn("dense", F.col("e.vector"))
-        ready = ready.join(sparse.sparse_vectors(sparse.term_frequencies(ready, ["id"]), ["id"]), "id", "left_outer")
+        ready = sparse.with_vectors(todo.filter("e.error IS NULL").withColumn("dense", F.col("e.vector")))
         # only files that were there before can have points of other versions
         gone = files.filter("action <> 'new'").select("rel_path").join(rows, "rel_path").select(F.col("rel_path").alias("source_file"), F.col("content_hash").alias("keep_hash"))
         self.store.commit_points(name, lambda _: (ready, None if new else gone))
-        done = self.store.files(name).filter("status = 'ingesting'").join(rows.select("rel_path"), "rel_path", "left_semi").join(failed, "rel_path", "left_outer")
+        # the intents, which nobody else changes while this writer has the section, so the section's state isn't read
+        done = rows.join(failed, "rel_path", "left_outer")
         columns = {"status": F.when(F.col("reason").isNull(), "ingested").otherwise("error"), "error_reason": F.col("reason"), "chunks_done": F.col("total_chunks") - F.coalesce("missing", F.lit(0))}
-        self.store.change(done, **columns)
-        self._set_aside(bad, self.store.files(name))
-        return bad.count() + failed.count()
+        self.store.change(done.withColumns({"in_use": F.lit(True), "delete_after": F.lit(None).cast("timestamp")}), name, **columns)
+        unparsed, unembedded = bad.count(), failed.count()
+        if unparsed:
+            self._set_aside(bad, self.store.files(name))
+        return unparsed + unembedded
 
     def move(self, name: str, moves: DataFrame) -> None:
         """New paths and ids for points and rows of a section; (section, source_file, new_path, content_hash)."""
@@ -308,9 +319,9 @@ class Engine:
     def _scan(self, s: Row) -> dict[str, int]:
         name = s["section"]
         state = self.store.files(name)
-        diff = lifecycle.daemon_diff(self.disk(s, hashes=True).filter("skip_reason IS NULL").select("section", "rel_path", "content_hash", "size", "mtime", "walk_order"), state, "walk_order")
         with self.store.work() as keep:
-            diff = keep(diff)
+            disk = keep(self.disk(s, hashes=True).filter("skip_reason IS NULL").select("section", "rel_path", "content_hash", "size", "mtime", "walk_order"))  # read and hashed once
+            diff = keep(lifecycle.daemon_diff(disk, state, "walk_order"))
             counts = {r["action"]: r["count"] for r in diff.groupBy("action").count().collect()}
             moves = diff.filter("action = 'move'").join(state.select("rel_path", "content_hash"), "rel_path")
             if counts.get("move"):

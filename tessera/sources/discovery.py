@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -19,6 +20,8 @@ from .rules import ALLOW, ALLOW_FILE, IGNORE, IGNORE_FILE, Ignore, extensions_of
 LISTED = "rel_path string, path string, directory boolean, size long, mtime double, walk_order string, error string"
 #: Directories that a task lists, or so.
 DIRECTORIES_A_TASK = 64
+#: Rows of a listing that are held at once, however large a directory is; and files that a task opens, or so.
+LISTED_AT_ONCE, FILES_A_TASK = 10_000, 1_000
 
 
 def ignore_of(directory: str | Path) -> Ignore:
@@ -35,7 +38,7 @@ def allow_of(directory: str | Path) -> set[str]:
 def _children(root: str, rel: str, order: str, ignore: Ignore) -> Iterator[tuple]:
     """What a directory holds and isn't ignored, as LISTED rows. ``order`` puts a directory's files before its subdirectories, each by name; a directory that can't be listed is empty, and links to directories aren't followed."""
     try:
-        entries = list(os.scandir(os.path.join(root, rel)))
+        entries = os.scandir(os.path.join(root, rel))
     except OSError:
         return
     for e in entries:
@@ -66,7 +69,9 @@ def list_tree(spark: SparkSession, directory: str | Path, ignore: Ignore) -> Dat
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([row for rel, order in zip(f["rel_path"], f["walk_order"]) for row in _children(root, rel, order, ignore)], columns=columns).astype({"size": "Int64", "directory": bool})
+            rows = (row for rel, order in zip(f["rel_path"], f["walk_order"]) for row in _children(root, rel, order, ignore))
+            while part := list(islice(rows, LISTED_AT_ONCE)):
+                yield pd.DataFrame(part, columns=columns).astype({"size": "Int64", "directory": bool})
 
     level, files, n = spark.createDataFrame([("", "")], "rel_path string, walk_order string"), None, 1
     while n:
@@ -107,6 +112,8 @@ def discover_files(spark: SparkSession, directory: str | Path, cap_text: int = 1
     """
     directory = Path(directory)
     listed = list_tree(spark, directory, ignore_of(directory))
+    # one task lists a directory; opening its files is dealt to as many as there are files for
+    listed = listed.repartition(max(1, -(-listed.count() // FILES_A_TASK)))
     kind = classify(extension(F.col("rel_path")), allow_of(directory))
     f = listed.withColumn("file_class", kind).withColumn("mtime", F.timestamp_micros((F.col("mtime") * 1_000_000).cast("long")))
     cap = F.when(F.col("file_class") == "known_text", cap_text).otherwise(cap_other)

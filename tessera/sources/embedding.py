@@ -8,6 +8,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 from typing import Protocol
 
@@ -26,6 +27,11 @@ class Embedder(Protocol):
     def embed(self, model: str, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+@lru_cache(100_000)
+def _word_hash(model: str, word: str) -> int:
+    return int.from_bytes(blake2b(f"{model}:{word}".encode(), digest_size=8).digest(), "big")
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
     """Deterministic vectors from hashed words, for tests and where no service is at hand."""
@@ -37,7 +43,7 @@ class HashEmbedder:
         for text in texts:
             v = [0.0] * self.dim
             for word in text.lower().split():
-                h = int.from_bytes(blake2b(f"{model}:{word}".encode(), digest_size=8).digest(), "big")
+                h = _word_hash(model, word)
                 v[h % self.dim] += 1.0 if h >> 63 else -1.0
             out.append(v)
         return out
