@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors
 from tessera.functions.text import terms
+from tessera.session import scratch_table
 
-from .sparse import idf
+from .sparse import idf, term_frequencies
 
 #: Constant of reciprocal rank fusion (Cormack, Clarke and Buettcher 2009), and how many times the limit each arm fetches.
 RRF_K, PREFETCH = 60, 5
@@ -71,13 +72,13 @@ def array_scores(live: DataFrame, every: DataFrame, query: dict[int, float], key
 def keyword_batch(points: DataFrame, queries: DataFrame, keys: list[str], query_keys: list[str], text: str = "text") -> DataFrame:
     """(*query_keys, *keys, score) for a table of queries (*query_keys, term, qtf).
 
-    A text's terms are cut to those of any query before anything shuffles. Terms and weights are broadcast up to BROADCAST_ROWS rows; beyond that they are joined, and
+    A text's terms are counted in its row and cut to those of any query before anything shuffles. Terms and weights are broadcast up to BROADCAST_ROWS rows; beyond that they are joined, and
     AQE splits common terms.
     """
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     n = points.count()
     words = queries.select("term").distinct()
-    hits = points.select(*keys, F.explode(terms(F.col(text))).alias("term")).join(few(words), "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    hits = scratch_table(term_frequencies(points, keys, text).join(few(words), "term", "left_semi"), "hits")  # counted once, for frequencies and for scores
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = queries.join(df, "term").select(*query_keys, "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("w"))
     weights = few(weights) if queries.count() <= BROADCAST_ROWS else weights
