@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import terms
+from tessera.functions.text import counted_terms
 
 from .search import BROADCAST_ROWS, DECIMALS, _check
 from .sparse import idf
@@ -46,7 +46,7 @@ class PostingIndex:
 
     @staticmethod
     def build(points: DataFrame, path: str, keys: Sequence[str], text: str = "text", buckets: int | None = None, range_size: int = RANGE, counted: Column | None = None) -> PostingIndex:
-        """Index a table of points under a new folder in ``path``. Null texts have no terms. ``counted``: an array of (term, tf), each term once, in place of the terms of a text. Two shuffles: frequencies by point and term, and postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
+        """Index a table of points under a new folder in ``path``. Null texts have no terms. ``counted``: an array of (term, tf), each term once, in place of the terms of a text. Frequencies are counted in the row. Two shuffles: lists by term and range, and postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
         spark = points.sparkSession
         path = f"{path.rstrip('/')}/postings-{uuid.uuid4().hex}"
         # The numbers hang on how the scan is cut into tasks, so they are taken once, in a table, with the texts that they belong to.
@@ -58,9 +58,10 @@ class PostingIndex:
         n = numbered.count()
         buckets = buckets or max(8, -(-n // POINTS_A_BUCKET))
         if counted is None:
-            tf = numbered.select("range", "slot", F.explode(terms(F.col("__text"))).alias("term")).groupBy("range", "slot", "term").agg(F.count("*").alias("tf"))
+            counted = counted_terms(F.col("__text"))
         else:
-            tf = numbered.select("range", "slot", F.explode("__text").alias("t")).select("range", "slot", F.col("t.term").cast("string").alias("term"), F.col("t.tf").cast("long").alias("tf"))
+            counted = F.col("__text")
+        tf = numbered.select("range", "slot", F.explode(counted).alias("t")).select("range", "slot", F.col("t.term").cast("string").alias("term"), F.col("t.tf").cast("long").alias("tf"))
         lists = tf.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("slot", "tf"))).alias("p"))  # a range's points at most
         rows = lists.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"), "term", "range", F.size("p").alias("n"), F.array_max("p.tf").alias("largest"), F.col("p.slot").alias("slots"), F.col("p.tf").alias("counts"))
         rows.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
