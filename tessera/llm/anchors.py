@@ -6,6 +6,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+_LOWER, _UPPER = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -35,17 +36,18 @@ def owners(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarra
     The owner of a stretch is its k-gram of least hash (upper 32 bits), the leftmost of equals: the stretch's content alone picks it, so equal stretches have
     owners of equal content at the same place in them. hash is the owner's, 64 bits.
     """
+    if len(data) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     h = gram_hashes(data, k)
     w = window - k + 1
-    if len(h) < w:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    low = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    low = (h & _UPPER) | np.arange(len(h), dtype=np.uint64)
     have = 1
     while 2 * have <= w:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < w:
         low = np.minimum(low[: len(low) - (w - have)], low[w - have :])
-    owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    return first, np.append(first[1:], len(owner)) - 1, h[owner[first]]
+    edge = np.flatnonzero(low[1:] != low[:-1])
+    first, last = np.empty(len(edge) + 1, np.int64), np.empty(len(edge) + 1, np.int64)
+    first[0], first[1:], last[:-1], last[-1] = 0, edge + 1, edge, len(low) - 1
+    return first, last, h[(low[first] & _LOWER).astype(np.int64)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .anchors import gram_hashes, owners
-from .common import small_batches, table
+from .common import small_batches, table_alone
 from .suffixes import common_prefixes, suffix_order
 
 #: Length of the content-picked grams that deal stretches to shards.
@@ -54,21 +54,35 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, own long, content long, start long, n long")
 
 
-def repeated_starts(parts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
-    """For each part, which of its starts begin ``length`` bytes that also begin elsewhere; a part with copies is elsewhere too."""
-    s = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int16) + 1, 0) for p in parts])
+def _again(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each part starts when all are put together with a symbol behind each, and at which places ``length`` bytes begin that also begin elsewhere."""
+    start = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    s = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
+    s[start[1:] - 1] = 0
     order = suffix_order(s, length)
     shared = common_prefixes(s, order)
     again = np.zeros(len(s), bool)
     like = np.flatnonzero(shared[order] >= length)  # this suffix and the one before it in order
     again[order[like]] = True
     again[order[like - 1]] = True
-    out, at = [], 0
-    for p, c in zip(parts, copies):
-        n = max(0, len(p) - length + 1)
-        out.append(again[at : at + n] if c < 2 else np.ones(n, bool))
-        at += len(p) + 1
-    return out
+    return start, again
+
+
+def repeated_starts(parts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
+    """For each part, which of its starts begin ``length`` bytes that also begin elsewhere; a part with copies is elsewhere too."""
+    start, again = _again(parts, length)
+    n = [max(0, len(p) - length + 1) for p in parts]
+    return [again[a : a + m] if c < 2 else np.ones(m, bool) for a, m, c in zip(start.tolist(), n, copies)]
+
+
+def repeated_runs(parts: list[bytes], copies: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first, last): the runs of ``repeated_starts`` in parts without copies. A run ends within its part, as a part's last ``length - 1`` places begin nothing so long."""
+    start, again = _again(parts, length)
+    first, behind = np.flatnonzero(np.diff(again.view(np.int8), prepend=0)).reshape(-1, 2).T
+    of = np.searchsorted(start, first, "right") - 1
+    single = np.array(copies)[of] < 2
+    of = of[single]
+    return of, first[single] - start[of], behind[single] - start[of] - 1
 
 
 def may_repeat(owned: list[int], parts: list[bytes], length: int) -> np.ndarray:
@@ -101,13 +115,10 @@ def _sorted_shards(regions: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            rows = []
-            for key, again, c in zip(keys, repeated_starts(parts, copies, length), copies):
-                if c < 2 and again.any():
-                    edge = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
-                    rows += [(*key, a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["own", "content", "first", "last"])
+            of, first, last = repeated_runs(parts, copies, length)
+            if len(of):
+                own, content = np.array(keys, np.int64)[of].T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, content, first, last)], ["own", "content", "first", "last"])
 
         def sift():
             for i in np.flatnonzero(may_repeat([own for own, _ in new_keys], new_parts, length)).tolist():
@@ -144,10 +155,10 @@ def repeated_passages(docs: DataFrame, length: int) -> DataFrame:
     suffixes of its groups, shard by shard, by induced sorting, and neighbours that share ``length`` bytes repeat. Regions that share no half of such a stretch with another
     of their group (``may_repeat``) are not sorted.
     """
-    occ = table(_stretches(docs, length), "sub-stretches")
+    occ = table_alone(_stretches(docs, length), "sub-stretches")
     regions = occ.groupBy("own", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n")).alias("at"))
     owner = regions.groupBy("own").agg(F.count("*").alias("regions"), F.sum("copies").alias("all")).filter("all > 1")
-    regions = table(regions.join(owner.select("own", "regions"), "own").select("own", "content", "copies", "regions", "at.*"), "sub-regions")
+    regions = table_alone(regions.join(owner.select("own", "regions"), "own").select("own", "content", "copies", "regions", "at.*"), "sub-regions")
     wanted = regions.filter("regions > 1").groupBy("row").agg(F.collect_list(F.struct("own", "content", "copies", "start", "n")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +172,7 @@ def repeated_passages(docs: DataFrame, length: int) -> DataFrame:
     pieces = texts.mapInArrow(cut, "own long, content long, copies long, bytes binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = pieces.repartition(n, "own").sortWithinPartitions("own", "content")
-    found = table(_sorted_shards(shards, length), "sub-found")
+    found = table_alone(_sorted_shards(shards, length), "sub-found")
     copied = occ.join(regions.filter("copies > 1").select("own", "content"), ["own", "content"]).select("row", "start", (F.col("start") + F.col("n") - 1).alias("end"))
     single = regions.filter("copies = 1").join(found, ["own", "content"]).select("row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
     return copied.unionByName(single).select("row", F.col("start").alias("first"), (F.col("end") + length - 1).alias("last"))
@@ -229,12 +240,12 @@ def shared_passages(docs: DataFrame, size: int) -> DataFrame:
     As for bytes, equal passages have equal owner grams. A run of passages that two documents have in full settles both. Only groups with a document that this doesn't
     settle are compared passage by passage, by a hash of each, in a groupBy; a group is never gathered.
     """
-    occ = table(_word_runs(docs, size), "sub-word-runs")
+    occ = table_alone(_word_runs(docs, size), "sub-word-runs")
     apart = lambda c: F.min(c) != F.max(c)
     regions = occ.groupBy("own", "content").agg(apart("row").alias("many"), F.min(F.struct("row", "start", "n")).alias("at"))
-    regions = table(regions.select("own", "content", "many", "at.*"), "sub-word-regions")
+    regions = table_alone(regions.select("own", "content", "many", "at.*"), "sub-word-regions")
     alike = regions.groupBy("own").agg(F.count("*").alias("regions"), F.max("many").alias("many")).filter("regions > 1 OR many")
-    settled = table(occ.join(regions.filter("many").select("own", "content"), ["own", "content"], "left_semi").select("row").distinct(), "sub-word-settled")
+    settled = table_alone(occ.join(regions.filter("many").select("own", "content"), ["own", "content"], "left_semi").select("row").distinct(), "sub-word-settled")
     several = regions.join(alike.filter("regions > 1").select("own"), "own", "left_semi")
     unsettled = several.join(settled, "row", "left_anti").select("own").distinct()
     wanted = several.join(unsettled, "own", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
@@ -247,7 +258,7 @@ def shared_passages(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found.view(np.int64))], ["row", "passage"])
 
     passages = docs.join(wanted, "row").select("row", "text", "cuts").mapInArrow(windows, "row long, passage long")
-    passages = table(passages, "sub-word-passages")
+    passages = table_alone(passages, "sub-word-passages")
     both = passages.groupBy("passage").agg(apart("row").alias("many")).filter("many").select("passage")
     return settled.unionByName(passages.join(both, "passage", "left_semi").select("row")).distinct()
 

@@ -10,6 +10,8 @@ import numpy as np
 QUEUE_BYTES = 256 << 20
 #: An end, a separator, and 256 bytes.
 SYMBOLS = 258
+#: By n: the first n bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Queues:
@@ -26,10 +28,10 @@ class Queues:
         if not len(positions):
             return
         order = np.argsort(symbols, kind="stable")
-        sorted_ = symbols[order]
-        cuts = np.flatnonzero(np.diff(sorted_)) + 1
-        for part in np.split(order, cuts):
-            self.held[symbols[part[0]]].append(positions[part])
+        symbols, mine = symbols[order], positions[order]
+        cuts = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(mine)]
+        for symbol, a, b in zip(symbols[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            self.held[symbol].append(mine[a:b])
         self.bytes += positions.nbytes
         if self.bytes > self.limit:
             self.file = self.file or tempfile.TemporaryFile()
@@ -96,14 +98,13 @@ def _induce(s: np.ndarray, small: np.ndarray, stars: np.ndarray, symbols: int) -
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Positions of all suffixes of ``data`` (symbols 0 to 256, ending in 0), ordered by their first ``depth`` symbols at least."""
-    s = np.append(data.astype(np.int16) + 1, 0)  # an end that is less than all, and alone
+    s = np.append(data.astype(np.int16) + np.int16(1), np.int16(0))  # an end that is less than all, and alone; numpy sorts two bytes by radix
     n = len(s)
     step = np.diff(s, append=s[-1])
     rises = np.flatnonzero(step)  # a run of equal symbols has the type of the step behind it
-    behind = np.searchsorted(rises, np.arange(n))
     small = np.ones(n, bool)
-    inside = behind < len(rises)
-    small[inside] = step[rises[behind[inside]]] > 0
+    if len(rises):
+        small[: rises[-1] + 1] = np.repeat(step[rises] > 0, np.diff(rises, prepend=-1))
     star = np.zeros(n, bool)
     star[1:] = small[1:] & ~small[:-1]
     stars = np.flatnonzero(star)
@@ -123,42 +124,60 @@ def _names(s: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
     ends = np.append(stars[1:], len(s) - 1)
     at = index[order]
     size = ends[at] - stars[at] + 1
+    four = np.ndarray(len(s), "<u8", np.append(s, np.zeros(3, s.dtype)).astype("<i2"), strides=(2,))  # symbols from each position on
     new = np.ones(len(order), bool)
     same = np.flatnonzero(size[1:] == size[:-1]) + 1
     i = 0
     while len(same):  # those equal so far
-        short = size[same] <= i
-        new[same[short]] = False
-        same = same[~short]
-        same = same[s[order[same] + i] == s[order[same - 1] + i]]
-        i += 1
+        left = size[same] - i
+        equal = (four[order[same] + i] ^ four[order[same - 1] + i]) & FIRST[2 * np.minimum(left, 4)] == 0
+        new[same[equal & (left <= 4)]] = False
+        same = same[equal & (left > 4)]
+        i += 4
     names = np.empty(len(order), np.int64)
     names[at] = np.cumsum(new) - 1
     return names
 
 
 def _by_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the sequence's suffixes: the recursion, whose alphabet is too large for buckets, doubles ranks instead, until a rank spans ``depth`` symbols (each piece has two at least)."""
+    """Order of the sequence's suffixes, ties by position: the recursion, whose alphabet is too large for buckets, puts ranks together instead, two or more at once, until a rank spans ``depth`` symbols (each piece has two at least).
+
+    Ranks and the position are sorted as the bits of one number where they fit.
+    """
     rank, span, n = names, 1, len(names)
+    place = (n - 1).bit_length()
+    order = None
     while True:
         distinct = int(rank.max()) + 1
-        if distinct == n or 2 * span > depth + 2:
-            return np.argsort(rank, kind="stable")
-        key = rank * (n + 1)
-        key[:-span] += rank[span:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
+        if distinct == n or 2 * span > depth + 2 or span >= n:
+            return np.argsort(rank, kind="stable") if order is None else order
+        bits = distinct.bit_length()
+        many = (64 - place) // bits
+        if many > 1:
+            one = (rank + 1).astype(np.uint64)
+            key = one.copy()
+            for at in range(span, many * span, span):
+                key <<= np.uint64(bits)
+                key[: max(0, n - at)] |= one[at:]
+            key = key << np.uint64(place) | np.arange(n, dtype=np.uint64)
+            key.sort()
+            order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+            key >>= np.uint64(place)
+        else:
+            many = 2
+            key = rank * (n + 1)
+            key[:-span] += rank[span:] + 1
+            order = np.argsort(key, kind="stable")
+            key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
-        span *= 2
-        if span >= n:
-            return np.argsort(rank, kind="stable")
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        span *= many
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each position, how many symbols it shares with the suffix before it in ``order``, up to the next 0.
 
-    A position whose predecessor has the same symbol in front shares one symbol less than the position in front shares. Only the others are compared, symbol by symbol, all at once.
+    A position whose predecessor has the same symbol in front shares one symbol less than the position in front shares. Only the others are compared, eight symbols at a time, all at once.
     """
     n = len(s)
     before = np.full(n, -1, np.int64)
@@ -168,26 +187,20 @@ def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     inherits[1:] = (before[1:] > 0) & (s[before[1:] - 1] == s[:-1]) & (s[:-1] != 0) & (before[:-1] == before[1:] - 1)
     heads = np.flatnonzero(~inherits & (before >= 0))
     length = np.zeros(n, np.int64)
-    live, k = heads, 0
-    words = np.zeros(n + 8, np.uint64)  # eight symbols from each position; a 0 never equals, as it is checked alone below
-    padded = (np.concatenate([s, np.zeros(16, s.dtype)]) - 1 & 255).astype(np.uint64)
-    for j in range(8):
-        words |= padded[j : j + n + 8] << np.uint64(8 * j)
+    padded = (np.append(s, np.zeros(15, s.dtype)) - 1 & 255).astype(np.uint8)
+    eight = np.ndarray(n + 8, "<u8", padded, strides=(1,))  # symbols from each position on
     zero = np.flatnonzero(s == 0)
-    left = zero[np.searchsorted(zero, i)] - i if len(zero) else n - i  # symbols up to the next 0
+    left = np.full(n, n)  # symbols up to the next 0
+    if len(zero):
+        left[: zero[-1] + 1] = np.repeat(zero, np.diff(zero, prepend=-1))
+    left -= i
+    live, most, k = heads, np.minimum(left[heads], left[before[heads]]), 0
     while len(live):
-        a, b = live + k, before[live] + k
-        ok = (k + 8 <= left[live]) & (k + 8 <= left[before[live]])
-        ok[ok] = words[a[ok]] == words[b[ok]]
-        done = live[~ok]
-        if len(done):
-            m = np.full(len(done), k)
-            going = np.arange(len(done))
-            for _ in range(8):
-                x, y = done[going] + m[going], before[done[going]] + m[going]
-                going = going[(s[x] == s[y]) & (s[x] != 0)]
-                m[going] += 1
-            length[done] = m
-        live, k = live[ok], k + 8
+        other = eight[live + k] ^ eight[before[live] + k]
+        same = (other == 0) & (k + 8 <= most)
+        ended = ~same
+        unlike = other[ended]
+        length[live[ended]] = np.minimum(most[ended], k + sum((unlike & FIRST[j] == 0).astype(np.int64) for j in range(1, 9)))
+        live, most, k = live[same], most[same], k + 8
     head = np.maximum.accumulate(np.where(inherits, 0, i))
     return np.where(inherits, np.maximum(0, length[head] - (i - head)), length)
