@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 #: Fixed value: the namespace of point ids.
 NAMESPACE = "435d3986-fa80-54b7-9476-79b9f05633c6"
@@ -42,12 +45,23 @@ def index_of(term: str) -> int:
 _index_of = lru_cache(100_000)(index_of)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def term_indices(terms: pd.Series) -> pd.Series:
-    """Indices of each array's terms, in its order; null for none."""
+@F.arrow_udf(StructType().add("indices", ArrayType(LongType())).add("values", ArrayType(DoubleType())))
+def term_vectors(terms: pa.Array) -> pa.Array:
+    """Indices and counts of each array's different terms, in the order of the terms; null for none. Terms are numbered once a batch, and counted as numbers."""
     from tessera.functions import identity  # the worker's own cache, not a copy of it
 
-    return terms.map(lambda ts: [identity._index_of(t) for t in ts] if len(ts) else None, na_action="ignore")
+    flat = terms.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank, size = np.empty(len(words), np.int64), max(1, len(words))
+    rank[order] = np.arange(len(words))
+    row = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    key, n = np.unique(row * size + rank[flat.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    index = np.array([identity._index_of(words[i]) for i in order], np.int64)
+    each = np.bincount(key // size, minlength=len(terms))
+    ends, none = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(each == 0)
+    columns = [pa.ListArray.from_arrays(ends, pa.array(x), mask=none) for x in (index[key % size], n.astype(np.float64))]
+    return pa.StructArray.from_arrays(columns, ["indices", "values"])
 
 
 @F.pandas_udf(LongType())

@@ -8,8 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.identity import term_index, term_indices
-from tessera.functions.text import counted_terms, has_terms
+from tessera.functions.identity import term_index, term_vectors
+from tessera.functions.text import counted_terms, has_terms, terms
 
 
 def _repeated(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -63,6 +63,5 @@ def text_vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def with_vectors(texts: DataFrame, text: str = "text") -> DataFrame:
     """``texts`` with indices and values, as of ``sparse_vectors`` over each row's text: in the row, without a shuffle. Null where there are no terms."""
-    counted = texts.withColumn("__terms", counted_terms(F.col(text)))
-    out = counted.withColumn("indices", term_indices(F.col("__terms.term")))
-    return out.withColumn("values", F.when(F.size("__terms") > 0, F.transform("__terms.tf", lambda n: n.cast("double")))).drop("__terms")
+    out = texts.withColumn("__vector", term_vectors(terms(F.col(text))))
+    return out.withColumns({c: F.col(f"__vector.{c}") for c in ("indices", "values")}).drop("__vector")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 from typing import Any
@@ -26,6 +27,8 @@ MODES = ("keyword", "semantic", "hybrid")
 KEYS = ["section", "source_file", "chunk_index", "id"]
 #: Files that a task reads and parses, or so: a table of paths is small, so tasks aren't cut by its bytes.
 FILES_A_TASK = 500
+#: A run has so many batches at most, as each costs some twenty small jobs; beyond, batches are larger, and their tasks are more.
+MOST_BATCHES = 16
 RESULT = ["text", "source_file", "page_number", "chunk_index", "section", "score"]
 
 
@@ -48,7 +51,7 @@ class Summary:
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, store: Store, embedder: Embedder, counters: dict[str, Callable[[str], int]] | None = None, parser: parsing.Parser = parsing.pdf_pages, batch_files: int = 10_000):
-        """``batch_files`` files at most, or so, are parsed, embedded and committed together: what a crash repeats."""
+        """``batch_files`` files at most, or so, are parsed, embedded and committed together: what a crash repeats. Of runs of more than MOST_BATCHES times as many files it is their share of one batch."""
         self.batch_files = batch_files
         self.spark, self.config, self.store, self.embedder, self.parser = spark, config, store, embedder, parser
         self.counters = counters or {}
@@ -238,12 +241,19 @@ class Engine:
                 rows = state.join(plan.filter("action = 'restored'").select("rel_path"), "rel_path")
                 self.store.change(rows, in_use=True, delete_after=F.lit(None).cast("timestamp"))
             todo = out.new + out.changed + out.resumed
-            batches = -(-todo // self.batch_files)
+            batches = min(MOST_BATCHES, -(-todo // self.batch_files))
             fresh = taken.join(plan.filter("action IN ('new', 'changed', 'resumed')").select("rel_path", "action"), "rel_path")
             fresh = keep(fresh.withColumn("batch", F.pmod(F.xxhash64("rel_path"), F.lit(max(1, batches)))), "batch") if batches > 1 else fresh.withColumn("batch", F.lit(0).cast("long"))
-            for k in range(batches):  # a batch is a folder, and opens no other's files
-                part = fresh.filter(F.col("batch") == k).drop("batch")
-                out.errored += self._store(s, part.repartition(-(-todo // batches // FILES_A_TASK)), keep, out.changed + out.resumed == 0)
+            # a batch is a folder, and opens no other's files
+            parts = [fresh.filter(F.col("batch") == k).drop("batch").repartition(-(-todo // batches // FILES_A_TASK)) for k in range(batches)]
+            any_pdf = bool(todo and fresh.filter(parsing.is_pdf()).count())
+            with ThreadPoolExecutor(1) as ahead:  # the next batch is chunked while one is embedded and committed
+                following = ahead.submit(self._chunked, s, parts[0], keep, any_pdf) if parts else None
+                for k in range(batches):
+                    chunked = following.result()
+                    if k + 1 < batches:
+                        following = ahead.submit(self._chunked, s, parts[k + 1], keep, any_pdf)
+                    out.errored += self._store(s, chunked, keep, out.changed + out.resumed == 0)
         self.store.mark_ingested(name)
         return out
 
@@ -261,37 +271,49 @@ class Engine:
         )
         self.store.append(both)
 
-    def _store(self, s: Row, files: DataFrame, keep, new: bool = False) -> int:
-        """Parse, chunk, embed a batch of files; then intents, points and, last, the commits. Returns how many files failed. ``new``: no file of the run was there before, so no points have to go.
+    def _chunked(self, s: Row, files: DataFrame, keep, any_pdf: bool) -> DataFrame:
+        """A batch of files as a table of theirs: parse_error, chunks (an array) and how many they are. A text is read, parsed and cut in its row."""
+        count = self.counters.get(s["embed_model"], chunking.estimate_tokens)
+        parsed = parsing.parse(files.withColumn("content", content("path")), self.parser, any_pdf)
+        made = parsed.withColumn("chunks", chunking.chunker(count)("pages", F.lit(s["chunk_size"]), F.lit(s["chunk_overlap"]))).withColumn("total_chunks", F.size("chunks"))
+        return keep(made.select("section", "rel_path", "content_hash", "size", "mtime", "action", "parse_error", "total_chunks", "chunks"))
+
+    def _store(self, s: Row, chunked: DataFrame, keep, new: bool = False) -> int:
+        """Embed a batch of chunked files; intents first, then points and, last, the commits. Returns how many files failed. ``new``: no file of the run was there before, so no points have to go.
 
         A file that can't be parsed keeps its row and points. Chunks that can't be embedded put their file in error; the others of the file are stored, and as points of the
         same id aren't embedded again, its next ingest goes on from there, as does one after a crash.
         """
-        name, count = s["section"], self.counters.get(s["embed_model"], chunking.estimate_tokens)
-        parsed = keep(parsing.parse(files.withColumn("content", content("path")), self.parser).drop("content"))
-        bad = parsed.filter("parse_error IS NOT NULL").select("section", "rel_path", "size", F.lit("error").alias("status"), F.col("parse_error").alias("reason"))
-        good = parsed.filter("parse_error IS NULL")
-        chunks = chunking.chunk(good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "action", "pages"), s["chunk_size"], s["chunk_overlap"], count)
-        chunks = keep(chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index"))))
-        totals = chunks.groupBy(F.col("source_file").alias("rel_path")).agg(F.count("*").cast("int").alias("total_chunks"))
-        rows = keep(good.select("section", "rel_path", "content_hash", "size", "mtime").join(totals, "rel_path", "left_outer").fillna(0, ["total_chunks"]))
+        name = s["section"]
+        bad = chunked.filter("parse_error IS NOT NULL").select("section", "rel_path", "size", F.lit("error").alias("status"), F.col("parse_error").alias("reason"))
+        good = chunked.filter("parse_error IS NULL")
+        rows = good.select("section", "rel_path", "content_hash", "size", "mtime", "total_chunks")
         self.store.begin_all(rows, name)
+        chunks = good.select("section", F.col("rel_path").alias("source_file"), "content_hash", "action", F.explode("chunks").alias("c")).select("*", "c.*").drop("c")
+        chunks = chunks.withColumn("id", point_id(F.col("section"), F.col("source_file"), F.col("content_hash"), F.col("chunk_index")))
         # chunks of a resumed file that are stored already have their ids there, and aren't embedded again; a new file has none, so points aren't read for it
         todo = chunks.drop("action")
         if not new:
             old = chunks.filter("action <> 'new'").drop("action").join(self.store.points(name).select("id"), "id", "left_anti")
             todo = chunks.filter("action = 'new'").drop("action").unionByName(old)
-        todo = keep(todo.withColumn("e", embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])("text")))
-        failed = todo.filter("e.error IS NOT NULL").groupBy(F.col("source_file").alias("rel_path")).agg(F.min("e.error").alias("reason"), F.count("*").cast("int").alias("missing"))
-        ready = sparse.with_vectors(todo.filter("e.error IS NULL").withColumn("dense", F.col("e.vector")))
+        todo = todo.withColumn("e", embed_udf(self.embedder, s["embed_model"], s["embed_batch_size"])("text"))
+        # embedded and written once, as the points that they become unless the embedder fails
+        staged = self.store.stage_points(name, sparse.with_vectors(todo.withColumns({"dense": F.col("e.vector"), "error": F.col("e.error")}).drop("e")))
+        failed = self.store.staged(staged).filter("error IS NOT NULL").select("source_file", "error")
+        unparsed, unembedded = bad.count(), failed.count()
         # only files that were there before can have points of other versions
-        gone = files.filter("action <> 'new'").select("rel_path").join(rows, "rel_path").select(F.col("rel_path").alias("source_file"), F.col("content_hash").alias("keep_hash"))
-        self.store.commit_points(name, lambda _: (ready, None if new else gone))
+        gone = None if new else good.filter("action <> 'new'").select(F.col("rel_path").alias("source_file"), F.col("content_hash").alias("keep_hash"))
         # the intents, which nobody else changes while this writer has the section, so the section's state isn't read
-        done = rows.join(failed, "rel_path", "left_outer")
+        done = rows.withColumns({"reason": F.lit(None).cast("string"), "missing": F.lit(0)})
+        if unembedded:
+            failed = keep(failed.groupBy(F.col("source_file").alias("rel_path")).agg(F.min("error").alias("reason"), F.count("*").cast("int").alias("missing")))
+            done, unembedded = rows.join(failed, "rel_path", "left_outer"), failed.count()
+            self.store.commit_points(name, lambda _: (self.store.staged(staged).filter("error IS NULL"), gone))
+            self.store.drop_staged(staged)
+        else:
+            self.store.commit_points(name, lambda _: (staged, gone))
         columns = {"status": F.when(F.col("reason").isNull(), "ingested").otherwise("error"), "error_reason": F.col("reason"), "chunks_done": F.col("total_chunks") - F.coalesce("missing", F.lit(0))}
         self.store.change(done.withColumns({"in_use": F.lit(True), "delete_after": F.lit(None).cast("timestamp")}), name, **columns)
-        unparsed, unembedded = bad.count(), failed.count()
         if unparsed:
             self._set_aside(bad, self.store.files(name))
         return unparsed + unembedded

@@ -99,6 +99,10 @@ def head(paths: pd.Series) -> pd.Series:
     return read_bytes(paths, PEEK)
 
 
+#: What a file holds may change between two reads: so a filter of what was read is no second read, nor a second evaluation of the columns that it hangs on.
+head = head.asNondeterministic()
+
+
 @F.pandas_udf(BinaryType())
 def content(paths: pd.Series) -> pd.Series:
     """Whole files; null where unreadable."""

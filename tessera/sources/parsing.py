@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.files import extension
@@ -45,11 +45,17 @@ def pdf_parser(parse: Parser = pdf_pages):
     return run
 
 
-def parse(files: DataFrame, parser: Parser = pdf_pages) -> DataFrame:
-    """``files`` (rel_path, content) with pages and parse_error: text files natively, as one page 0; PDF by ``parser``."""
-    pdf = extension(F.col("rel_path")) == ".pdf"
+def is_pdf() -> Column:
+    return extension(F.col("rel_path")) == ".pdf"
+
+
+def parse(files: DataFrame, parser: Parser = pdf_pages, any_pdf: bool = True) -> DataFrame:
+    """``files`` (rel_path, content) with pages and parse_error: text files natively, as one page 0; PDF by ``parser``, which has no tasks where there is not ``any_pdf``."""
+    pdf = is_pdf()
     text = F.array(F.struct(decode(F.col("content")).alias("text"), F.lit(0).alias("page_number")))
     missing = F.when(F.col("content").isNull(), "unreadable")
-    plain = files.filter(~pdf).select("*", F.coalesce(F.when(F.col("content").isNotNull(), text), F.array().cast(PAGES)).alias("pages"), missing.alias("parse_error"))
+    plain = (files.filter(~pdf) if any_pdf else files).select("*", F.coalesce(F.when(F.col("content").isNotNull(), text), F.array().cast(PAGES)).alias("pages"), missing.alias("parse_error"))
+    if not any_pdf:
+        return plain
     other = files.filter(pdf).withColumn("__parsed", pdf_parser(parser)("content")).select(*files.columns, F.col("__parsed.pages").alias("pages"), F.col("__parsed.error").alias("parse_error"))
     return plain.unionByName(other)
