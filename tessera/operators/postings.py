@@ -10,9 +10,12 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ class PostingIndex:
 
     @staticmethod
     def build(points: DataFrame, path: str, keys: Sequence[str], text: str = "text", buckets: int | None = None, range_size: int = RANGE, counted: Column | None = None) -> PostingIndex:
-        """Index a table of points under a new folder in ``path``. Null texts have no terms. ``counted``: an array of (term, tf), each term once, in place of the terms of a text. Frequencies are counted in the row. Two shuffles: lists by term and range, and postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
+        """Index a table of points under a new folder in ``path``. Null texts have no terms. ``counted``: an array of (term, tf), each term once, in place of the terms of a text. Frequencies are counted in the row. One shuffle: postings by ranges of (bucket, term, range), which splits frequent terms over tasks and files."""
         spark = points.sparkSession
         path = f"{path.rstrip('/')}/postings-{uuid.uuid4().hex}"
         # The numbers hang on how the scan is cut into tasks, so they are taken once, in a table, with the texts that they belong to.
@@ -61,10 +64,10 @@ class PostingIndex:
             counted = counted_terms(F.col("__text"))
         else:
             counted = F.col("__text")
-        tf = numbered.select("range", "slot", F.explode(counted).alias("t")).select("range", "slot", F.col("t.term").cast("string").alias("term"), F.col("t.tf").cast("long").alias("tf"))
-        lists = tf.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("slot", "tf"))).alias("p"))  # a range's points at most
-        rows = lists.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"), "term", "range", F.size("p").alias("n"), F.array_max("p.tf").alias("largest"), F.col("p.slot").alias("slots"), F.col("p.tf").alias("counts"))
-        rows.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
+        # a range's points lie in one file, so its lists are made where it is read; one that is cut between two tasks has two rows for a term, whose slots and bounds add up
+        lists = numbered.select("range", "slot", counted.cast("array<struct<term:string,tf:bigint>>").alias("t")).mapInArrow(_lists, POSTINGS)
+        lists = _written(lists.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"), "*"), f"{path}/work")  # whose ranges are sampled before they are dealt
+        lists.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
         meta = {"keys": list(keys), "key_schema": key_schema, "points": n, "buckets": buckets, "ranges_a_task": (1 << 33) // range_size}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{path}/meta")
         return PostingIndex.open(spark, path)
@@ -144,6 +147,43 @@ class PostingIndex:
         return hits.groupBy(*q, "range", F.col("p.slots").alias("slot")).agg(F.round(F.sum(F.col("w") * F.col("p.counts")), DECIMALS).alias("score"))
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTINGS rows of (range, slot, t: array of term and tf). The last range of a batch waits for the next one, so a task holds a batch and a range."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        ranges = table.column("range").to_numpy()
+        if not len(ranges):
+            continue
+        last = ranges == ranges[-1]
+        if not last.all():
+            yield from _listed(table.filter(pa.array(~last)))
+        held = table.filter(pa.array(last))
+    if held is not None:
+        yield from _listed(held)
+
+
+def _listed(points: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The postings of some points: sorted by range, term and slot as numbers, and cut where range or term changes."""
+    t = points.column("t").combine_chunks()
+    t = t if isinstance(t, pa.ListArray) else t.chunk(0)
+    sizes = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False)
+    flat = t.flatten()
+    if not len(flat):
+        return
+    terms, tf = flat.field("term").dictionary_encode(), flat.field("tf").to_numpy(zero_copy_only=False)
+    code = terms.indices.to_numpy(zero_copy_only=False)
+    of, slot = (np.repeat(points.column(c).to_numpy(), sizes) for c in ("range", "slot"))
+    order = np.lexsort((slot, code, of))
+    code, of, slot, tf = code[order], of[order], slot[order], tf[order]
+    start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (of[1:] != of[:-1])])
+    ends = pa.array(np.r_[start, len(code)], pa.int32())
+    columns = [terms.dictionary.take(pa.array(code[start])), pa.array(of[start]), pa.array(np.diff(np.r_[start, len(code)]), pa.int32()), pa.array(np.maximum.reduceat(tf, start), pa.int64())]
+    columns += [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((slot, pa.int32()), (tf, pa.int64()))]
+    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")])
+
+
 def _written(df: DataFrame, folder: str) -> DataFrame:
     """A table of its own, so that what two later steps need is found once."""
     path = f"{folder}/{uuid.uuid4().hex}"
